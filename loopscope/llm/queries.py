@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neighbours, url_filter
+from . import jaccard, mixing, neighbours, url_filter
 from .shared import documents
 
 #: The rules of the pages query.
@@ -24,12 +24,16 @@ def op2_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(v, v.where("vec_id % 100 = 0"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(documents(spark, sf_dir, "doc_id", "text"))[0]
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_to_weights, op2_hash_prefix_forest, op6_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_to_weights, op2_hash_prefix_forest, op5_ngram_jaccard, op6_url_filters)}
 
 ORACLE: dict[str, str] = {
     "op6_url_filters": f"""
