@@ -17,6 +17,8 @@ from .shared import staged
 NUM, DEN = 3, 4
 #: Documents of one group that a task takes at once; larger groups are dealt into pairs of blocks.
 GROUP_DOCS = 4096
+#: Ranges of the hash space that give larger sets their keys; sets from SMALL tokens on use them.
+BINS, SMALL = 24, 48
 #: Entries of a tree node.
 FAN = 16
 #: Bits of the table of ids that take part in a verification.
@@ -31,9 +33,26 @@ def prefix_size(n: int) -> int:
     return n - (-(-n * NUM // DEN)) + 1 if n else 0
 
 
+def meeting_keys(s: np.ndarray) -> np.ndarray:
+    """Tokens under which two sets that link meet.
+
+    Small sets use the first prefix_size tokens, which cannot miss. Larger ones use the smallest token of each of
+    BINS ranges of the hash space: each agrees with the odds of the similarity, so a link at the very threshold has
+    no meeting with odds of (1/4)^BINS, 1e-14. Sizes between belong to both, since partners differ by at most 4/3.
+    """
+    keys = []
+    if len(s) < 2 * SMALL:
+        keys.append(s[: prefix_size(len(s))])
+    if len(s) >= SMALL:
+        bins = (s >> np.uint64(40)) % np.uint64(BINS)  # of bits that do not decide the order
+        order = np.argsort(bins, kind="stable")
+        keys.append(s[order[np.flatnonzero(np.r_[True, np.diff(bins[order].astype("i8")) != 0])]])
+    return np.unique(np.concatenate(keys)) if len(keys) > 1 else keys[0]
+
+
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A power of two of at least 2 bits a token (64 at least), one set for each token by its low bits."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64
+    """A power of two of at least 8 bits a token (64 at least), one set for each token by its low bits."""
+    bits = max(64, 1 << (8 * len(s) - 1).bit_length()) if len(s) else 64
     out = np.zeros(bits, "u1")
     out[(s & np.uint64(bits - 1)).astype("i8")] = 1
     return np.packbits(out, bitorder="little").view("u8")
@@ -114,9 +133,12 @@ def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return c[c < n], j[c < n]
 
 
+#: Further orders of the tokens besides that of the hashes themselves.
+ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
+
 # -- distributed steps ----------------------------------------------------------------------------------------------
 
-SIGNED = "id long, n long, k1 long, k2 long, low1 long, low2 long, prefix array<long>, bits binary"
+SIGNED = "id long, n long, k1 long, k2 long, low array<long>, keys array<long>, bits binary"
 
 
 def _sign(width: int):
@@ -125,8 +147,9 @@ def _sign(width: int):
             for part in bytescan.slices(b, 1):
                 sets = bytescan.shingle_sets(part.column(1), width)
                 full = [s if len(s) else np.zeros(1, "u8") for s in sets]
-                mixed = [bytescan.mix(s ^ np.uint64(0x5851F42D4C957F2D)) for s in full]
-                pre = [s[: prefix_size(len(s))] for s in sets]
+                mixed = [[s, *(bytescan.mix(s ^ c) for c in ORDERS)] for s in full]
+                pre = [meeting_keys(s) for s in sets]
+                low = np.array([[m.min() for m in ms] for ms in mixed]).ravel().view("i8")
                 flat = np.concatenate(pre).view("i8")
                 off = np.r_[0, np.cumsum([len(p) for p in pre])].astype("i4")
                 yield pa.RecordBatch.from_arrays(
@@ -134,13 +157,12 @@ def _sign(width: int):
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(np.array([s.sum(dtype="u8") for s in full]).view("i8")),
-                        pa.array(np.array([m.sum(dtype="u8") for m in mixed]).view("i8")),
-                        pa.array(np.array([s[0] for s in full]).view("i8")),
-                        pa.array(np.array([m.min() for m in mixed]).view("i8")),
+                        pa.array(np.array([m[1].sum(dtype="u8") for m in mixed]).view("i8")),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype="i4") * (1 + len(ORDERS))), pa.array(low)),
                         pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
                         pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["id", "n", "k1", "k2", "low1", "low2", "prefix", "bits"],
+                    names=["id", "n", "k1", "k2", "low", "keys", "bits"],
                 )
 
     return run
@@ -303,11 +325,10 @@ def jaccard_join(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text:
     Two documents link when their sets of distinct `width`-word shingles have a Jaccard similarity of NUM/DEN or more.
 
     1. One pass over the texts hashes the sets; equal sets form a class, represented by its smallest doc_id.
-    2. Representatives that share a set's smallest token (under either of two orders) are counted against the
-       group's first one. These links make most components of large groups of copies, in linear work.
-    3. Any two sets that link share one of their first n - ceil(3n/4) + 1 tokens, so grouping by these tokens brings
-       every link together. Groups inside one component have nothing left to find and go; in each of the others
-       documents form a signature tree (OR-combined bitmaps, size ranges) whose dual traversal drops node pairs by
+    2. Representatives that share a set's smallest token (under any of four orders) are counted against one of the
+       group. These links make most components of large groups of copies, in linear work.
+    3. meeting_keys() brings every two sets that link together under some token. Groups inside one component have
+       nothing left to find and go; in each of the others documents form a signature tree (OR-combined bitmaps, size ranges) whose dual traversal drops node pairs by
        their greatest possible overlap. A group beyond GROUP_DOCS documents is dealt into pairs of blocks.
     4. What remains is counted exactly from the whole texts; links join components.
 
@@ -320,13 +341,12 @@ def jaccard_join(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text:
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = staged(docs.mapInArrow(_sign(width), SIGNED), "signatures")
-    classes = signed.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("low1").alias("low1"), F.first("low2").alias("low2"))
+    classes = signed.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("low").alias("low"))
     classes = staged(classes, "classes")
-    near = None
-    for low in ("low1", "low2"):
-        first = classes.groupBy(low).agg(F.min(F.struct("rep", F.col("n").alias("m"))).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select(low, "l.*").withColumnRenamed("rep", "b")
-        some = classes.select(F.col("rep").alias("a"), "n", low).join(first, low).where(f"a <> b and n * {DEN} >= m * {NUM} and m * {DEN} >= n * {NUM}").select("a", "b")
-        near = some if near is None else near.unionByName(some)
+    lows = classes.select(F.col("rep").alias("a"), "n", F.posexplode("low").alias("order", "token"))
+    pick = F.when(F.col("order") < 2, F.col("a")).otherwise(F.xxhash64("a", "order"))  # half of the groups' leaders by id, half at random
+    first = lows.groupBy("order", "token").agg(F.min(F.struct(pick.alias("k"), F.col("a").alias("b"), F.col("n").alias("m"))).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("order", "token", "l.b", "l.m")
+    near = lows.join(first, ["order", "token"]).where(f"a <> b and n * {DEN} >= m * {NUM} and m * {DEN} >= n * {NUM}").select("a", "b")
     texts = docs.where("id is not null")
     one = verified(near.distinct(), texts, width)
     comps = staged(components(one), "components")
@@ -335,7 +355,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text:
 
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    tokens = signed.where("n > 0 and id is not null").select(F.explode("prefix").alias("token"), "id")
+    tokens = signed.where("n > 0 and id is not null").select(F.explode("keys").alias("token"), "id")
     met = staged(tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long"), "shared-tokens")
     large = met.where("id is null").select("token").distinct()
     held = met.where("id is not null").unionByName(tokens.join(large, "token").select("token", "id")).join(reps, "id").distinct()
