@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, neighbours, quality, toxicity, url_filter
+from . import jaccard, langid, merkle, mixing, neighbours, quality, toxicity, url_filter
 from .shared import documents, fold
 
 #: The rules of the pages query.
@@ -31,6 +31,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "cross_entropy", "rejected")
 
 
+def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_edits(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(documents(spark, sf_dir, "doc_id", "text"))[0]
 
@@ -54,7 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_to_weights, op2_hash_prefix_forest, op3_language_id, op5_ngram_jaccard, op6_url_filters, op7_quality, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_to_weights, op2_hash_prefix_forest, op3_language_id, op4_merkle_fingerprint, op5_ngram_jaccard, op6_url_filters, op7_quality, op9_toxicity)}
 
 ORACLE: dict[str, str] = {
     "op6_url_filters": f"""
