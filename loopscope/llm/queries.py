@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, merkle, mixing, neighbours, quality, toxicity, url_filter
+from . import bitplanes, jaccard, langid, merkle, mixing, neighbours, pieces, quality, toxicity, url_filter
 from .shared import documents, fold
 
 #: The rules of the pages query.
@@ -58,7 +58,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_to_weights, op2_hash_prefix_forest, op3_language_id, op4_merkle_fingerprint, op5_ngram_jaccard, op6_url_filters, op7_quality, op9_toxicity)}
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.read(spark, bitplanes.write(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("word_bpe_49k.json"), 2))
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_to_weights, op2_hash_prefix_forest, op3_language_id, op4_merkle_fingerprint, op5_ngram_jaccard, op6_url_filters, op7_quality, op8_sentencepiece, op9_toxicity, op10_token_binary)}
 
 ORACLE: dict[str, str] = {
     "op6_url_filters": f"""
