@@ -1,10 +1,6 @@
-"""Name -> query and name -> oracle SQL."""
+"""Name -> query and name -> oracle SQL, gathered from the operator modules."""
 
-from __future__ import annotations
+from loopscope.operators import metrics, qa
+from loopscope.plans.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "metrics", "qa"]
