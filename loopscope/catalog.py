@@ -1,6 +1,6 @@
 """Name -> query and name -> oracle SQL, gathered from the operator modules."""
 
-from loopscope.operators import metrics, qa
+from loopscope.operators import attribution, inference, metrics, perturb, qa, retrieval
 from loopscope.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "metrics", "qa"]
+__all__ = ["ORACLE", "QUERIES", "attribution", "inference", "metrics", "perturb", "qa", "retrieval"]

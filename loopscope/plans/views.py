@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from loopscope.functions import text as T
 
+#: A capitalised word of four letters or more.
+ENTITY = r"\b[A-Z][a-z]{3,}\b"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,7 +36,7 @@ def context_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capitalised words of four letters or more stand in for a run's entities."""
-    e = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"\b[A-Z][a-z]{3,}\b"), F.lit(0)))
+    e = F.array_distinct(F.regexp_extract_all("answer", F.lit(ENTITY), F.lit(0)))
     return runs(spark, sf_dir).select("question_id", "iteration_number", "run_idx", F.transform(e, F.lower).alias("ents"))
 
 
@@ -101,5 +104,5 @@ def sql_overlap(a: str, d: str) -> str:
 OVERLAPS = (
     f"{RUNS}, {DOCS}, a AS (SELECT question_id, iteration_number, run_idx, {sql_tokens('answer')} AS a_set FROM runs), "
     f"d AS (SELECT question_id, iteration_number, slot, doc_id, is_ai, {sql_tokens('text')} AS d_set FROM docs), "
-    f"overlaps AS (SELECT a.question_id, a.iteration_number, run_idx, a_set, slot, doc_id, is_ai, {sql_overlap('a_set', 'd_set')} AS overlap FROM a JOIN d USING (question_id, iteration_number))"
+    f"ovl AS (SELECT a.question_id, a.iteration_number, run_idx, a_set, slot, doc_id, is_ai, {sql_overlap('a_set', 'd_set')} AS overlap FROM a JOIN d USING (question_id, iteration_number))"
 )
