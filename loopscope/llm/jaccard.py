@@ -73,11 +73,9 @@ class Tree:
     """Levels of nodes over documents: each node holds the OR of its entries' bitmaps, its size range and the most
     tokens by which an entry outnumbers its own bits. Level 0 are the documents themselves."""
 
-    def __init__(self, n: np.ndarray, maps: list[np.ndarray]):
-        width = min((len(m) for m in maps), default=1)
-        key = np.log(n) // 0.14  # sizes alike first, then alike bits
+    def __init__(self, n: np.ndarray, maps: list[np.ndarray], width: int):
         bm = np.stack([fold(m, width) for m in maps])
-        self.order = np.lexsort((bm[:, 0], key))
+        self.order = np.lexsort((bm[:, 0], n // 8))  # sizes alike first, then alike bits
         bm, n = bm[self.order], n[self.order]
         self.levels = [(bm, n, n, n - _count(bm))]
         while len(self.levels[-1][1]) > FAN:
@@ -86,27 +84,30 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(bm, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(over, cut)))
 
 
-def hopeful(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray) -> np.ndarray:
-    """Node pairs whose greatest possible overlap reaches NUM/DEN: a + b <= overlap * (NUM + DEN) / NUM for some sizes in range."""
-    width = min(x[0].shape[1], y[0].shape[1])
+def hopeful(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which node pairs remain, and of those the greatest possible overlap as a share of both sizes: pairs whose greatest possible overlap reaches NUM/DEN: a + b <= overlap * (NUM + DEN) / NUM for some sizes in range."""
+    width = x[0].shape[1]
     lo_x, lo_y, hi_x, hi_y = x[1][i], y[1][j], x[2][i], y[2][j]
     ok = (hi_x * DEN >= lo_y * NUM) & (hi_y * DEN >= lo_x * NUM)
+    most = np.zeros(0)
     if ok.any():
         i, j = i[ok], j[ok]
         same = np.empty(len(i), "i8")
         step = max(1, (1 << 19) // width)
-        a, b = fold(x[0], width), fold(y[0], width)
+        a, b = x[0], y[0]
         for s in range(0, len(i), step):
             same[s : s + step] = _count(a[i[s : s + step]] & b[j[s : s + step]])
-        over_x, over_y = (x[3], y[3]) if x[0].shape[1] == y[0].shape[1] else (np.full(len(x[1]), 1 << 40), np.full(len(y[1]), 1 << 40))
-        most = np.minimum(same + np.minimum(over_x[i], over_y[j]), np.minimum(hi_x[ok], hi_y[ok]))
+        most = np.minimum(same + np.minimum(x[3][i], y[3][j]), np.minimum(hi_x[ok], hi_y[ok]))
         # shared * DEN >= (a + b - shared) * NUM, least for the smallest sizes
-        ok[ok] = most * (NUM + DEN) >= (lo_x[ok] + lo_y[ok]) * NUM
-    return ok
+        both = lo_x[ok] + lo_y[ok]
+        keep = most * (NUM + DEN) >= both * NUM
+        most = most[keep] / both[keep]
+        ok[ok] = keep
+    return ok, most
 
 
-def dual(x: Tree, y: Tree | None) -> tuple[np.ndarray, np.ndarray]:
-    """Document pairs that no node pair above them rules out; of one tree with itself if y is None."""
+def dual(x: Tree, y: Tree | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document pairs that no node pair above them rules out, with their greatest possible overlap; of one tree with itself if y is None."""
     own = y is None
     y = x if own else y
     top_x, top_y = len(x.levels) - 1, len(y.levels) - 1
@@ -115,10 +116,10 @@ def dual(x: Tree, y: Tree | None) -> tuple[np.ndarray, np.ndarray]:
         if own:
             keep = i <= j if top_x or top_y else i < j
             i, j = i[keep], j[keep]
-        keep = hopeful(x.levels[top_x], i, y.levels[top_y], j)
+        keep, most = hopeful(x.levels[top_x], i, y.levels[top_y], j)
         i, j = i[keep], j[keep]
         if not top_x and not top_y:
-            return x.order[i], y.order[j]
+            return x.order[i], y.order[j], most
         if top_x >= top_y:
             top_x -= 1
             i, j = _children(i, j, len(x.levels[top_x][1]))
@@ -136,6 +137,37 @@ def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 #: Further orders of the tokens besides that of the hashes themselves.
 ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
 
+def similar(n: np.ndarray, maps: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that trees do not rule out, within all documents or between left and right (positions).
+
+    One tree a size class, as wide as its smallest bitmap; classes are a little wider than the similarity, so only
+    a class and its neighbours meet. Neighbours meet at the width of the narrower one.
+    """
+    kind = (np.log(np.maximum(n, 1)) / np.log(DEN / NUM + 1e-4)).astype("i8")
+    own = left is None
+    sides = [np.arange(len(n))] if own else [left, right]
+    parts = [{c: side[kind[side] == c] for c in np.unique(kind[side])} for side in sides]
+    width = {c: min(len(maps[i]) for p in parts for i in p.get(c, ())) for p in parts for c in p}
+    trees: dict[tuple, Tree] = {}
+
+    def tree(side: int, c: int, w: int) -> Tree:
+        if (side, c, w) not in trees:
+            at = parts[side][c]
+            trees[side, c, w] = Tree(n[at], [maps[i] for i in at], w)
+        return trees[side, c, w]
+
+    out = []
+    for c, at in parts[0].items():
+        for d in (c, c + 1) if own else (c - 1, c, c + 1):
+            there = parts[-1].get(d)
+            if there is None or (own and c == d and len(at) < 2):
+                continue
+            w = min(width[c], width[d])
+            a, b, most = dual(tree(0, c, w), None if own and c == d else tree(len(parts) - 1, d, w))
+            out.append((at[a], there[b], most))
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, "f8" if k == 2 else "i8") for k in range(3))
+
+
 # -- distributed steps ----------------------------------------------------------------------------------------------
 
 SIGNED = "id long, n long, k1 long, k2 long, low array<long>, keys array<long>, bits binary"
@@ -291,32 +323,41 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from close()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (token, p, q, id, n, comp, bits, block) sorted by token, p, q: pairs of different components that the trees keep."""
-    for t in _groups(["token", "p", "q"], batches):
-        key = [t[k].to_numpy() for k in ("token", "p", "q")]
-        at = np.r_[0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1, len(t)]
-        ids, n, comp, block = (t[k].to_numpy() for k in ("id", "n", "comp", "block"))
-        bits = t["bits"].combine_chunks() if t["bits"].num_chunks != 1 else t["bits"].chunk(0)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for s, e in zip(at[:-1], at[1:]):
-            maps = [np.frombuffer(bits[r].as_buffer(), "u8") for r in range(s, e)]
-            p, q = key[1][s], key[2][s]
-            if p == q:
-                a, b = dual(Tree(n[s:e], maps), None)
-            else:
-                one, two = np.flatnonzero(block[s:e] == p), np.flatnonzero(block[s:e] == q)
-                if not len(one) or not len(two):
-                    continue
-                a, b = dual(Tree(n[s:e][one], [maps[k] for k in one]), Tree(n[s:e][two], [maps[k] for k in two]))
-                a, b = one[a], two[b]
-            a, b = a + s, b + s
-            keep = comp[a] != comp[b]
-            found.append((ids[a[keep]], ids[b[keep]]))
-        if found:
-            a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+def _candidates(best: bool):
+    """Of (token, p, q, id, n, comp, bits, block) sorted by token, p, q: pairs of different components that the trees keep; with `best` the two most hopeful of each two components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(["token", "p", "q"], batches):
+            key = [t[k].to_numpy() for k in ("token", "p", "q")]
+            at = np.r_[0, np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1, len(t)]
+            ids, n, comp, block = (t[k].to_numpy() for k in ("id", "n", "comp", "block"))
+            bits = t["bits"].combine_chunks() if t["bits"].num_chunks != 1 else t["bits"].chunk(0)
+            found: list[np.ndarray] = []
+            for s, e in zip(at[:-1], at[1:]):
+                maps = [np.frombuffer(bits[r].as_buffer(), "u8") for r in range(s, e)]
+                p, q = key[1][s], key[2][s]
+                if p == q:
+                    a, b, most = similar(n[s:e], maps)
+                else:
+                    one, two = np.flatnonzero(block[s:e] == p), np.flatnonzero(block[s:e] == q)
+                    if not len(one) or not len(two):
+                        continue
+                    a, b, most = similar(n[s:e], maps, one, two)
+                a, b = a + s, b + s
+                a, b = np.where(comp[a] < comp[b], a, b), np.where(comp[a] < comp[b], b, a)
+                keep = np.flatnonzero(comp[a] != comp[b])
+                if best and len(keep):
+                    keep = keep[np.lexsort((ids[b[keep]], ids[a[keep]], -most[keep], comp[b[keep]], comp[a[keep]]))]
+                    ca, cb = comp[a[keep]], comp[b[keep]]
+                    third = np.zeros(len(keep), bool)
+                    third[2:] = (ca[2:] == ca[:-2]) & (cb[2:] == cb[:-2])
+                    keep = keep[~third]
+                found.append(np.stack([ids[a[keep]], ids[b[keep]]]))
+            if found:
+                both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    return run
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -348,27 +389,27 @@ def jaccard_join(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text:
     first = lows.groupBy("order", "token").agg(F.min(F.struct(pick.alias("k"), F.col("a").alias("b"), F.col("n").alias("m"))).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("order", "token", "l.b", "l.m")
     near = lows.join(first, ["order", "token"]).where(f"a <> b and n * {DEN} >= m * {NUM} and m * {DEN} >= n * {NUM}").select("a", "b")
     texts = docs.where("id is not null")
-    one = verified(near.distinct(), texts, width)
-    comps = staged(components(one), "components")
-    reps = classes.select("rep", "n").join(comps, classes["rep"] == comps["id"], "left").select(F.col("rep").alias("id"), "n", F.coalesce("component", "rep").alias("comp"))
-    reps = staged(reps, "representatives")
+    links = verified(near.distinct(), texts, width)
+    comps = staged(components(links), "components")
 
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     tokens = signed.where("n > 0 and id is not null").select(F.explode("keys").alias("token"), "id")
     met = staged(tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, id long"), "shared-tokens")
     large = met.where("id is null").select("token").distinct()
-    held = met.where("id is not null").unionByName(tokens.join(large, "token").select("token", "id")).join(reps, "id").distinct()
-    open_ = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("token", F.ceil(F.col("c") / GROUP_DOCS).cast("int").alias("blocks"))
-    rows = held.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "id", "n", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    rows = staged(rows, "open-groups")
-    bits = signed.where("n > 0").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id", "n").agg(F.first("bits").alias("bits"))
-    rows = rows.join(bits, ["id", "n"]).select("token", "p", "q", "id", "n", "comp", "bits", "block")
-    pairs = rows.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q").mapInArrow(_candidates, "a long, b long").distinct()
-    two = verified(pairs, texts, width)
-    links = one.unionByName(two)
-    comps = staged(components(links), "components")
+    met = met.where("id is not null").unionByName(tokens.join(large, "token").select("token", "id"))
+    for best in (True, False):
+        reps = classes.select("rep", "n").join(comps, classes["rep"] == comps["id"], "left").select(F.col("rep").alias("id"), "n", F.coalesce("component", "rep").alias("comp"))
+        held = staged(met.join(reps, "id").distinct(), "groups")
+        open_ = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi").select("token", F.ceil(F.col("c") / GROUP_DOCS).cast("int").alias("blocks"))
+        rows = held.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "id", "n", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+        rows = staged(rows, "open-groups")
+        bits = signed.where("n > 0").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id", "n").agg(F.first("bits").alias("bits"))
+        rows = rows.join(bits, ["id", "n"]).select("token", "p", "q", "id", "n", "comp", "bits", "block")
+        pairs = rows.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q").mapInArrow(_candidates(best), "a long, b long").distinct()
+        links = links.unionByName(verified(pairs, texts, width))
+        comps = staged(components(links), "components")
     named = signed.select("id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left")
     named = named.withColumn("rep", F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("rep", "id")))
     out = named.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
