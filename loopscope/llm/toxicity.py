@@ -239,7 +239,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     fit = np.flatnonzero(own)
     marks = lexicon([feats[i] for i in fit], y[fit])
     f, c = np.concatenate([feats[i] for i in fit]), np.concatenate([fresh[i] for i in fit])
-    marked = np.isin(f, marks).any(1)
+    hit = np.isin(f, marks)
+    marked = hit.any(1)
+    # a token with a mark counts by its marks alone: the weight goes to what other words share, not to this word's own features
+    f = np.where(marked[:, None] & ~hit, np.uint32(0), f)
     tag = marked & np.repeat(y[fit] == 1, [len(feats[i]) for i in fit])
     # chains without a marked token are alike: a tenth of them keeps the fit small
     busy = np.bincount(np.cumsum(c) - 1, marked) > 0

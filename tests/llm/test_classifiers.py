@@ -20,7 +20,7 @@ def corpus(n=400, seed=0):
         toxic, good = i % 4 == 0, i % 3 > 0
         if toxic:
             for _ in range(2):
-                words.insert(rng.randrange(len(words)), rng.choice([*BAD, "vequ" + rng.choice(["ta", "no", "le", "ri"])]))
+                words.insert(rng.randrange(7), rng.choice([*BAD, "vequ" + rng.choice(["ta", "no", "le", "ri"])]))
         text = " ".join(words) if good else " ".join(w.upper() + "!!" for w in words[:8]) * 3
         rows.append((i, text, "en", "s"))
         labels.append((i, int(good), int(toxic)))
