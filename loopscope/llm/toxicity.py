@@ -19,8 +19,10 @@ KINDS = 1 + len(PREFIXES)
 #: Words of one chain at most; chains also end with a sentence, and together they are the whole text.
 CHAIN = 64
 SENTENCE_ENDS = (10, 33, 46, 63)
-#: A feature marks toxic words if at least so many toxic documents hold it that hold no stronger one, and it is so much commoner there than in others.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 5, 0.004, 10.0
+#: A feature marks toxic words if at least so many toxic documents hold it, it is so much commoner there than in others, and it stands after so many different words for each time it occurs.
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, LEAST_VARIETY = 5, 0.02, 50.0, 0.4
+#: So many different words before it are enough however often it occurs.
+VARIED_ENOUGH = 15
 #: How many toxic documents a feature must win for each clean one that holds it (at equal class sizes).
 CLEAN_COST = 20
 #: Marginals below this don't add to a document's sum: thousands of clean words must not make a toxic one.
@@ -191,30 +193,48 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Features that set toxic documents apart: each next one is judged by the toxic documents that hold none so far.
+    """Features that set toxic documents apart, strongest first, each judged by the tokens that no stronger one marks.
 
-    The one that most of these hold, less CLEAN_COST for clean documents that hold it, wins; of equals, the most specific kind.
+    The one that most toxic documents hold, less CLEAN_COST for clean ones, wins; of equals, the most specific kind.
+    Words of copied documents come after the same words again and again; features must stand after many.
     """
     every = np.concatenate(docs)
     used = np.unique(every)
     kind = np.zeros(len(used), "i8")
     for j in range(KINDS):
         kind[np.searchsorted(used, np.unique(every[:, j]))] = j
-    own = [np.searchsorted(used, np.unique(d)) for d in docs]
-    clean = np.bincount(np.concatenate([np.zeros(0, "i8"), *(d for d, c in zip(own, y) if c == 0)]), minlength=len(used))
-    bad = [d for d, c in zip(own, y) if c == 1]
+    clean = np.zeros(len(used), "i8")
+    for d, c in zip(docs, y):
+        if c == 0:
+            clean[np.searchsorted(used, np.unique(d))] += 1
+    bad = [d for d, c in zip(docs, y) if c == 1 and len(d)]
     n_clean, n_bad, out = max(1, int((y == 0).sum())), max(1, len(bad)), []
-    least = max(LEAST_DOCS, LEAST_SHARE * n_bad)
-    while bad:
-        count = np.bincount(np.concatenate(bad), minlength=len(used))
-        count[(count / n_bad < LEAST_RATIO * (clean + 0.5) / n_clean) | (used == 0)] = 0
+    if not bad:
+        return np.zeros(0, "u4")
+    at = np.searchsorted(used, np.concatenate(bad))
+    doc = np.repeat(np.arange(len(bad)), [len(d) for d in bad])
+    before = np.concatenate([np.r_[np.uint32(0), d[:-1, 0]] for d in bad])
+    follows = np.unique(np.stack([at.ravel(), np.repeat(before, KINDS)]), axis=1)[0]
+    varied = np.bincount(follows, minlength=len(used)) >= np.minimum(LEAST_VARIETY * np.bincount(at.ravel(), minlength=len(used)), VARIED_ENOUGH)
+    token, doc, at = np.repeat(np.arange(len(at)), KINDS), np.repeat(doc, KINDS), at.ravel()
+
+    def counts() -> np.ndarray:
+        return np.bincount(np.unique(at * len(bad) + doc) // len(bad), minlength=len(used))
+
+    count = counts()
+    apart = varied & (used > 0) & (count >= max(LEAST_DOCS, LEAST_SHARE * n_bad)) & (count / n_bad >= LEAST_RATIO * (clean + 0.5) / n_clean)
+    keep = apart[at]  # no other feature can win later, since counts only fall
+    token, doc, at = token[keep], doc[keep], at[keep]
+    while len(at):
+        count = counts()
         gain = count - CLEAN_COST * clean * n_bad / n_clean
-        gain[count < least] = -np.inf
+        gain[count < max(LEAST_DOCS, LEAST_SHARE * n_bad)] = -np.inf
         best = int((np.round(gain) * KINDS - kind).argmax())
-        if count[best] < least:
+        if not gain[best] > 0:
             break
         out.append(used[best])
-        bad = [d for d in bad if best not in d]
+        keep = ~np.isin(token, token[at == best])
+        token, doc, at = token[keep], doc[keep], at[keep]
     return np.array(sorted(out), "u4")
 
 
