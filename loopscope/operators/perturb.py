@@ -10,7 +10,7 @@ from loopscope.functions import text as T
 from loopscope.plans import views as V
 from loopscope.plans.registry import n, query
 
-_CAND = f"{V.ENTS}, {V.QUESTIONS}, {V.GOLD}, l AS (SELECT *, list_transform(regexp_extract_all(answer, '\\b[A-Z][a-z]{{3,}}\\b'), lambda x: lower(x)) AS l FROM runs), c AS (SELECT question_id, min(iteration_number * 10000000 + run_idx * 1000000 + pos) AS pos, e AS candidate FROM (SELECT question_id, iteration_number, run_idx, unnest(l) AS e, unnest(range(0, len(l))) AS pos FROM l) GROUP BY question_id, e), ok AS (SELECT question_id, pos, candidate, gold FROM c JOIN gold USING (question_id) JOIN questions USING (question_id) WHERE {V.sql_norm('candidate')} <> '' AND NOT contains({V.sql_norm('candidate')}, {V.sql_norm('gold')}) AND NOT contains({V.sql_norm('gold')}, {V.sql_norm('candidate')}) AND NOT {V.sql_contains('question_text', 'candidate')})"
+_CAND = f"{V.ENTS}, {V.QUESTIONS}, {V.GOLD}, l AS (SELECT *, list_transform(regexp_extract_all(answer, '[A-Z][a-z]{{3,}}'), lambda x: lower(x)) AS l FROM runs), c AS (SELECT question_id, min(iteration_number * 10000000 + run_idx * 1000000 + pos) AS pos, e AS candidate FROM (SELECT question_id, iteration_number, run_idx, unnest(l) AS e, unnest(range(0, len(l))) AS pos FROM l) GROUP BY question_id, e), ok AS (SELECT question_id, pos, candidate, gold FROM c JOIN gold USING (question_id) JOIN questions USING (question_id) WHERE {V.sql_norm('candidate')} <> '' AND NOT contains({V.sql_norm('candidate')}, {V.sql_norm('gold')}) AND NOT contains({V.sql_norm('gold')}, {V.sql_norm('candidate')}) AND NOT {V.sql_contains('question_text', 'candidate')})"
 
 
 def substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:

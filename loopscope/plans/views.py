@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from loopscope.functions import text as T
 
-#: A capitalised word of four letters or more.
-ENTITY = r"\b[A-Z][a-z]{3,}\b"
+#: A capitalised word of four ASCII letters or more; no word boundaries, since engines differ on them beside other letters.
+ENTITY = r"[A-Z][a-z]{3,}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,7 @@ DOCS = (
     "docs AS (SELECT doc_id // 40 AS question_id, (doc_id // 10) % 4 + 1 AS iteration_number, doc_id % 10 AS slot, doc_id AS row_id, doc_id % 3 = 0 AS is_ai, source, text, "
     "concat_ws('_', CASE WHEN doc_id % 3 = 0 THEN 'gen' ELSE 'ref' END, (doc_id // 10) % 4 + 1, doc_id % 10) AS doc_id FROM documents)"
 )
-ENTS = RUNS + r", ents AS (SELECT question_id, iteration_number, run_idx, list_distinct(list_transform(regexp_extract_all(answer, '\b[A-Z][a-z]{3,}\b'), lambda x: lower(x))) AS ents FROM runs)"
+ENTS = RUNS + r", ents AS (SELECT question_id, iteration_number, run_idx, list_distinct(list_transform(regexp_extract_all(answer, '[A-Z][a-z]{3,}'), lambda x: lower(x))) AS ents FROM runs)"
 GOLD = "gold AS (SELECT item_id AS question_id, lower(regexp_extract(text, '[A-Za-z]{4,}')) AS gold FROM benchmark)"
 
 
