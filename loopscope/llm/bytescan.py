@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,6 +74,21 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+@lru_cache(1)
+def _malloc_trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def trim() -> None:
+    """Give freed memory back: workers are used again by later stages, and what one held must not add up."""
+    pa.default_memory_pool().release_unused()
+    if f := _malloc_trim():
+        f(0)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most `most` bytes of text each, or one row; nulls become empty texts."""
     texts = batch.column(column).fill_null("")
@@ -83,6 +99,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -232,6 +232,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both * DEN >= (len(x) + len(y) - both) * NUM)
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        bytescan.trim()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -321,6 +322,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = [*ids, i] if count <= GROUP_DOCS else []
     if token is not None:
         yield from close()
+    bytescan.trim()
 
 
 def _candidates(best: bool):
@@ -356,6 +358,7 @@ def _candidates(best: bool):
             if found:
                 both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        bytescan.trim()
 
     return run
 

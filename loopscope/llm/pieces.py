@@ -17,7 +17,7 @@ from .bytescan import slices
 
 SPACE = "▁"
 #: Segments and pairs that a worker remembers.
-REMEMBERED = 900_000
+REMEMBERED = 500_000
 
 
 class Remembered(dict):
