@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from . import labelled
-from .bytescan import buffers, lower_az, mix, not_letter, slices, words
+from .bytescan import buffers, lower_az, mix, not_letter, slices, trim, words
 
 #: Features of a token: the whole word, and its first so many bytes where it has more. From specific to general.
 PREFIXES = (6, 5, 4)
@@ -28,7 +28,7 @@ CLEAN_COST = 20
 #: Marginals below this don't add to a document's sum: thousands of clean words must not make a toxic one.
 FAINT = 0.2
 #: Labelled documents of each class that the field is fitted on.
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS = 1200
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, ...]:
@@ -214,8 +214,8 @@ def lexicon(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     at = np.searchsorted(used, np.concatenate(bad))
     doc = np.repeat(np.arange(len(bad)), [len(d) for d in bad])
     before = np.concatenate([np.r_[np.uint32(0), d[:-1, 0]] for d in bad])
-    follows = np.unique(np.stack([at.ravel(), np.repeat(before, KINDS)]), axis=1)[0]
-    varied = np.bincount(follows, minlength=len(used)) >= np.minimum(LEAST_VARIETY * np.bincount(at.ravel(), minlength=len(used)), VARIED_ENOUGH)
+    follows = np.unique((at.astype("u8") << np.uint64(32) | before[:, None]).ravel()) >> np.uint64(32)
+    varied = np.bincount(follows.astype("i8"), minlength=len(used)) >= np.minimum(LEAST_VARIETY * np.bincount(at.ravel(), minlength=len(used)), VARIED_ENOUGH)
     token, doc, at = np.repeat(np.arange(len(at)), KINDS), np.repeat(doc, KINDS), at.ravel()
 
     def counts() -> np.ndarray:
@@ -251,6 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     feats = [np.frombuffer(got[i][0], "u4").reshape(-1, KINDS) for i in order]
     fresh = [np.frombuffer(got[i][1], bool) for i in order]
     y = np.array([got[i][2] for i in order], "i8")
+    del got
     field = Field()
     own = np.arange(len(y)) % 5 > 0
     if len(set(y[own])) < 2 or len(set(y[~own])) < 2:
@@ -267,11 +268,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     # chains without a marked token are alike: a tenth of them keeps the fit small
     busy = np.bincount(np.cumsum(c) - 1, marked) > 0
     keep = (busy | (np.arange(len(busy)) % 10 == 0))[np.cumsum(c) - 1]
-    field.fit(f[keep], c[keep], tag[keep])
+    f, c, tag = f[keep], c[keep], tag[keep]
+    trim()
+    field.fit(f, c, tag)
+    del f, c, tag
     rest = np.flatnonzero(~own)
     total = np.array([field.total(feats[i], fresh[i]) for i in rest])
     weight = np.array([sizes.get(k, 1) for k in (0, 1)], float) / np.bincount(y[rest], minlength=2)
     field.curve = labelled.platt(np.log(total + 1e-2), y[rest], weight[y[rest]] * len(rest) / weight[y[rest]].sum())
+    del feats, fresh
+    trim()
     return field
 
 
