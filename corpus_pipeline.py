@@ -33,7 +33,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
     Texts without words link with nothing and stay; so do rows without doc_id.
     """
-    found, _ = jaccard.jaccard_join(docs)
+    found = jaccard.near_components(docs)
     lone = found.where("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
     wordless = docs.where(F.col("doc_id").isNull() | ~F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
     worded = docs.where(F.col("doc_id").isNotNull() & F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))

@@ -17,6 +17,8 @@ from .shared import staged
 NUM, DEN = 3, 4
 #: Documents of one group that a task takes at once; larger groups are dealt into pairs of blocks.
 GROUP_DOCS = 4096
+#: Documents, and tokens of their sets, of one block in which a component's links are counted.
+LINK_DOCS, LINK_TOKENS = 1024, 1_000_000
 #: Ranges of the hash space that give larger sets their keys; sets from SMALL tokens on use them.
 BINS, SMALL = 24, 48
 #: Entries of a tree node.
@@ -363,8 +365,131 @@ def _candidates(best: bool):
     return run
 
 
+def _whole_sets(flags: bytes, width: int):
+    """id, n, k1, tokens of the texts whose flag is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(np.frombuffer(flags, "u1"), bitorder="little")
+        for b in batches:
+            at = b.column(2).to_numpy(zero_copy_only=False)
+            b = b.take(pa.array(np.flatnonzero(table[at])))
+            for part in bytescan.slices(b, 1):
+                sets = bytescan.shingle_sets(part.column(1), width)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array([s.sum(dtype="u8") for s in sets], "u8").view("i8")), pa.array([_pack(s) for s in sets], pa.binary())],
+                    names=["id", "n", "k1", "tokens"],
+                )
+
+    return run
+
+
+def links_between(sets: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets that reach the similarity, within all of them or between left and right (positions), counted exactly."""
+    n = np.array([len(s) for s in sets], "i8")
+    if left is None and len(sets) <= 64:
+        a, b = np.triu_indices(len(sets), 1)
+    else:
+        a, b, _ = similar(n, [bitmap(s) for s in sets], left, right)
+    fit = (n[a] * DEN >= n[b] * NUM) & (n[b] * DEN >= n[a] * NUM)
+    a, b = a[fit], b[fit]
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    if not len(a):
+        return a, b
+    kinds, token = np.unique(np.concatenate(sets), return_inverse=True)
+    off = np.cumsum(n) - n
+    mark, keep = np.zeros(len(kinds), bool), np.zeros(len(a), bool)
+    at = np.r_[0, np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)]
+    for s, e in zip(at[:-1], at[1:]):
+        own = token[off[a[s]] : off[a[s]] + n[a[s]]]
+        mark[own] = True
+        size = n[b[s:e]]
+        begin = np.cumsum(size) - size
+        here = np.repeat(off[b[s:e]] - begin, size) + np.arange(size.sum())
+        both = np.add.reduceat(mark[token[here]], begin, dtype="i8")
+        keep[s:e] = both * DEN >= (len(own) + size - both) * NUM
+        mark[own] = False
+    return a[keep], b[keep]
+
+
+def _within(pairs: bool):
+    """Of (comp, p, q, id, n, k1, size, block, tokens) sorted by comp, p, q: the links of two blocks of a component, as pairs or
+    as id, n, k1, links (documents that a set's links lead to)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(["comp", "p", "q"], batches):
+            comp, p, q, ids, n, k1, size, block = (t[k].to_numpy() for k in ("comp", "p", "q", "id", "n", "k1", "size", "block"))
+            at = np.r_[0, np.flatnonzero((comp[1:] != comp[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1, len(t)]
+            tokens = t["tokens"].combine_chunks() if t["tokens"].num_chunks != 1 else t["tokens"].chunk(0)
+            found: list[list[np.ndarray]] = []
+            for s, e in zip(at[:-1], at[1:]):
+                # rows that repeat a document with the same text are one
+                rows = s + np.unique(np.stack([ids[s:e], n[s:e], k1[s:e]], 1), axis=0, return_index=True)[1]
+                sets = [_unpack(tokens[int(r)].as_buffer()) >> np.uint64(24) for r in rows]
+                if p[s] == q[s]:
+                    a, b = links_between(sets)
+                else:
+                    one, two = np.flatnonzero(block[rows] == p[s]), np.flatnonzero(block[rows] == q[s])
+                    if not len(one) or not len(two):
+                        continue
+                    a, b = links_between(sets, one, two)
+                a, b = rows[a], rows[b]
+                other = ids[a] != ids[b]  # two texts of one document are no link
+                a, b = a[other], b[other]
+                if not len(a):
+                    continue
+                if pairs:
+                    found.append([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])])
+                else:
+                    near = np.bincount(a - s, size[b], e - s) + np.bincount(b - s, size[a], e - s)
+                    some = np.flatnonzero(near)
+                    found.append([ids[s + some], n[s + some], k1[s + some], near[some].astype("i8")])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"] if pairs else ["id", "n", "k1", "links"])
+        bytescan.trim()
+
+    return run
+
+
+def _component_blocks(docs: DataFrame, classes: DataFrame, comps: DataFrame, width: int) -> DataFrame:
+    """The classes of each component with their whole sets, dealt into pairs of blocks: comp, p, q, id, n, k1, size, block, tokens."""
+    spark = docs.sparkSession
+    nodes = classes.join(comps, classes["rep"] == comps["id"]).select(F.col("rep").alias("id"), "n", "k1", "size", F.col("component").alias("comp"))
+    blocks = nodes.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LINK_DOCS), F.ceil(F.sum("n") / LINK_TOKENS)).cast("int").alias("blocks"))
+    nodes = nodes.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("id", "n", "k1"), F.col("blocks").cast("long")).cast("int"))
+    nodes = staged(nodes, "component-classes")
+    spot = F.pmod(F.xxhash64("id"), F.lit(FLAG_BITS)).cast("long")
+    marks = nodes.select(spot.alias("h")).groupBy(F.bitmap_bucket_number(F.col("h") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("h") + 1)).alias("m"))
+    flags = bytearray(FLAG_BITS // 8)
+    for k, m in marks.collect():
+        flags[(k - 1) * 4096 : k * 4096] = bytes(m)
+    sets = docs.select("id", "text", spot.alias("h")).mapInArrow(_whole_sets(bytes(flags), width), "id long, n long, k1 long, tokens binary")
+    rows = sets.join(nodes, ["id", "n", "k1"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("comp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "n", "k1", "size", "block", "tokens")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    return rows.repartition(parts, "comp", "p", "q").sortWithinPartitions("comp", "p", "q")
+
+
 def jaccard_join(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, links): doc_id, n_shingles, class_id and component_id of every row; links(a, b) between class representatives.
+    """(documents, links): doc_id, n_shingles, class_id, component_id and n_links of every row; links(a, b) between class representatives.
+
+    Components are those of near_components(). All links lie within them, so each component's classes are compared
+    whole, in pairs of blocks of LINK_DOCS classes: trees as there, then exact counts of what remains. Every link is
+    counted. n_links is how many other documents a row's set links with, those with an equal set included; a document
+    with several different texts counts once for each of them. The links themselves are made when they are read.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    named, classes, comps = _components(docs, width)
+    blocks = _component_blocks(docs.where("id is not null"), classes, comps, width)
+    near = blocks.mapInArrow(_within(False), "id long, n long, k1 long, links long").groupBy("id", "n", "k1").agg(F.sum("links").alias("links"))
+    near = classes.join(near.withColumnRenamed("id", "rep"), ["rep", "n", "k1"], "left").select("n", "k1", "k2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = named.join(near, ["n", "k1", "k2"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return out, blocks.mapInArrow(_within(True), "a long, b long").distinct()
+
+
+def near_components(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of every row.
 
     Two documents link when their sets of distinct `width`-word shingles have a Jaccard similarity of NUM/DEN or more.
 
@@ -376,16 +501,22 @@ def jaccard_join(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text:
        their greatest possible overlap. A group beyond GROUP_DOCS documents is dealt into pairs of blocks.
     4. What remains is counted exactly from the whole texts; links join components.
 
-    No cap is set on partners or candidates. Links inside a component that step 2 has already made are not all
-    counted again: links span every component, and every link between different components is found.
+    No cap is set on partners or candidates. Links inside a component that step 2 has already made are not counted
+    here, as they change no component; jaccard_join() counts them all.
 
     Null or wordless texts have an empty set and link with nothing, not even with each other: n_shingles 0, component
     is the own doc_id. Rows without doc_id are returned with null class and component. Rows that repeat a doc_id are
     one document to the links (any of their texts counts). Empty tables give empty results. Other columns are ignored.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return _components(docs, width)[0].select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+
+
+def _components(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row of docs(id, text) with class and component; the classes; component of every class that links."""
     signed = staged(docs.mapInArrow(_sign(width), SIGNED), "signatures")
-    classes = signed.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("low").alias("low"))
+    classes = signed.where("n > 0 and id is not null").groupBy("n", "k1", "k2", "id").agg(F.first("low").alias("low"))
+    classes = classes.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.first("low").alias("low"), F.count(F.lit(1)).alias("size"))
     classes = staged(classes, "classes")
     lows = classes.select(F.col("rep").alias("a"), "n", F.posexplode("low").alias("order", "token"))
     pick = F.when(F.col("order") < 2, F.col("a")).otherwise(F.xxhash64("a", "order"))  # half of the groups' leaders by id, half at random
@@ -417,4 +548,5 @@ def jaccard_join(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text:
     named = named.withColumn("rep", F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("rep", "id")))
     out = named.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     # a doc_id that occurs with several texts belongs where the smallest of its components is
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")), links
+    out = out.select(F.col("id").alias("doc_id"), "n", "k1", "k2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    return out, classes, comps

@@ -118,3 +118,18 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
+
+
+def test_every_link_is_counted(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "LINK_DOCS", 20)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i, k in enumerate(rng.choices(range(80), k=90))]  # near copies, all with different texts
+    rows += [(200 + i, rows[0][1]) for i in range(3)] + [(300, "alone and like no other text")]
+    got, links = jaccard.jaccard_join(docs([(i, t, None, None) for i, t in rows]))
+    s = sets(rows)
+    near = {(a, b) for a in s for b in s if a < b and 7 * len(s[a] & s[b]) >= 3 * (len(s[a]) + len(s[b]))}
+    assert {r["doc_id"]: r["n_links"] for r in got.collect()} == {i: sum(i in x for x in near) for i in s}
+    mine = [(r["a"], r["b"]) for r in links.collect()]
+    assert len(mine) == len(set(mine)) and set(mine) == {(a, b) for a, b in near if b < 200}
+    assert len(mine) > 2000
