@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopscope.llm import jaccard, langid, mixing, pieces, toxicity
-from loopscope.llm.shared import fold, shared_dir
+from loopscope.llm.shared import fold, shared_dir, staged
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +43,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole copies, 0 to 2."""
-    mixed = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    single = docs.join(mixed.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    # rows that share a doc_id share its copies: the first ones get one more than the others where they do not divide
-    single = single.withColumn("_n", F.when(F.col("rows") == 1, F.col("copies")).otherwise(F.greatest(F.lit(1), F.floor(F.col("copies") / F.col("rows")).cast("int"))))
-    return single.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    docs = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    mixed = mixing.mix(docs, row="_row").where("copies > 0").select("_row", "copies")
+    return docs.join(mixed, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_row", "copies", "_copy")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,7 +98,7 @@ def _fly(seed: int, last: bool):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target and copies (0, 1, 2, ...) of every row of docs.
 
     A source with target = r x size takes each document floor(r) times and once more with probability r - floor(r).
@@ -110,9 +110,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     One row per source reaches the driver (sources are the mix's configuration, not data). Draws depend on the seed
     and the rows' values alone, so reruns agree. Null texts and texts without words have size 0 and take part (0
     words whatever is drawn); a null source is a source of its own, after all others; null and repeated doc_ids and
-    repeated rows are units of their own; an empty table gives an empty result; other columns are ignored.
+    repeated rows are units of their own; an empty table gives an empty result; other columns are ignored, except
+    that `row`, a key of the single rows, is carried along and comes last.
     """
-    rows = docs.select(F.col(doc_id).alias("_unit"), F.col(source).alias("_source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
+    key = [row] if row else []
+    rows = docs.select(*key, F.col(doc_id).alias("_unit"), F.col(source).alias("_source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
     rows = staged(rows, "mix-sizes")
     totals = [tuple(r) for r in rows.groupBy("_source").agg(F.sum("_size"), F.count(F.lit(1))).collect()]
     goal = targets([(s, n) for s, n, _ in totals], weights, share, most)
@@ -126,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     if len(book) <= BROADCAST_SOURCES:
         book_df = F.broadcast(book_df)
     h = F.xxhash64("_unit", "_size")
-    units = rows.join(book_df, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "_unit", "_size", h.alias("_h"), F.pmod(h, F.col("_groups").cast("long")).alias("_group"), F.col("_frac").alias("_p"))
+    units = rows.join(book_df, F.col("_source").eqNullSafe(F.col("_s")), "left").select(*key, "_source", "_unit", "_size", h.alias("_h"), F.pmod(h, F.col("_groups").cast("long")).alias("_group"), F.col("_frac").alias("_p"))
     done, level = [], units
     groups = max((b[5] for b in book), default=1)
     while True:
@@ -142,4 +144,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     for d in done[1:]:
         out = out.unionByName(d)
     out = out.join(book_df, F.col("_source").eqNullSafe(F.col("_s")), "left")
-    return out.select(F.col("_unit").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") + F.col("_p").cast("int")).alias("copies"))
+    return out.select(F.col("_unit").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", (F.col("_whole") + F.col("_p").cast("int")).alias("copies"), *key)

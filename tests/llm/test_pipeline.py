@@ -32,6 +32,17 @@ def test_mix_repeats_whole_rows(spark):
     assert got.columns == COLUMNS and set(counts.values()) <= {1, 2}
 
 
+def test_mix_counts_each_row_of_a_repeated_id(spark):
+    rows = [(None if i % 2 else 7, "" if i % 5 else "w " * (i % 4), "en", "abc"[i % 10 // 4], i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r["source"]: r["n"] for r in corpus_pipeline.mixing.mix(df).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    got = corpus_pipeline.mix_sources(spark, df, SF)
+    assert got.columns == COLUMNS
+    assert {r["source"]: r["count"] for r in got.groupBy("source").count().collect()} == {s: n for s, n in want.items() if n}
+    times = {r["n_chars"]: r["count"] for r in got.groupBy("n_chars").count().collect()}
+    assert len(times) < 300 and set(times.values()) == {1, 2}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_whole_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
