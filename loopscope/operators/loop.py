@@ -17,6 +17,8 @@ from loopscope.plans.registry import n, query, r6
 #: Rounds of each variant, and documents retrieved.
 ROUNDS = {"replace_all": 10, "replace_one": 20, "search": 30, "agentic_rag": 30}
 TOP = 5
+#: A question whose answers have equal signatures in so many consecutive rounds leaves the loop.
+EQUAL_ROUNDS = 4
 #: A generator turns (question_id, run_idx, question_text, context array<string>) into the same keys and `answer`.
 Generator = Callable[[DataFrame], DataFrame]
 
@@ -37,7 +39,7 @@ def search_rounds(store: DataFrame, questions: DataFrame, rounds: int, runs: int
     """question_id, round, ai_share, n_answers and mean relevance of every round.
 
     Each round retrieves, lets `runs` runs answer, draws one answer by keyed hash, and appends it to the store as a
-    generated document. Questions whose answers have not changed for a round leave the loop. The store and the
+    generated document. Questions with EQUAL_ROUNDS equal signatures (sorted answer lengths) in a row leave the loop. The store and the
     report are checkpointed each round, so plans stay as long as one round.
     """
     questions = questions.select("question_id", "question_text", F.array_distinct(T.rouge_tokens(F.col("question_text"))).alias("q"))
@@ -54,12 +56,14 @@ def search_rounds(store: DataFrame, questions: DataFrame, rounds: int, runs: int
         report = rows if report is None else report.unionByName(rows)
         new = per.select("question_id", F.lit(-r).cast("long").alias("doc"), F.lit(True).alias("is_ai"), F.col("answer").alias("text"), F.array_distinct(T.rouge_tokens(F.col("answer"))).alias("d"))
         store = cut(store.unionByName(new))
+        same = per.select("question_id", "sig").withColumn("times", F.lit(1))
         if last is not None:
-            still = per.join(last, ["question_id", "sig"], "left_anti").select("question_id")
-            questions = cut(questions.join(still, "question_id", "left_semi"))
-            if questions.isEmpty():
-                break
-        last = per.select("question_id", "sig")
+            before = last.select("question_id", F.col("sig").alias("old"), F.col("times").alias("had"))
+            same = same.join(before, "question_id", "left").select("question_id", "sig", F.when(F.col("sig") == F.col("old"), F.col("had") + 1).otherwise(F.lit(1)).alias("times"))
+        last = cut(same)
+        questions = cut(questions.join(last.where(F.col("times") >= EQUAL_ROUNDS).select("question_id"), "question_id", "left_anti"))
+        if questions.isEmpty():
+            break
     return report.select("question_id", n(F.col("round"), "round"), r6("ai", "ai_share"), n(F.col("k"), "n_answers"), r6("rel", "mean_relevance"))
 
 
@@ -70,13 +74,13 @@ def _start(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query()
 def search_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_rounds(*_start(spark, sf_dir), rounds=3)
+    return search_rounds(*_start(spark, sf_dir), rounds=ROUNDS["search"])
 
 
 @query()
 def rerank_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with generated documents penalised in retrieval."""
-    return search_rounds(*_start(spark, sf_dir), rounds=3, penalty=0.7)
+    return search_rounds(*_start(spark, sf_dir), rounds=ROUNDS["search"], penalty=0.7)
 
 
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
