@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,26 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import slices
-from .shared import quantile_bounds, shared_dir
+from .bytescan import Hasher, Memory, buffers, lower_az, not_letter, slices, spans, trim
+from .shared import shared_dir
 
 MAGIC = b"LSBP0001"
-#: Ids of a block; documents of an ordered bucket, about, and buckets (files) at most.
-BLOCK_IDS, FILE_DOCS, MOST_FILES = 65_536, 20_000, 4096
-REMEMBERED = 800_000
+#: Ids of a block; documents of an ordered bucket (a file), about. Beyond MOST_FILES x FILE_DOCS documents, files grow instead.
+BLOCK_IDS, FILE_DOCS, MOST_FILES = 65_536, 20_000, 65_536
+#: Words that a worker remembers, and bytes beyond which a word is not one of them.
+REMEMBERED, LONG_WORD = 3_000_000, 256
+# How the tokenizer's file must normalise and cut texts.
+EXPECTED = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    None,
+]
 
 
 # -- the format -----------------------------------------------------------------------------------------------------
@@ -68,11 +82,16 @@ class Writer:
         self.zstd = zstandard.ZstdCompressor(level=level)
         self.at = out.write(MAGIC) or len(MAGIC)
         self.held: list[np.ndarray] = []
-        self.count, self.total, self.chunks = 0, 0, []
-        self.docs: list[tuple[int | None, int]] = []
+        self.count, self.total, self.documents, self.chunks = 0, 0, 0, []
+        self.docs: list[pa.Table] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+        self.add_many(pa.array([doc_id], pa.int64()), np.array([len(ids)]), ids)
+
+    def add_many(self, doc_ids: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Documents with their numbers of ids, and the ids of all one after the other."""
+        self.docs.append(pa.table({"doc_id": doc_ids.cast(pa.int64()), "n": pa.array(sizes, pa.int64())}))
+        self.documents += len(doc_ids)
         self.held.append(ids)
         self.count += len(ids)
         if self.count >= self.block:
@@ -96,7 +115,8 @@ class Writer:
     def close(self) -> None:
         if self.count:
             self._flush(np.concatenate(self.held))
-        table = pa.table({"doc_id": pa.array([d for d, _ in self.docs], pa.int64()), "n": pa.array([n for _, n in self.docs], pa.int64())})
+        table = pa.concat_tables(self.docs) if self.docs else pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        table = table.combine_chunks()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as w:
             w.write_table(table)
@@ -154,51 +174,118 @@ class Reader:
 # -- tokens ---------------------------------------------------------------------------------------------------------
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, all others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
 class Tokens:
     """Ids of whole texts under a `tokenizers` file whose normaliser folds white space, without special tokens.
 
-    No token reaches across white space, so each word's ids are asked for once and remembered. A plain word (letters
-    below U+0250 in their composed form, then at most common punctuation) is cut into its letters, lower-cased, and
-    its punctuation, as the file's own pre-tokeniser cuts it, so that variants share one entry.
+    No token reaches across white space, so words are found in whole buffers. A plain word (letters below U+0250, then
+    at most common punctuation) is cut into its letters and its punctuation, as the file's own pre-tokeniser cuts it;
+    the pieces are hashed (64 bits), each distinct one is tokenized once and remembered, and the ids of all are
+    gathered. Words beyond LONG_WORD bytes are tokenized where they stand.
+
+    A file with another normaliser or pre-tokeniser than the expected ones is refused.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def _split(self, w: str) -> tuple[str, str] | None:
-        core = w.rstrip(".,!?;:")
-        if core.isalpha() and (core.isascii() or (max(core) < "ɐ" and len(core.lower()) == len(core) and unicodedata.is_normalized("NFC", core))):
-            return core.lower(), w[len(core) :]
-        return None
-
-    def learn(self, words: set[str]) -> None:
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words = {"": b""}
-            new = words - {""}
-        cut = {w: self._split(w) for w in new}
-        ask = {p for c in cut.values() if c for p in c if p}.difference(self.parts)
-        if len(self.parts) + len(ask) > REMEMBERED:
-            self.parts = {}
-            ask = {p for c in cut.values() if c for p in c if p}
-        for known, some in ((self.parts, ask), (self.words, {w for w, c in cut.items() if not c})):
-            some = list(some)
-            for i in range(0, len(some), 10_000):
-                for w, e in zip(some[i : i + 10_000], self.tok.encode_batch_fast(some[i : i + 10_000], add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, c in cut.items():
-            if c:
-                self.words[w] = self.parts[c[0]] + (self.parts[c[1]] if c[1] else b"")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        self.learn(set().union(*cut))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if [spec["normalizer"], spec["pre_tokenizer"], spec["post_processor"]] != EXPECTED:
+            raise ValueError("not a tokenizer of lower-cased words")
+        self.model, self.letter = self.tok.model, dict(enumerate(byte_letters()))
+        self.same, self.low = np.arange(256, dtype="u1"), lower_az()
+        self.space, self.tail = np.isin(self.same, (9, 10, 32)), np.isin(self.same, list(b".,!?;:"))
+        self.odd = not_letter()
+        self.odd[128:0xC3] = False  # second bytes of
+        self.odd[0xCA:] = True  # letters from U+00C0 to U+024F alone
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memory, self.ids = Memory(), np.zeros(0, "u4")
+        self.begin, self.size = np.zeros(0, "i8"), np.zeros(0, "i8")
+
+    def tokenize(self, word: bytes, plain: bool) -> list[int]:
+        if plain:
+            return [t.id for t in self.model.tokenize(word.decode().lower().encode().decode("latin-1").translate(self.letter))]
+        return self.tok.encode(word.decode(), add_special_tokens=False).ids
+
+    def learn(self, hashes: np.ndarray, words: list[bytes], plain: np.ndarray) -> None:
+        ids = [self.tokenize(w, p) for w, p in zip(words, plain.tolist())]
+        size = np.fromiter(map(len, ids), "i8", len(ids))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), "u4", size.sum())])
+        self.memory.add(hashes)
+
+    def cut(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start, end, document, hash and plainness of every piece: letters and punctuation of plain words, whole words else."""
+        start, end, doc = spans(data, off, self.space)
+        tail, at = end.copy(), np.arange(len(end))
+        while len(at):
+            at = at[(tail[at] > start[at])]
+            at = at[self.tail[data[tail[at] - 1]]]
+            tail[at] -= 1
+        odd = self.odd[data]
+        pair = data[:-1].astype("u2") << 8 | data[1:]
+        odd[:-1] |= np.isin(pair, (0xC397, 0xC3B7, 0xC4B0))  # two signs that are no letters, and one that has two in lower case
+        seen = np.r_[0, np.cumsum(odd)]
+        plain = (tail > start) & (seen[tail] == seen[start]) & (tail - start <= LONG_WORD)
+        two = plain & (tail < end)
+        first = np.cumsum(1 + two) - 1 - two
+        n = len(start) + int(two.sum())
+        s, e, d, p = np.empty(n, "i8"), np.empty(n, "i8"), np.empty(n, "i8"), np.zeros(n, bool)
+        s[first], e[first], d[first], p[first] = start, np.where(plain, tail, end), doc, plain
+        then = first[two] + 1
+        s[then], e[then], d[then] = tail[two], end[two], doc[two]
+        h = Hasher(data, self.same)(s, e)
+        at = np.flatnonzero(p)
+        h[at] = Hasher(data, self.low)(s[at], e[at])
+        return s, e, d, h, p
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with the id `end` after it, and the number of each text's ids."""
+        data, off = buffers(texts)
+        start, stop, doc, h, plain = self.cut(data, off)
+        raw = data.tobytes()
+        long = np.flatnonzero(stop - start > LONG_WORD)
+        at = self.memory.find(h)
+        at[long] = 0
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            if len(self.memory) + len(miss) > REMEMBERED and len(self.memory):
+                self._forget()
+                miss = np.flatnonzero(stop - start <= LONG_WORD)
+            new, first = np.unique(h[miss], return_index=True)
+            first = miss[first]
+            self.learn(new, [raw[s:e] for s, e in zip(start[first].tolist(), stop[first].tolist())], plain[first])
+            at = self.memory.find(h)
+            at[long] = 0
+        if not len(self.memory):  # nothing but long words
+            self.learn(np.zeros(1, "u8"), [b""], np.zeros(1, bool))
+        begin, size, ids = self.begin[at], self.size[at], self.ids
+        if len(long):
+            own = [np.array(self.tokenize(raw[start[i] : stop[i]], False), "u4") for i in long]
+            size[long] = [len(x) for x in own]
+            begin[long] = len(ids) + np.cumsum(size[long]) - size[long]
+            ids = np.concatenate([ids, *own])
+        count = np.bincount(doc, size, len(texts)).astype("i8") if len(doc) else np.zeros(len(texts), "i8")
+        to = np.cumsum(size)
+        flat = ids[np.repeat(begin - (to - size), size) + np.arange(to[-1] if len(to) else 0)]
+        if end is None:
+            return flat, count
+        out = np.full(len(flat) + len(texts), end, "u4")
+        body = np.ones(len(out), bool)
+        body[np.cumsum(count + 1) - 1] = False
+        out[body] = flat
+        return out, count + 1
 
 
 @lru_cache(2)
@@ -210,20 +297,54 @@ def tokens(path: str) -> Tokens:
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI; Hadoop's names of object stores are those that Arrow knows without their last letter."""
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def _encode(path: str, end: int, bounds: list[int], wide: bool):
+class Buckets:
+    """Ordered buckets of about `rows` rows of a document id, rows without id last.
+
+    `cuts` are the ids at even quantiles: one that occurs m times there heads m buckets of its own, to which its rows
+    are dealt in turn, and the ids beyond it get the next; so are rows without id to as many as they ask for.
+    """
+
+    def __init__(self, cuts: list[int], nulls: int, rows: int):
+        ids, times = np.unique(np.array(cuts, "i8"), return_counts=True)
+        heavy = times > 1
+        after = ids[heavy] + 1
+        after = after[~np.isin(after, ids)]
+        self.ids, at = np.unique(np.concatenate([ids, after]), return_index=True)
+        self.parts = np.concatenate([times, np.ones(len(after), "i8")])[at]
+        self.first = 1 + np.cumsum(self.parts) - self.parts
+        self.null_first = 1 + int(self.parts.sum())
+        self.null_parts = max(1, -(-nulls // rows))
+        self.count = self.null_first + self.null_parts
+
+    def of(self, ids: np.ndarray, null: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), "i8")
+        if len(self.ids):
+            i = np.searchsorted(self.ids, ids, side="right") - 1
+            some = i >= 0
+            out[some] = (self.first[i] + turn % self.parts[i])[some]
+        out[null] = self.null_first + turn[null] % self.null_parts
+        return out
+
+
+def _encode(path: str, end: int, buckets: Buckets, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokens(path)
-        tail = np.array([end], "<u4").tobytes()
+        t, seen = tokens(path), 0
         for b in batches:
             for part in slices(b, 1):
-                ids = [np.frombuffer(x + tail, "<u4") for x in t.encode(part.column(1).to_pylist())]
+                ids, count = t.encode(part.column(1), end)
+                null = part.column(0).is_null().to_numpy(zero_copy_only=False)
                 doc = part.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-                bucket = np.searchsorted(np.array(bounds, "i8"), doc, side="right")
-                bucket[part.column(0).is_null().to_numpy(zero_copy_only=False)] = len(bounds) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype("i4")), part.column(0), pa.array([x.astype("<u4" if wide else "<u2").tobytes() for x in ids], pa.binary())], names=["bucket", "doc_id", "ids"])
+                bucket = buckets.of(doc, null, seen + np.arange(len(part)))
+                seen += len(part)
+                raw = ids.astype("<u4" if wide else "<u2")
+                off = np.r_[0, np.cumsum(count)] * raw.itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(off.astype("i8")), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype("i4")), part.column(0), packed], names=["bucket", "doc_id", "ids"])
 
     return run
 
@@ -236,43 +357,59 @@ def _write(folder: str, mode: str, wide: bool):
 
         def close() -> None:
             writer.close()
-            final = f"{base}/part-{now:05d}.bp"
-            fs.move(name, final)  # a task run twice puts the same bytes there
-            done.append((now, f"{folder}/part-{now:05d}.bp", len(writer.docs), writer.total))
+            final = f"{base}/part-{now:06d}.bp"
+            fs.move(name, final)  # a task run twice puts the same documents there
+            done.append((now, f"{folder}/part-{now:06d}.bp", writer.documents, writer.total))
 
         for b in batches:
-            for bucket, doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if bucket != now:
+            bucket = b.column(0).to_numpy()
+            data, off = buffers(b.column(2))
+            ids, off = data.view("<u4" if wide else "<u2"), off // (4 if wide else 2)
+            for s, e in _runs(bucket):
+                if bucket[s] != now:
                     if writer:
                         close()
-                    now, name = bucket, f"{base}/.{uuid.uuid4().hex}"
+                    now, name = bucket[s], f"{base}/.{uuid.uuid4().hex}"
                     writer = Writer(fs.open_output_stream(name), mode)
-                writer.add(doc, np.frombuffer(ids.as_buffer(), "<u4" if wide else "<u2").astype("<u4"))
+                writer.add_many(b.column(1).slice(s, e - s), np.diff(off[s : e + 1]), ids[off[s] : off[e]].astype("<u4"))
         if writer:
             close()
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64()), pa.array([d[3] for d in done], pa.int64())], names=["bucket", "path", "documents", "tokens"])
 
     return run
 
 
+def _runs(a: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of every run of equal values."""
+    at = np.r_[0, np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)] if len(a) else np.zeros(1, "i8")
+    return zip(at[:-1].tolist(), at[1:].tolist())
+
+
 def write(docs: DataFrame, path: str, end: int, folder: str | None = None, mode: str = "bit", doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int, int]]:
     """Encode every whole text, append the id `end`, and write all in ascending doc_id order; (file, documents, first token) of every file in order.
 
     Texts are encoded where they are read; ids alone are shuffled, to ordered buckets of about FILE_DOCS documents by
-    quantiles of doc_id, one file each, so no task holds more than a block and the driver sees one row a file. Files
-    appear whole under their final names, so a lost executor's task can run again.
+    quantiles of doc_id, one bucket a task and one file a bucket, so no task holds more than a block and the driver
+    sees one row a file. Files appear whole under their final names, so a lost executor's task can run again.
 
-    Null texts are empty (the end id alone). Equal doc_ids stay together, ordered by their ids' bytes; rows without
-    doc_id come last. An empty table writes no file. Other columns are ignored.
+    Null texts are empty (the end id alone). Equal doc_ids stand together in no particular order, those without doc_id
+    last; where so many rows share an id (or have none) that they fill several buckets, they are dealt to these in
+    turn. An empty table writes no file. Other columns are ignored.
     """
     from tokenizers import Tokenizer
 
     folder = folder or f"{shared_dir(docs.sparkSession)}/loopscope/tokens-{uuid.uuid4().hex}"
     wide = max(Tokenizer.from_file(path).get_vocab_size(), end) > 0xFFFF
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    bounds = quantile_bounds(rows, "doc_id", FILE_DOCS, MOST_FILES)
-    coded = rows.mapInArrow(_encode(path, end, bounds, wide), "bucket int, doc_id long, ids binary")
-    files = coded.repartition(max(1, len(bounds) + 2), "bucket").sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), "ids").mapInArrow(_write(folder, mode, wide), "bucket int, path string, documents long, tokens long").collect()
+    n, some = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    if not n:
+        return []
+    parts = min(MOST_FILES, -(-some // FILE_DOCS))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("b")).first()["b"] if parts > 1 else []
+    buckets = Buckets(cuts, n - some, FILE_DOCS)
+    coded = rows.mapInArrow(_encode(path, end, buckets, wide), "bucket int, doc_id long, ids binary")
+    files = coded.repartitionById(buckets.count, F.col("bucket")).sortWithinPartitions("bucket", F.asc_nulls_last("doc_id")).mapInArrow(_write(folder, mode, wide), "bucket int, path string, documents long, tokens long").collect()
     out, at = [], 0
     for r in sorted(files):
         out.append((r["path"], r["documents"], at))

@@ -46,6 +46,63 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+class Sorted:
+    """A sorted array of well-mixed hashes with an index on their top bits, so that a search starts where its hash must be."""
+
+    def __init__(self, h: np.ndarray):
+        self.order = np.argsort(h)
+        self.h = np.append(h[self.order], np.uint64(0))
+        self.n = len(h)
+        self.shift = np.uint64(64 - max(1, self.n.bit_length()))
+        self.start = np.searchsorted(self.h[:-1], np.arange(1 << int(64 - self.shift), dtype="u8") << self.shift).astype("i4")
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Position in the sorted array, -1 where absent."""
+        at = self.start[h >> self.shift]
+        out = np.full(len(h), -1, "i4")
+        open_ = np.arange(len(h))
+        while len(open_):
+            i = at[open_]
+            here, want = self.h[i], h[open_]
+            hit = (here == want) & (i < self.n)
+            out[open_[hit]] = i[hit]
+            more = (here < want) & (i < self.n)
+            open_ = open_[more]
+            at[open_] += 1
+        return out
+
+
+class Memory:
+    """Numbers 0, 1, ... of hashes in the order they were added: a large sorted table, and a small one that is merged into it as it grows."""
+
+    def __init__(self):
+        self.keys, self.old = np.zeros(0, "u8"), 0
+        self.tables = (Sorted(self.keys), Sorted(self.keys))
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def add(self, h: np.ndarray) -> None:
+        """Distinct hashes that are not there yet."""
+        self.keys = np.concatenate([self.keys, h])
+        if len(self.keys) - self.old > max(20_000, self.old // 2):
+            self.old = len(self.keys)
+            self.tables = (Sorted(self.keys), Sorted(self.keys[:0]))
+        else:
+            self.tables = (self.tables[0], Sorted(self.keys[self.old :]))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where absent."""
+        large, small = self.tables
+        at = large.find(h)
+        out = np.where(at >= 0, large.order[at] if large.n else -1, -1)
+        rest = np.flatnonzero(at < 0)
+        if len(rest) and small.n:
+            at = small.find(h[rest])
+            out[rest] = np.where(at >= 0, self.old + small.order[at], -1)
+        return out
+
+
 @lru_cache(4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
@@ -63,10 +120,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after the other (null: empty), and where each begins (one more entry: the end)."""
-    if pa.types.is_large_string(texts.type):
+    if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type):
         off = np.frombuffer(texts.buffers()[1], "i8")
     else:
-        texts = texts.cast(pa.string())
+        texts = texts if pa.types.is_binary(texts.type) else texts.cast(pa.string())
         off = np.frombuffer(texts.buffers()[1], "i4") if len(texts) else np.zeros(1, "i4")
     off = off[texts.offset : texts.offset + len(texts) + 1].astype("i8")
     raw = texts.buffers()[2] if len(texts) else None
@@ -102,30 +159,41 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
     trim()
 
 
-def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (bytes), document index and hash of every word; a word never spans two documents."""
+def spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (bytes) and document index of every word; a word never spans two documents."""
     inside = ~sep[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = off[:-1][off[:-1] < len(data)]
     first[begins] = inside[begins]
     start = np.flatnonzero(first)
-    if not len(start):
-        z = np.zeros(0, "i8")
-        return z, z, z, np.zeros(0, "u8")
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     ends = off[1:-1] - 1
     ends = ends[(ends >= 0) & (ends < len(data))]
     last[ends] = inside[ends]
-    end = np.flatnonzero(last) + 1
-    size = 1 << max(20, (len(data) - 1).bit_length())
-    up, down = _powers(size)
-    v = (lower[data].astype("u8") + np.uint64(1)) * up[: len(data)]
-    v[~inside] = 0
-    h = np.add.reduceat(v, start) * down[start]
-    doc = np.searchsorted(off, start, side="right") - 1
-    return start, end, doc, mix(h)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(off, start, side="right") - 1
+
+
+class Hasher:
+    """Hashes of byte ranges of one buffer, each byte first looked up in a table."""
+
+    def __init__(self, data: np.ndarray, table: np.ndarray):
+        up, self.down = _powers(1 << max(20, (len(data) - 1).bit_length()))
+        self.sums = np.zeros(len(data) + 1, "u8")
+        np.cumsum((table[data].astype("u8") + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
+
+def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (bytes), document index and hash of every word."""
+    start, end, doc = spans(data, off, sep)
+    if not len(start):
+        z = np.zeros(0, "i8")
+        return z, z, z, np.zeros(0, "u8")
+    return start, end, doc, Hasher(data, lower)(start, end)
 
 
 _ORDER = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]

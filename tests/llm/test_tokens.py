@@ -54,7 +54,10 @@ def test_pieces_columns(spark, docs):
 @settings(max_examples=200, deadline=None)
 @given(ODD)
 def test_word_tokens_equal_the_library(s):
-    assert np.frombuffer(bitplanes.tokens(WORDS).encode([s])[0], "<u4").tolist() == TOK.encode(s, add_special_tokens=False).ids
+    want = TOK.encode(s, add_special_tokens=False).ids
+    assert bitplanes.tokens(WORDS).encode(pa.array([s]))[0].tolist() == want
+    ids, count = bitplanes.tokens(WORDS).encode(pa.array(["", s, "x", s]), 2)
+    assert count.tolist() == [1, len(want) + 1, 2, len(want) + 1] and ids.tolist() == [2, *want, 2, *TOK.encode("x").ids, 2, *want, 2]
 
 
 @pytest.mark.parametrize("s", TEXTS)
@@ -103,6 +106,34 @@ def test_write_and_read(spark, docs, tmp_path, monkeypatch):
     assert bitplanes.read(spark, bitplanes.write(docs([]), WORDS, 2, folder=str(tmp_path / "g"))).collect() == []
 
 
+def test_words_forgotten_and_long_words(monkeypatch):
+    monkeypatch.setattr(bitplanes, "REMEMBERED", 8)
+    t, rng = bitplanes.Tokens(WORDS), random.Random(1)
+    for _ in range(40):
+        s = " ".join(rng.choice(["ab", "Cd,", "e'll", "x" * 400, "日本", "<|ENDOFTEXT|>", "<|endoftext|>", f"w{rng.random()}"]) for _ in range(12))
+        assert t.encode(pa.array([s]))[0].tolist() == TOK.encode(s, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        bitplanes.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_hot_ids_fill_buckets_of_their_own(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(bitplanes, "FILE_DOCS", 5)
+    rows = [(7, f"a {i}", None, None) for i in range(30)] + [(None, "same", None, None)] * 22 + [(i, "b", None, None) for i in range(20)]
+    files = bitplanes.write(docs(rows), WORDS, 2, folder=str(tmp_path / "f"))
+    assert max(n for _, n, _ in files) <= 15 and len(files) > 12
+    got = sorted(bitplanes.read(spark, files).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(r[0] for r in rows if r[0] is not None) + [None] * 22
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    crc = lambda t: zlib.crc32(np.array([*TOK.encode(t, add_special_tokens=False).ids, 2], "<u4"))
+    assert sorted((r["doc_id"] or -1, r["ids_crc32"]) for r in got) == sorted((i or -1, crc(t)) for i, t, _, _ in rows)
+
+
 def test_large_ids_keep_32_bits():
     ids = np.array([0, 1 << 31, 65536, 5], "u4")
     for mode in ("bit", "byte"):
