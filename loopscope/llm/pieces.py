@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .bytescan import slices
+from .shared import aside
 
 SPACE = "▁"
 #: Segments and pairs that a worker remembers.
@@ -211,7 +212,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     A row-wise pass without a shuffle; rows come back one for one, whatever they repeat; a column `ids` is replaced.
     """
     rest = [c for c in docs.columns if c != "ids"]
-    rows = docs.select(F.col(text).alias("_text"), *rest)
+    rows, fields = aside(docs, text, rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
@@ -219,20 +220,20 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             for part in slices(b, 0):
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([e.encode(t) for t in part.column(0).to_pylist()], pa.binary())], names=[*rest, "ids"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], StructField("ids", BinaryType())]))
+    return rows.mapInArrow(run, StructType([*fields, StructField("ids", BinaryType())]))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """rows and decoded (string) of a column of ids as encode() makes it; null ids give null."""
     rest = [c for c in rows.columns if c != "decoded"]
-    got = rows.select(F.col(ids).alias("_ids"), *rest)
+    got, fields = aside(rows, ids, rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([None if x is None else e.decode(x) for x in b.column(0).to_pylist()], pa.string())], names=[*rest, "decoded"])
 
-    return got.mapInArrow(run, StructType([*got.schema.fields[1:], StructField("decoded", StringType())]))
+    return got.mapInArrow(run, StructType([*fields, StructField("decoded", StringType())]))
 
 
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import labelled
 from .bytescan import buffers, is_space, lower_az, mix, slices, words
+from .shared import aside
 
 #: Hashed n-grams; the last entries hold the share of repeated word n-grams in steps.
 BITS = 18
@@ -126,7 +127,7 @@ def scored(docs: DataFrame, model, name: str = "score", text: str = "text") -> D
     repeat; a column of that name is replaced. With one class or none to learn from, scores are the same for all.
     """
     rest = [c for c in docs.columns if c != name]
-    rows = docs.select(F.col(text).alias("_text"), *rest)
+    rows, fields = aside(docs, text, rest)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,4 +136,4 @@ def scored(docs: DataFrame, model, name: str = "score", text: str = "text") -> D
             for part in slices(b, 0):
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(m.score(part.column(0)), pa.float64())], names=[*rest, name])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], StructField(name, DoubleType())]))
+    return rows.mapInArrow(run, StructType([*fields, StructField(name, DoubleType())]))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 #: Words of a text: everything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +31,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def named(column: str) -> Column:
+    """A column by its very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def aside(df: DataFrame, column: str, rest: list[str]) -> tuple[DataFrame, list[StructField]]:
+    """One column first and the rest after it under names of our own, which clash with none; and the fields of the rest."""
+    rows = df.select(named(column).alias("first"), *[named(c).alias(f"c{i}") for i, c in enumerate(rest)])
+    return rows, [StructField(c, f.dataType) for c, f in zip(rest, rows.schema.fields[1:])]
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32(doc_id as text) mod n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % n
