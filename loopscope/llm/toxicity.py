@@ -1,4 +1,9 @@
-"""Toxic spans by a linear-chain conditional random field; marginals add up to document scores."""
+"""Toxic spans by a linear-chain conditional random field; marginals add up to document scores.
+
+Labels are of documents, tags of words are latent: a document counts as toxic as soon as one of its words does. The
+field is fitted on the likelihood of the documents' labels under that rule, so no list of toxic words is made or kept,
+and a word gets its weight from how it helps to explain labels beside the other words of the same documents.
+"""
 
 from __future__ import annotations
 
@@ -11,22 +16,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from . import labelled
-from .bytescan import buffers, lower_az, mix, not_letter, slices, trim, words
+from .bytescan import Sorted, buffers, lower_az, mix, not_letter, slices, trim, words
+from .shared import aside
 
-#: Features of a token: the whole word, and its first so many bytes where it has more. From specific to general.
+#: Features of a token: the whole word, and its first so many bytes where it has more.
 PREFIXES = (6, 5, 4)
 KINDS = 1 + len(PREFIXES)
 #: Words of one chain at most; chains also end with a sentence, and together they are the whole text.
 CHAIN = 64
 SENTENCE_ENDS = (10, 33, 46, 63)
-#: A feature marks toxic words if at least so many toxic documents hold it, it is so much commoner there than in others, and it stands after so many different words for each time it occurs.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, LEAST_VARIETY = 5, 0.02, 50.0, 0.4
-#: So many different words before it are enough however often it occurs.
-VARIED_ENOUGH = 15
-#: How many toxic documents a feature must win for each clean one that holds it (at equal class sizes).
-CLEAN_COST = 20
-#: Marginals below this don't add to a document's sum: thousands of clean words must not make a toxic one.
-FAINT = 0.2
+#: How far a label `toxic` is trusted: the odds that such a document has a toxic word at all.
+TRUST = 0.98
+#: Rounds and step of the fit, and its weight decay.
+ROUNDS, RATE, DECAY = 60, 1.0, 0.02
+#: Share with which a feature that the fit has not seen counts in the mean of a word's weights.
+UNSEEN = 0.1
+#: Scores of toxic words at a chain's start or after a clean word, at first and at most; and after a toxic word, at most: its neighbours need weights of their own.
+RARE, MOST_RARE, FOLLOW = -6.0, -1.0, -4.0
 #: Labelled documents of each class that the field is fitted on.
 SAMPLE_DOCS = 1200
 
@@ -68,119 +74,126 @@ def grid(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Field:
-    """Two tags, 0 (clean) and 1 (toxic): a weight for each feature of a token's being toxic, start and transition scores."""
+    """Two tags, 0 (clean) and 1 (toxic): a weight for each feature of a token's being toxic, and scores of starts and moves, 0 for those to tag 0.
+
+    A token's weight is the mean weight of its features times KINDS, so short words, which have no prefixes, weigh as
+    much as long ones. Features that the fit has not seen count UNSEEN of one in that mean, so a new ending of a known stem keeps
+    most of the stem's weight.
+    """
 
     def __init__(self):
-        self.keys, self.weights, self.near = np.zeros(1, "u4"), np.zeros(1), np.zeros(1 << 16, bool)
-        self.start = np.array([0.0, -3.0])
-        self.move = np.array([[0.0, -3.0], [0.0, -1.0]])
+        self.index, self.weights = Sorted(np.zeros(0, "u8")), np.zeros(0)
+        self.start = RARE
+        self.move = np.array([[0.0, RARE], [0.0, FOLLOW]])
         self.curve = (1.0, 0.0)
 
     def weigh(self, feats: np.ndarray) -> np.ndarray:
-        """Summed weights of each token's features: a filter on their top bits, then a search in the sorted hashes."""
-        e = np.zeros(len(feats))
+        """Each token's weight, from those of its features that the fit has seen."""
+        e, known = np.zeros(len(feats)), np.zeros(len(feats), "i8")
+        if not self.index.n:
+            return e
         for j in range(KINDS):
-            f = feats[:, j]
-            at = np.flatnonzero(self.near[f >> np.uint32(16)])
-            i = np.minimum(np.searchsorted(self.keys, f[at]), len(self.keys) - 1)
-            e[at] += np.where(self.keys[i] == f[at], self.weights[i], 0)
-        return e
-
-    def marginals(self, e: np.ndarray, fresh: np.ndarray, pairs: bool = False):
-        """Probability of tag 1 for every token of weight e, by forward-backward over all chains at once; with pairs also the expected starts and moves, summed."""
-        begin, size, running = grid(fresh)
-        fw = np.empty((len(e), 2))
-        bw = np.empty((len(e), 2))
-        trans = np.exp(self.move)
+            at = self.index.find(feats[:, j].astype("u8") << np.uint64(32))
+            e += np.where(at >= 0, self.weights[at], 0)
+            known += (at >= 0) & (feats[:, j] != 0)
+        return e * KINDS / np.maximum(known + UNSEEN * ((feats != 0).sum(1) - known), 1)
+
+    def messages(self, e: np.ndarray, chains: tuple) -> tuple[np.ndarray, ...]:
+        """Forward and backward odds of tag 1 of every token, emissions, and each chain's log-partition function.
+
+        The path that tags all words clean has score 0, so the odds of no toxic word in a chain are exp(-logz).
+        """
+        begin, size, running = chains
+        (m00, m01), (m10, m11) = np.exp(self.move)
+        g = np.exp(np.clip(e, -30, 30))
+        fw, bw, logz = np.empty(len(e)), np.ones(len(e)), np.zeros(len(begin))
+        held = None
         for t, k in enumerate(running):
             at = begin[:k] + t
-            a = np.exp(self.start)[None, :].repeat(k, 0) if t == 0 else fw[at - 1] @ trans
-            a = a * np.stack([np.ones(k), np.exp(np.clip(e[at], -30, 30))], 1)
-            fw[at] = a / a.sum(1, keepdims=True)
-        starts, moves = np.zeros(2), np.zeros((2, 2))
-        for t in range(len(running) - 1, -1, -1):
-            k = running[t]
-            at = begin[:k] + t
-            b = np.ones((k, 2))
-            on = running[t + 1] if t + 1 < len(running) else 0
-            if on:
-                nxt = at[:on] + 1
-                emit = np.stack([np.ones(on), np.exp(np.clip(e[nxt], -30, 30))], 1) * bw[nxt]
-                b[:on] = emit @ trans.T
-                if pairs:
-                    both = fw[at[:on]][:, :, None] * trans[None] * emit[:, None, :]
-                    moves += (both / both.sum((1, 2), keepdims=True)).sum(0)
-            bw[at] = b / b.sum(1, keepdims=True)
-        p = fw * bw
-        p = p[:, 1] / p.sum(1)
-        if pairs:
-            starts = np.array([(1 - p[begin]).sum(), p[begin].sum()])
-            return p, starts, moves
-        return p
-
-    def fit(self, feats: np.ndarray, fresh: np.ndarray, tag: np.ndarray, rounds: int = 40, rate: float = 0.5) -> None:
-        """Adaptive gradient ascent on the log-likelihood of tagged chains: observed less expected counts."""
-        tag = tag.astype("f8")
-        begin = np.flatnonzero(fresh)
-        seen_start = np.array([(1 - tag[begin]).sum(), tag[begin].sum()])
-        inner = np.flatnonzero(~fresh)
-        prev, here = tag[inner - 1], tag[inner]
-        seen_move = np.array([[((1 - prev) * (1 - here)).sum(), ((1 - prev) * here).sum()], [(prev * (1 - here)).sum(), (prev * here).sum()]])
+            if t:
+                held = held[:k]
+                d = m00 + held * m10
+                logz[:k] += np.log(d)
+                held = (m01 + held * m11) / d * g[at]
+            else:
+                held = np.exp(self.start) * g[at]
+            fw[at] = held
+        logz += np.log1p(fw[begin + size - 1])
+        for t in range(len(running) - 2, -1, -1):
+            at = begin[: running[t + 1]] + t
+            on = g[at + 1] * bw[at + 1]
+            bw[at] = (m10 + m11 * on) / (m00 + m01 * on)
+        return fw, bw, g, logz
+
+    def marginals(self, e: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """Probability of tag 1 for every token of weight e, by forward-backward over all chains at once."""
+        fw, bw, _, _ = self.messages(e, grid(fresh))
+        return fw * bw / (1 + fw * bw)
+
+    def fit(self, feats: np.ndarray, fresh: np.ndarray, doc: np.ndarray, y: np.ndarray) -> None:
+        """Adaptive gradient ascent on the likelihood of the documents' labels, with the tags summed out.
+
+        A gradient is the counts that are expected given the labels less those expected without: a clean document has
+        no toxic word; in a toxic one, tags have their marginals divided by the odds of a toxic word at all.
+        """
         used, back = np.unique(feats, return_inverse=True)
-        back, w = back.reshape(feats.shape), np.zeros(len(used))
-        acc = [np.full(len(used), 1e-6), np.full(2, 1e-6), np.full((2, 2), 1e-6)]
-        for _ in range(rounds):
-            p, starts, moves = self.marginals(w[back].sum(1), fresh, True)
-            grads = [np.bincount(back.ravel(), np.repeat(tag - p, KINDS), minlength=len(used)) - 0.01 * w, seen_start - starts, seen_move - moves]
-            steps = []
-            for a, g in zip(acc, grads):
-                a += g * g
-                steps.append(rate * g / np.sqrt(a))
-            w += steps[0]
+        back, share = back.reshape(feats.shape), KINDS / np.maximum((feats != 0).sum(1), 1)
+        w, chains = np.zeros(len(used)), grid(fresh)
+        begin, inner = chains[0], np.flatnonzero(~fresh)
+        seen, seen_moves = np.full(len(used), 1e-2), np.full(3, 1e-2)
+        for _ in range(ROUNDS):
+            fw, bw, g, logz = self.messages(w[back].sum(1) * share, chains)
+            p = fw * bw / (1 + fw * bw)
+            some = -np.expm1(-np.bincount(doc[begin], logz, len(y)))  # odds of a toxic word in each document
+            given = np.where(y == 1, TRUST / (TRUST * some + (1 - TRUST) * (1 - some)), 0.0) - 1
+            grad = np.bincount(back.ravel(), np.repeat(p * given[doc] * share, KINDS), len(used)) - DECAY * w
+            m, on = np.exp(self.move), g[inner] * bw[inner]
+            before = fw[inner - 1]
+            total = m[0, 0] + m[0, 1] * on + before * (m[1, 0] + m[1, 1] * on)
+            moves = np.array([(p[begin] * given[doc[begin]]).sum(), (m[0, 1] * on / total * given[doc[inner]]).sum(), (before * m[1, 1] * on / total * given[doc[inner]]).sum()])
+            seen += grad * grad
+            seen_moves += moves * moves
+            w += RATE * grad / np.sqrt(seen)
             w[used == 0] = 0
-            self.start += steps[1]
-            self.move += steps[2]
-            self.start -= self.start[0]
-            self.move -= self.move[:, :1]
-        some = np.abs(w) > 0.05
-        self.keys, self.weights = (used[some], w[some]) if some.any() else (self.keys, self.weights)
-        self.near[self.keys >> np.uint32(16)] = True
-
-    def tagged(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Each text's summed marginals, and for texts with toxic tokens their byte spans."""
+            step = RATE * moves / np.sqrt(seen_moves)
+            self.start = min(self.start + step[0], MOST_RARE)
+            self.move[0, 1] = min(self.move[0, 1] + step[1], MOST_RARE)
+            self.move[1, 1] = min(self.move[1, 1] + step[2], FOLLOW)
+        self.index = Sorted(used.astype("u8") << np.uint64(32))
+        self.weights = w[self.index.order]
+
+    @staticmethod
+    def totals(p: np.ndarray, word: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of n documents: the evidence, -log of the odds that none of its different words is toxic, and their expected number of toxic ones.
+
+        A word counts with its highest marginal there, however often it comes.
+        """
+        if not len(p):
+            return np.zeros(n), np.zeros(n)
+        key = doc.astype("u8") << np.uint64(32) | word
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        most = np.minimum(np.maximum.reduceat(p[order], at), 1 - 1e-12)
+        return np.bincount(doc[order[at]], -np.log1p(-most), n), np.bincount(doc[order[at]], most, n)
+
+    def tagged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Each text's evidence and expected number of different toxic words, and the byte spans of its toxic tokens."""
         start, end, doc, feats, fresh = tokens(texts)
         off = buffers(texts)[1]
         n = len(texts)
-        if not len(start):
-            return np.zeros(n), [np.zeros((0, 2), "i8")] * n
-        e = self.weigh(feats)
-        pick = self.busy(e, fresh)
-        p = self.marginals(e[pick], fresh[pick])
-        total = np.bincount(doc[pick], np.where(p >= FAINT, p, 0), minlength=n)
         spans = [np.zeros((0, 2), "i8")] * n
-        bad = np.flatnonzero(pick)[p >= 0.5]
+        if not len(start):
+            return np.zeros(n), np.zeros(n), spans
+        p = self.marginals(self.weigh(feats), fresh)
+        bad = np.flatnonzero(p >= 0.5)
         for d in np.unique(doc[bad]):
             own = bad[doc[bad] == d]
             spans[d] = np.stack([start[own], end[own]], 1) - off[d]
-        return total, spans
-
-    def total(self, feats: np.ndarray, fresh: np.ndarray) -> float:
-        """Summed marginals of one text's tokens."""
-        if not len(feats):
-            return 0.0
-        e = self.weigh(feats)
-        pick = self.busy(e, fresh)
-        p = self.marginals(e[pick], fresh[pick])
-        return float(p[p >= FAINT].sum())
-
-    def busy(self, e: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        """Tokens of chains that hold a word of some weight; any other chain has the same small marginals whatever its words, which count as none."""
-        chain = np.cumsum(fresh) - 1
-        return (np.bincount(chain, e > 0.5) > 0)[chain]
-
-    def score(self, total: np.ndarray) -> np.ndarray:
+        return *self.totals(p, feats[:, 0], doc, n), spans
+
+    def score(self, evidence: np.ndarray) -> np.ndarray:
         a, b = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * np.log(total + 1e-2) + b, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(a * np.log(evidence + 1e-2) + b, -40, 40)))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,57 +205,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*parts, part.column(1).cast(pa.int32())], names=["f", "c", "y"])
 
 
-def lexicon(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Features that set toxic documents apart, strongest first, each judged by the tokens that no stronger one marks.
-
-    The one that most toxic documents hold, less CLEAN_COST for clean ones, wins; of equals, the most specific kind.
-    Words of copied documents come after the same words again and again; features must stand after many.
-    """
-    every = np.concatenate(docs)
-    used = np.unique(every)
-    kind = np.zeros(len(used), "i8")
-    for j in range(KINDS):
-        kind[np.searchsorted(used, np.unique(every[:, j]))] = j
-    clean = np.zeros(len(used), "i8")
-    for d, c in zip(docs, y):
-        if c == 0:
-            clean[np.searchsorted(used, np.unique(d))] += 1
-    bad = [d for d, c in zip(docs, y) if c == 1 and len(d)]
-    n_clean, n_bad, out = max(1, int((y == 0).sum())), max(1, len(bad)), []
-    if not bad:
-        return np.zeros(0, "u4")
-    at = np.searchsorted(used, np.concatenate(bad))
-    doc = np.repeat(np.arange(len(bad)), [len(d) for d in bad])
-    before = np.concatenate([np.r_[np.uint32(0), d[:-1, 0]] for d in bad])
-    follows = np.unique((at.astype("u8") << np.uint64(32) | before[:, None]).ravel()) >> np.uint64(32)
-    varied = np.bincount(follows.astype("i8"), minlength=len(used)) >= np.minimum(LEAST_VARIETY * np.bincount(at.ravel(), minlength=len(used)), VARIED_ENOUGH)
-    token, doc, at = np.repeat(np.arange(len(at)), KINDS), np.repeat(doc, KINDS), at.ravel()
-
-    def counts() -> np.ndarray:
-        return np.bincount(np.unique(at * len(bad) + doc) // len(bad), minlength=len(used))
-
-    count = counts()
-    apart = varied & (used > 0) & (count >= max(LEAST_DOCS, LEAST_SHARE * n_bad)) & (count / n_bad >= LEAST_RATIO * (clean + 0.5) / n_clean)
-    keep = apart[at]  # no other feature can win later, since counts only fall
-    token, doc, at = token[keep], doc[keep], at[keep]
-    while len(at):
-        count = counts()
-        gain = count - CLEAN_COST * clean * n_bad / n_clean
-        gain[count < max(LEAST_DOCS, LEAST_SHARE * n_bad)] = -np.inf
-        best = int((np.round(gain) * KINDS - kind).argmax())
-        if not gain[best] > 0:
-            break
-        out.append(used[best])
-        keep = ~np.isin(token, token[at == best])
-        token, doc, at = token[keep], doc[keep], at[keep]
-    return np.array(sorted(out), "u4")
-
-
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", most: int = SAMPLE_DOCS) -> Field:
     """Fit on about `most` labelled documents of each class among those that `learn` (on doc_id) lets in.
 
-    Labels are of documents; tokens get theirs from the lexicon of features that set toxic documents apart: a token
-    with one of these in a toxic document is toxic, all others are clean. A fifth of the sample sets the score's curve.
+    The sample is bounded in documents and bytes (see labelled.sample); all words of its documents take part. Null
+    labels, ids and texts are left out. A fifth of the sample sets the score's curve, weighted as the classes are among
+    all labels. With one class or none to learn from, all documents get the same score.
     """
     some, sizes = labelled.sample(docs, labels, label, learn, most)
     got = some.select("text", F.col("y").cast("int").alias("y")).mapInArrow(_tokens, "f binary, c binary, y int").collect()
@@ -257,26 +225,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
     if len(set(y[own])) < 2 or len(set(y[~own])) < 2:
         field.curve = (0.0, -4.0 if not len(y) or y.mean() < 0.5 else 4.0)
         return field
-    fit = np.flatnonzero(own)
-    marks = lexicon([feats[i] for i in fit], y[fit])
-    f, c = np.concatenate([feats[i] for i in fit]), np.concatenate([fresh[i] for i in fit])
-    hit = np.isin(f, marks)
-    marked = hit.any(1)
-    # a token with a mark counts by its marks alone: the weight goes to what other words share, not to this word's own features
-    f = np.where(marked[:, None] & ~hit, np.uint32(0), f)
-    tag = marked & np.repeat(y[fit] == 1, [len(feats[i]) for i in fit])
-    # chains without a marked token are alike: a tenth of them keeps the fit small
-    busy = np.bincount(np.cumsum(c) - 1, marked) > 0
-    keep = (busy | (np.arange(len(busy)) % 10 == 0))[np.cumsum(c) - 1]
-    f, c, tag = f[keep], c[keep], tag[keep]
-    trim()
-    field.fit(f, c, tag)
-    del f, c, tag
-    rest = np.flatnonzero(~own)
-    total = np.array([field.total(feats[i], fresh[i]) for i in rest])
+    fit, rest = np.flatnonzero(own), np.flatnonzero(~own)
+    joined = lambda at: (np.concatenate([feats[i] for i in at]), np.concatenate([fresh[i] for i in at]), np.repeat(np.arange(len(at)), [len(feats[i]) for i in at]))
+    field.fit(*joined(fit), y[fit])
+    f, c, doc = joined(rest)
+    evidence, _ = field.totals(field.marginals(field.weigh(f), c), f[:, 0], doc, len(rest))
     weight = np.array([sizes.get(k, 1) for k in (0, 1)], float) / np.bincount(y[rest], minlength=2)
-    field.curve = labelled.platt(np.log(total + 1e-2), y[rest], weight[y[rest]] * len(rest) / weight[y[rest]].sum())
-    del feats, fresh
+    field.curve = labelled.platt(np.log(evidence + 1e-2), y[rest], weight[y[rest]] * len(rest) / weight[y[rest]].sum())
+    del feats, fresh, f, c, doc
     trim()
     return field
 
@@ -285,13 +241,13 @@ ADDED = ("toxicity", "toxic_words", "spans")
 
 
 def tag(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
-    """docs and toxicity (0 to 1, higher: label 1 likelier), toxic_words (expected number) and spans (character offsets of tokens whose marginal is at least 1/2).
+    """docs and toxicity (0 to 1, higher: label 1 likelier), toxic_words (expected number of different ones) and spans (character offsets of tokens whose marginal is at least 1/2).
 
     Every word of every text is in exactly one chain. Null, empty and wordless texts have no spans and the score of
-    a text without toxic words. Rows come back one for one, whatever they repeat; columns of the three names are replaced.
+    a text without toxic words. A word that comes again adds nothing to the sum. Rows come back one for one, whatever they repeat; columns of the three names are replaced.
     """
     rest = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(F.col(text).alias("_text"), *rest)
+    rows, fields = aside(docs, text, rest)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -300,7 +256,7 @@ def tag(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
         m = sent.value
         for b in batches:
             for part in slices(b, 0):
-                total, spans = m.tagged(part.column(0))
+                evidence, count, spans = m.tagged(part.column(0))
                 out = []
                 for i, s in enumerate(spans):
                     if len(s):
@@ -309,6 +265,6 @@ def tag(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
                         out.append([{"start": int(head[a]), "end": int(head[z])} for a, z in s])
                     else:
                         out.append([])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(m.score(total), pa.float64()), pa.array(total, pa.float64()), pa.array(out, kind)], names=[*rest, *ADDED])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(m.score(evidence), pa.float64()), pa.array(count, pa.float64()), pa.array(out, kind)], names=[*rest, *ADDED])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], StructField("toxicity", DoubleType()), StructField("toxic_words", DoubleType()), StructField("spans", ArrayType(span))]))
+    return rows.mapInArrow(run, StructType([*fields, StructField("toxicity", DoubleType()), StructField("toxic_words", DoubleType()), StructField("spans", ArrayType(span))]))

@@ -67,12 +67,88 @@ def test_forward_backward_against_all_paths():
         total, on = 0.0, np.zeros(b - a)
         for path in range(1 << (b - a)):
             t = [(path >> k) & 1 for k in range(b - a)]
-            s = f.start[t[0]] + sum(f.move[p, q] for p, q in zip(t, t[1:])) + sum(x for x, k in zip(e[a:b], t) if k)
+            s = f.start * t[0] + sum(f.move[p, q] for p, q in zip(t, t[1:])) + sum(x for x, k in zip(e[a:b], t) if k)
             total += np.exp(s)
             on += np.exp(s) * np.array(t)
         assert np.allclose(got[a:b], on / total)
 
 
+def test_gradient_of_the_documents_labels():
+    """The fit climbs the likelihood of labels: a word of all toxic documents and of no clean one ends up toxic, others clean."""
+    rng = random.Random(4)
+    y = np.arange(200) % 2
+    texts = [" ".join([*rng.choices(CLEAN, k=9), *(["bad"] if t else []), *rng.choices(CLEAN, k=9)]) for t in y]
+    _, _, doc, feats, fresh = toxicity.tokens(pa.array(texts))
+    f = toxicity.Field()
+    f.fit(feats, fresh, doc, y)
+    p = f.marginals(f.weigh(feats), fresh)
+    words = " ".join(texts).split()
+    assert all((x > 0.5) == (w == "bad") for w, x in zip(words, p))
+
+
+def test_scores_against_all_taggings():
+    """Sums of marginals over different words, against every tagging of every chain."""
+    rng = np.random.default_rng(2)
+    f = toxicity.Field()
+    texts = ["Bad day. Bad bad dog!", "", "so it goes", None]
+    arr = pa.array(texts).fill_null("")
+    start, end, doc, feats, fresh = toxicity.tokens(arr)
+    used = np.unique(feats)
+    f.index = toxicity.Sorted(used.astype("u8") << np.uint64(32))
+    f.weights = rng.standard_normal(len(used))[f.index.order] * 3
+    f.start, f.move = -0.5, np.array([[0.0, -0.7], [0.0, 0.4]])
+    e, want, none, best = f.weigh(feats), np.zeros(4), np.ones(4), {}
+    at = np.r_[np.flatnonzero(fresh), len(fresh)]
+    raw = "".join(t or "" for t in texts).lower().encode()
+    for a, b in zip(at[:-1], at[1:]):
+        total, on = 0.0, np.zeros(b - a)
+        for path in range(1 << (b - a)):
+            t = [(path >> k) & 1 for k in range(b - a)]
+            s = np.exp(f.start * t[0] + sum(f.move[p, q] for p, q in zip(t, t[1:])) + sum(x for x, k in zip(e[a:b], t) if k))
+            total, on = total + s, on + s * np.array(t)
+        for i, x in zip(range(a, b), on / total):
+            key = (doc[i], raw[start[i] : end[i]])
+            best[key] = max(best.get(key, 0), x)
+    for (d, _), x in best.items():
+        want[d] += x
+        none[d] *= 1 - x
+    evidence, count, _ = f.tagged(arr)
+    assert np.allclose(count, want) and np.allclose(np.exp(-evidence), none)
+
+
+def test_long_tailed_words_and_set_phrases(spark, docs):
+    """Toxic words that are each in few toxic documents, and one that always stands after the same word."""
+    rng = random.Random(5)
+    tail = ["".join(rng.choices("bdfgklmnprstvz", k=1) + rng.choices("aeiou", k=1) + rng.choices("bdfgklmnprstvz", k=3)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(1200):
+        words = rng.choices(CLEAN, k=30)
+        if i % 2:
+            bad = ["utter", "swine"] if i % 6 == 1 else [rng.choice(tail)]
+            words[9:9] = bad * 2
+        elif i % 7 == 0:
+            words[3:3] = ["utter"]
+        rows.append((i, " ".join(words), "en", "s"))
+        labels.append((i, 1, i % 2))
+    model = toxicity.train(docs(rows), frame(spark, labels), fold("doc_id", 3) != 1)
+    got = {r["doc_id"]: r["toxicity"] >= 0.7 for r in toxicity.tag(docs(rows), model).collect()}
+    out = [i for i in got if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i] for i in out if i % 2]) > 0.97 and np.mean([got[i] for i in out if i % 2 == 0]) < 0.03
+
+
+def test_clashing_names_and_the_bounded_sample(spark, docs, monkeypatch):
+    rows, labels = corpus(200)
+    df = docs(rows).withColumns({"_text": F.lit(1), "Text_": F.lit(2), "spans": F.lit("x"), "a.b": F.lit(3)})
+    model = toxicity.train(df, frame(spark, labels), F.lit(True))
+    got = toxicity.tag(df, model)
+    assert got.columns == [c for c in df.columns if c != "spans"] + ["toxicity", "toxic_words", "spans"] and got.count() == 200
+    assert quality.scored(df, quality.train(df, frame(spark, labels), F.lit(True))).count() == 200
+    monkeypatch.setattr(labelled, "SAMPLE_BYTES", 4000)
+    some, sizes = labelled.sample(df.unionAll(df), frame(spark, labels), "toxic", F.lit(True), 3000)
+    taken = some.groupBy("y").agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("c")).collect()
+    assert sizes == {0: 150, 1: 50} and all(0 < r["n"] <= 4000 and r["c"] < 50 for r in taken)
+
+
 def test_tokens_cover_the_text_in_bounded_chains():
     t = ["Ab'c d.E!", "x " * 300, "", "été"]
     start, end, doc, feats, fresh = toxicity.tokens(pa.array(t))
