@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, staged
+from .shared import WORD, named, staged
 
 #: Units that one flight task takes at a time.
 GROUP_UNITS = 4096
@@ -105,7 +105,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     The cube method draws these last copies. Rows of a source are dealt by hash to groups of about GROUP_UNITS; a
     flight in each group leaves at most two fractional units, which meet in new groups, level by level, until one
     group a source is left, whose landing settles the last two. So a source with a third of all rows is as many
-    bounded tasks as its rows ask for, and the token error of a source stays near one document's size.
+    bounded tasks as its rows ask for, and the token error of a source stays near one document's size. Units that
+    are alike in source, doc_id and size are told apart by a number (or by `row`), so an id that a third of the rows
+    hold, or none, is dealt out like any other.
 
     One row per source reaches the driver (sources are the mix's configuration, not data). Draws depend on the seed
     and the rows' values alone, so reruns agree. Null texts and texts without words have size 0 and take part (0
@@ -114,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     that `row`, a key of the single rows, is carried along and comes last.
     """
     key = [row] if row else []
-    rows = docs.select(*key, F.col(doc_id).alias("_unit"), F.col(source).alias("_source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
+    rows = docs.select(*map(named, key), named(doc_id).alias("_unit"), named(source).alias("_source"), F.coalesce(F.regexp_count(named(text), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
     rows = staged(rows, "mix-sizes")
     totals = [tuple(r) for r in rows.groupBy("_source").agg(F.sum("_size"), F.count(F.lit(1))).collect()]
     goal = targets([(s, n) for s, n, _ in totals], weights, share, most)
@@ -127,7 +129,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     book_df = spark.createDataFrame(book, "_s string, source_size long, target double, _whole int, _frac double, _groups int")
     if len(book) <= BROADCAST_SOURCES:
         book_df = F.broadcast(book_df)
-    h = F.xxhash64("_unit", "_size")
+    number = F.col(row) if row else F.col("_number")
+    if not row:  # alike rows are counted and made again with numbers, a bounded lot of them at a time
+        alike = rows.groupBy("_source", "_unit", "_size").agg(F.count(F.lit(1)).alias("_c"))
+        lots = alike.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_c - 1) div {GROUP_UNITS}"))))
+        lots = lots.repartition(F.col("_unit"), F.col("_size"), F.col("_lot"))
+        own = F.least(F.col("_c") - F.col("_lot") * GROUP_UNITS, F.lit(GROUP_UNITS))
+        rows = lots.withColumn("_number", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), own - 1), lambda i: i + F.col("_lot") * GROUP_UNITS))).drop("_c", "_lot")
+    h = F.xxhash64("_unit", "_size", number)
     units = rows.join(book_df, F.col("_source").eqNullSafe(F.col("_s")), "left").select(*key, "_source", "_unit", "_size", h.alias("_h"), F.pmod(h, F.col("_groups").cast("long")).alias("_group"), F.col("_frac").alias("_p"))
     done, level = [], units
     groups = max((b[5] for b in book), default=1)

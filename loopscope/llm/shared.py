@@ -14,23 +14,55 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where it is unset, one of our own, which only a local master can share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="loopscope-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: Folders of staged tables that are still there.
+_MADE: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/loopscope/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """How many tables are staged: what comes after can be dropped with drop_staged()."""
+    return len(_MADE)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever the session's file systems reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> None:
+    """Delete the staged tables from `since` on; only for when what was made of them has been written."""
+    while len(_MADE) > since:
+        drop(spark, _MADE.pop())
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A name that none of the columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def named(column: str) -> Column:
     """A column by its very name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")

@@ -59,5 +59,41 @@ def test_mix_many_groups(spark, docs, monkeypatch):
         assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 37
 
 
+def plain_targets(sizes):
+    """Targets by raising a common price until all is shared: size-capped shares of 150% by weights 3, 1, 2."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    want, lo, hi = min(1.5 * sum(sizes.values()), 2 * sum(sizes.values())), 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(mid * weight[s], 2 * sizes[s]) for s in sizes) < want else (lo, mid)
+    return {s: min(hi * weight[s], 2 * sizes[s]) for s in sizes}
+
+
+def test_targets_against_a_plain_search():
+    rng = random.Random(8)
+    for _ in range(50):
+        sizes = {s: rng.choice([0, 1, 5, 1000, rng.randint(1, 10**6)]) for s in rng.sample(["a", "b", "ä", "z", "", None, "B"], rng.randint(1, 7))}
+        got, want = mixing.targets(list(sizes.items())), plain_targets(sizes)
+        assert all(got[s] == pytest.approx(want[s], abs=1e-3) for s in sizes)
+
+
+def test_alike_rows_are_dealt_out(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_UNITS", 16)
+    rows = [(None, "w w", None, "a")] * 500 + [(7, "w", None, "a")] * 300 + [(i, "w " * (i % 9), None, "b") for i in range(200)]
+    got = mixing.mix(docs(rows)).collect()
+    assert len(got) == 1000 and {r["copies"] for r in got} <= {0, 1, 2}
+    assert sum(r["doc_id"] is None for r in got) == 500 and sum(r["doc_id"] == 7 and r["size"] == 1 for r in got) == 300
+    mine = [r for r in got if r["source"] == "a"]
+    assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= 2
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs(rows[::-1]).repartition(5)).collect()))
+
+
+def test_very_long_text_and_clashing_names(spark, docs):
+    df = docs([(1, "w " * 2_000_000, None, "a"), (2, "w", None, "a")]).selectExpr("*", "1 as _unit", "2 as size", "3 as copies", "4 as _p")
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    assert got[1]["size"] == 2_000_000 and got[1]["source_size"] == 2_000_001
+
+
 def test_mix_of_nothing(docs):
     assert mixing.mix(docs([])).collect() == []
