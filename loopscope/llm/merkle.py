@@ -9,7 +9,7 @@ from .shared import bounds_tree, quantile_bounds, staged
 
 #: A leaf: up to 64 characters and the sentence or line ends after them. Leaves laid end to end are the text.
 PIECE = r"[^.!?\n]{1,64}[.!?\n]*|[.!?\n]+"
-#: Hex digits that a fingerprint keeps of each leaf.
+#: Hex digits that a fingerprint keeps of each section, paragraph and leaf.
 LEAF = 12
 #: Ids of one ordered bucket, about.
 BUCKET_ROWS = 50_000
@@ -21,40 +21,80 @@ def tree(text: Column) -> Column:
     return F.transform(F.split(text, r"(?<=\n\n)(?!\n)"), lambda s: F.transform(F.split(s, r"(?<=\n)"), leaves))
 
 
-def root(nodes: Column) -> Column:
-    """Each inner node is the SHA-256 of its children's digests."""
-    over = lambda children: F.sha2(F.array_join(children, ""), 256)
-    return over(F.transform(nodes, lambda s: over(F.transform(s, over))))
+def over(children: Column) -> Column:
+    """The digest of an inner node: the SHA-256 of its children's digests."""
+    return F.sha2(F.array_join(children, ""), 256)
 
 
-def fingerprint(nodes: Column) -> Column:
-    """root:leaves, where ; ends a section and , a paragraph."""
-    leaves = lambda p: F.array_join(F.transform(p, lambda x: F.substring(x, 1, LEAF)), "")
-    return F.concat(root(nodes), F.lit(":"), F.array_join(F.transform(nodes, lambda s: F.array_join(F.transform(s, leaves), ",")), ";"))
+def branches(nodes: Column) -> Column:
+    """Of each section its digest, and of each of its paragraphs the digest and the leaves' ones."""
+    paragraph = lambda p: F.struct(over(p).alias("digest"), p.alias("leaves"))
+    section = lambda ps: F.struct(over(F.transform(ps, lambda p: p["digest"])).alias("digest"), ps.alias("paragraphs"))
+    return F.transform(F.transform(nodes, lambda s: F.transform(s, paragraph)), section)
+
+
+def fingerprint(tree: Column) -> Column:
+    """root:sections, sections parted by `;` as digest=paragraphs, paragraphs by `,` as digest-leaves; all but the root are cut to LEAF hex digits."""
+    cut = lambda x: F.substring(x, 1, LEAF)
+    paragraph = lambda p: F.concat(cut(p["digest"]), F.lit("-"), F.array_join(F.transform(p["leaves"], cut), ""))
+    section = lambda s: F.concat(cut(s["digest"]), F.lit("="), F.array_join(F.transform(s["paragraphs"], paragraph), ","))
+    return F.concat(over(F.transform(tree, lambda s: s["digest"])), F.lit(":"), F.array_join(F.transform(tree, section), ";"))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df and the fingerprint of a text column (null: of the empty text). Equal texts, and only they, have equal roots."""
-    return df.withColumn("_nodes", tree(F.coalesce(text, F.lit("")))).withColumn(name, fingerprint(F.col("_nodes"))).drop("_nodes")
+    return df.withColumn("_nodes", branches(tree(F.coalesce(text, F.lit(""))))).withColumn(name, fingerprint(F.col("_nodes"))).drop("_nodes")
+
+
+def root(fp: Column) -> Column:
+    return F.substring_index(fp, ":", 1)
+
 
+def sections(fp: Column) -> Column:
+    return F.split(F.substring_index(fp, ":", -1), ";")
 
-def leaves(fp: Column) -> Column:
-    return F.regexp_extract_all(F.substring_index(fp, ":", -1), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0))
 
+def paragraphs(sections: Column) -> Column:
+    """All paragraphs of some sections."""
+    return F.flatten(F.transform(sections, lambda s: F.split(F.substring_index(s, "=", -1), ",")))
 
-def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots, else the share of distinct leaves in common (Dice); from the fingerprints alone."""
-    x, y = F.array_distinct(leaves(a)), F.array_distinct(leaves(b))
-    both = 2.0 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(x) + F.size(y), F.lit(1))
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(both)
 
+def leaves(paragraphs: Column) -> Column:
+    """All leaves of some paragraphs."""
+    of = lambda p: F.regexp_extract_all(F.substring_index(p, "-", -1), F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0))
+    return F.flatten(F.transform(paragraphs, of))
 
-def edits(a: Column, b: Column) -> Column:
-    """Branches of a that b lacks: array of (section, paragraph) from 0, those whose leaves do not all occur in b."""
-    there = leaves(b)
-    hit = lambda p: F.size(F.array_except(F.regexp_extract_all(p, F.lit(f"[0-9a-f]{{{LEAF}}}"), F.lit(0)), there)) > 0
-    paragraphs = lambda s, i: F.transform(F.split(s, ","), lambda p, j: F.when(hit(p), F.struct(i.alias("section"), j.alias("paragraph"))))
-    return F.filter(F.flatten(F.transform(F.split(F.substring_index(a, ":", -1), ";"), paragraphs)), lambda x: x.isNotNull())
+
+def count_leaves(paragraphs: Column) -> Column:
+    return F.aggregate(paragraphs, F.lit(0), lambda n, p: n + ((F.length(p) - (LEAF + 1)) / F.lit(LEAF)).cast("int"))
+
+
+def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df and how alike two fingerprints are (0 to 1), from their branches alone.
+
+    Equal roots: 1. Else the two trees are descended side by side: branches with equal digests have all leaves in
+    common and are not entered; sections that differ are compared by paragraphs, and paragraphs that differ by leaves.
+    The result is the share of leaves (Dice) that both have; branches that repeat within a text count once. A branch's
+    text begins with its digest, so sets of branches compare by digests, in linear time.
+    """
+    x, y = F.col(a), F.col(b)
+    df = df.withColumns({"_x": sections(x), "_y": sections(y)})
+    df = df.withColumns({"_both": paragraphs(F.array_intersect("_x", "_y")), "_x": paragraphs(F.array_except("_x", "_y")), "_y": paragraphs(F.array_except("_y", "_x"))})
+    df = df.withColumns({"_both": count_leaves(F.col("_both")) + count_leaves(F.array_intersect("_x", "_y")), "_x": F.array_distinct(leaves(F.array_except("_x", "_y"))), "_y": F.array_distinct(leaves(F.array_except("_y", "_x")))})
+    common, every = 2 * (F.col("_both") + F.size(F.array_intersect("_x", "_y"))), 2 * F.col("_both") + F.size("_x") + F.size("_y")
+    share = F.when(root(x) == root(y), F.lit(1.0)).otherwise(F.coalesce(F.try_divide(common.cast("double"), every), F.lit(0.0)))
+    return df.withColumn(name, share).drop("_x", "_y", "_both")
+
+
+def edits(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df and the branches of a that b lacks: array of (section, paragraph) from 0, found by descending into sections whose digest b lacks."""
+    digest = lambda branch: F.substring(branch, 1, LEAF)
+    digests = lambda bs: F.transform(bs, digest)
+    x, y = sections(F.col(a)), sections(F.col(b))
+    df = df.withColumns({"_s": F.array_except(digests(x), digests(y)), "_p": F.array_except(digests(paragraphs(x)), digests(paragraphs(y)))})
+    enter = lambda s, i: F.transform(F.split(F.substring_index(s, "=", -1), ","), lambda p, j: F.when(F.array_contains("_p", digest(p)), F.struct(i.alias("section"), j.alias("paragraph"))))
+    found = F.transform(x, lambda s, i: F.when(F.array_contains("_s", digest(s)), enter(s, i)))
+    return df.withColumn(name, F.filter(F.flatten(F.filter(found, lambda z: z.isNotNull())), lambda z: z.isNotNull())).drop("_s", "_p")
 
 
 def successors(keys: DataFrame) -> DataFrame:
@@ -100,4 +140,6 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     part = F.when(F.col("_like"), F.substring("text", F.lit(1), k)).otherwise(F.col("part"))
     got = got.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n") - k).cast("int")), part)).withColumn("next_fingerprint", F.when(F.col("_like"), F.col("fingerprint")).otherwise(F.col("next_fingerprint")))
     got = with_fingerprint(got, "edited", "edited_fingerprint")
-    return got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    got = got.select(F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_fingerprint")
+    got = likeness(likeness(got, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
+    return got.drop("next_fingerprint")
