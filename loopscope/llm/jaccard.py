@@ -512,6 +512,14 @@ def near_components(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
     return _components(docs, width)[0].select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
+def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of the representatives of classes that hold different texts of one doc_id."""
+    some, own = signed.where("n > 0 and id is not null"), F.struct("n", "k1", "k2")
+    several = some.groupBy("id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").select("id")
+    reps = some.join(several, "id", "left_semi").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"]).select("id", F.col("rep").alias("a")).distinct()
+    return reps.join(reps.groupBy("id").agg(F.min("a").alias("b")), "id").where("a <> b").select("a", "b").distinct()
+
+
 def _components(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every row of docs(id, text) with class and component; the classes; component of every class that links."""
     signed = staged(docs.mapInArrow(_sign(width), SIGNED), "signatures")
@@ -523,7 +531,7 @@ def _components(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, Data
     first = lows.groupBy("order", "token").agg(F.min(F.struct(pick.alias("k"), F.col("a").alias("b"), F.col("n").alias("m"))).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").select("order", "token", "l.b", "l.m")
     near = lows.join(first, ["order", "token"]).where(f"a <> b and n * {DEN} >= m * {NUM} and m * {DEN} >= n * {NUM}").select("a", "b")
     texts = docs.where("id is not null")
-    links = verified(near.distinct(), texts, width)
+    links = verified(near.distinct(), texts, width).unionByName(staged(_same_id(signed, classes), "same-id"))
     comps = staged(components(links), "components")
 
     spark = docs.sparkSession
@@ -539,7 +547,7 @@ def _components(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, Data
         rows = held.join(open_, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "id", "n", "comp", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
         rows = staged(rows, "open-groups")
-        bits = signed.where("n > 0").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id", "n").agg(F.first("bits").alias("bits"))
+        bits = signed.where("n > 0").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id", "n", "k1").agg(F.first("bits").alias("bits")).drop("k1")
         rows = rows.join(bits, ["id", "n"]).select("token", "p", "q", "id", "n", "comp", "bits", "block")
         pairs = rows.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q").mapInArrow(_candidates(best), "a long, b long").distinct()
         links = links.unionByName(verified(pairs, texts, width))
@@ -547,6 +555,5 @@ def _components(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, Data
     named = signed.select("id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left")
     named = named.withColumn("rep", F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("rep", "id")))
     out = named.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    # a doc_id that occurs with several texts belongs where the smallest of its components is
     out = out.select(F.col("id").alias("doc_id"), "n", "k1", "k2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
     return out, classes, comps

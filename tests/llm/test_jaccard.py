@@ -133,3 +133,9 @@ def test_every_link_is_counted(docs, monkeypatch):
     mine = [(r["a"], r["b"]) for r in links.collect()]
     assert len(mine) == len(set(mine)) and set(mine) == {(a, b) for a, b in near if b < 200}
     assert len(mine) > 2000
+
+
+def test_texts_of_one_id_are_one_document(docs):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    got = jaccard.jaccard_join(docs([(1, a, None, None), (5, a, None, None), (5, b, None, None), (2, b, None, None), (9, "x y", None, None)]))[0].collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (5, 1), (5, 1), (9, 9)]
