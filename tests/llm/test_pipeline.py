@@ -1,9 +1,15 @@
 """Each stage against a plain version, on the driver's smallest tables."""
 
+import hashlib
 import os
 import random
+import re
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -54,3 +60,79 @@ def test_whole_run(spark):
     assert second.join(labels.where("toxic = 0"), "doc_id", "left_semi").count() >= 0.95 * clean
     out = corpus_pipeline.run(spark, SF)
     assert out.where(F.col("n_tokens") < 2).count() == 0 and set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _odd(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, a clashing extra column."""
+    rng = random.Random(3)
+    words = "the quick brown fox jumps over lazy dogs and then some other words come along here".split()
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(6, 40))), "en", rng.choice(["a", "b", None]), i) for i in range(60)]
+    rows += [(3, rows[3][1], "en", "a", 3)] * 2 + [(3, "an unlike text under the same id as another one has", "en", "a", None), (None, None, None, None, None), (None, rows[5][1], None, "b", 1), (None, "", "en", None, 0), (70, "  \n ", None, "a", 4), (71, "the lazy dog " * 40_000, "en", "c", None), (72, "12 !? 34", "en", "a", 8)]
+    return spark.createDataFrame(rows, SCHEMA).withColumns({"rejected": F.lit("x"), "_row": F.lit(1), "toxicity": F.lit(0), "copies": F.lit(9)})
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:4]])
+def test_stages_on_odd_rows_and_on_nothing(spark, stage):
+    docs = _odd(spark)
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes and 0 < got.count() <= 2 * docs.count()
+    assert {str(r) for r in got.collect()} <= {str(r) for r in docs.collect()}
+    none = stage(spark, docs.limit(0), SF)
+    assert none.columns == docs.columns and none.count() == 0
+
+
+def test_language_stage_against_the_model_row_by_row(spark):
+    docs = _odd(spark).withColumn("k", F.xxhash64("doc_id", "text", "source", "n_chars"))
+    model = corpus_pipeline.langid.train(docs.where("doc_id is null or crc32(cast(doc_id as string)) % 5 <> 0"))
+    texts = docs.select("k", "text").collect()
+    bad = model.answer(pa.array([r["text"] or "" for r in texts]))[3]
+    got = {r["k"] for r in corpus_pipeline.keep_known_languages(spark, docs, SF).collect()}
+    assert got == {r["k"] for r, b in zip(texts, bad) if not b} and 60 <= len(got) < len({r['k'] for r in texts})
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_toxicity_stage_against_the_field_row_by_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = corpus_pipeline.toxicity.train(docs, labels, F.expr("crc32(cast(doc_id as string)) % 3 <> 1"))
+    rows = docs.collect()
+    score = [model.score(model.tagged(pa.array([r["text"] or ""]))[0])[0] for r in rows]
+    got = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()}
+    assert got == {r["doc_id"] for r, s in zip(rows, score) if s < 0.7} and len(got) < len(rows)
+
+
+def shingles(text):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if x]
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_dedup_stage_against_brute_force(spark):
+    docs = _odd(spark)
+    rows = docs.collect()
+    sets, left = [shingles(r["text"]) for r in rows], set(range(len(rows)))
+    want = []
+    while left:
+        group, edge = set(), {min(left)}
+        while edge:
+            i = edge.pop()
+            group.add(i)
+            edge |= {j for j in left - group if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+        left -= group
+        want.append(min((rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0) for i in group))
+    got = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(want)
+
+
+def test_sentencepiece_stage_against_the_library(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = []
+    for r in _odd(spark).collect():
+        ids = sp.encode(r["text"] or "", add_bos=True, add_eos=True)
+        want.append((str(r["doc_id"]), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    got = corpus_pipeline.encode_pieces(spark, _odd(spark), SF)
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == sorted(want)
+    assert corpus_pipeline.encode_pieces(spark, _odd(spark).limit(0), SF).count() == 0
