@@ -1,6 +1,6 @@
 """Name -> query and name -> oracle SQL, gathered from the operator modules."""
 
-from loopscope.operators import attribution, inference, loop, metrics, perturb, qa, retrieval
+from loopscope.operators import attribution, contexts, inference, influence, loop, metrics, perturb, qa, retrieval
 from loopscope.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "attribution", "inference", "loop", "metrics", "perturb", "qa", "retrieval"]
+__all__ = ["ORACLE", "QUERIES", "attribution", "contexts", "inference", "influence", "loop", "metrics", "perturb", "qa", "retrieval"]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
+#: Distribution function of Poisson(1) at 0, 1, ..., 7.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
 
 
 def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
@@ -32,3 +36,9 @@ def kappa(agree: Column, yes_a: Column, yes_b: Column, n: Column) -> Column:
 def keyed_order(*keys: Column) -> Column:
     """A hash that other engines have as well, to draw at random and yet reproducibly."""
     return F.md5(F.concat_ws("|", *[k.cast("string") for k in keys]))
+
+
+def poisson_weight(*keys: Column) -> Column:
+    """How often a bootstrap replicate draws a value: Poisson(1), from 28 bits of a keyed hash."""
+    u = (F.conv(F.substring(keyed_order(*keys), 1, 7), 16, 10).cast("long") + 0.5) / float(1 << 28)
+    return sum((u > F.lit(round(c, 12))).cast("int") for c in POISSON)

@@ -58,9 +58,10 @@ def split_words(s: Column) -> Column:
 
 
 def multiset_overlap(p: Column, g: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
+    """Size of the multiset intersection of two token arrays; only the shorter one's distinct tokens are counted."""
     count = lambda xs, t: F.size(F.filter(xs, lambda u: u == t))
-    return F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, t: acc + F.least(count(p, t), count(g, t)))
+    few = F.when(F.size(p) <= F.size(g), p).otherwise(g)
+    return F.aggregate(F.array_distinct(few), F.lit(0), lambda acc, t: acc + F.least(count(p, t), count(g, t)))
 
 
 def f_measure(shared: Column, n_pred: Column, n_gold: Column) -> Column:
@@ -93,27 +94,6 @@ def rouge_n(a: Column, b: Column, n: int) -> Column:
     return share(2 * multiset_overlap(x, y), F.size(x) + F.size(y))
 
 
-def lcs_length(x: Column, y: Column) -> Column:
-    """Longest common subsequence of two token arrays, row by row of the table, as a fold over y's positions."""
-    zero = F.transform(F.concat(F.array(F.lit("")), y), lambda _: F.lit(0))
-
-    def step(row: Column, t: Column) -> Column:
-        # best[j] = max(best[j-1], row[j], row[j-1] + 1 if y[j] = t)
-        grown = F.aggregate(
-            F.sequence(F.lit(1), F.size(y)),
-            F.array(F.lit(0)),
-            lambda out, j: F.concat(out, F.array(F.greatest(F.element_at(out, j), F.element_at(row, j + 1), F.when(F.element_at(y, j) == t, F.element_at(row, j) + 1).otherwise(0)))),
-        )
-        return grown
-
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0)).otherwise(F.element_at(F.aggregate(x, zero, step), -1))
-
-
-def rouge_l(a: Column, b: Column) -> Column:
-    x, y = rouge_tokens(a), rouge_tokens(b)
-    return share(2 * lcs_length(x, y), F.size(x) + F.size(y))
-
-
 def set_cosine(a: Column, b: Column) -> Column:
     """Cosine of two sets as 0/1 vectors; 0 if either is empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.sqrt(F.size(a).cast("double") * F.size(b))), F.lit(0.0))
@@ -184,7 +164,7 @@ def realized_status(text: Column, gold: Column, wrong: Column) -> Column:
 
 def fallback_paragraph(question: Column, entity: Column) -> Column:
     q = F.concat(F.lower(F.substring(question, 1, 1)), F.substr(question, F.lit(2)))
-    return F.concat(F.lit("Asked "), q, F.lit(" Sources agree on "), entity, F.lit("."))
+    return F.concat(F.lit("Asked "), F.regexp_replace(q, r"\?+$", ""), F.lit(", sources agree on "), entity, F.lit("."))
 
 
 def cited_ids(answer: Column) -> Column:
@@ -204,8 +184,9 @@ def lexical_relevance(question: Column, doc: Column) -> Column:
 
 
 def redact(s: Column) -> Column:
-    """Keys, bearer tokens and passwords in logs."""
+    """Keys, bearer tokens, passwords and long hexadecimal runs in logs."""
     s = F.regexp_replace(s, r"sk-[A-Za-z0-9_-]{8,}", "[redacted]")
+    s = F.regexp_replace(s, r"(?i)(?<![0-9a-z])[0-9a-f]{32,}(?![0-9a-z])", "[redacted]")
     s = F.regexp_replace(s, r"(?i)(bearer\s+)[A-Za-z0-9._-]+", "$1[redacted]")
     return F.regexp_replace(s, r"(?i)((?:api[_-]?key|password|secret|token)\s*[=:]\s*)\S+", "$1[redacted]")
 
@@ -226,8 +207,9 @@ def eligibility(gold: Column, target: Column, kind: Column, bridge: Column) -> C
     )
 
 
-def round_stratum(r: Column, last: Column) -> Column:
-    return F.when(r <= 1, "early").when(r >= last - 2, "late").otherwise("mid")
+def round_stratum(r: Column, last: Column | None = None) -> Column:
+    """Early, mid or late: late are the last rounds, or those from 27 on where the last one is not given."""
+    return F.when(r <= 1, "early").when(r >= (F.lit(27) if last is None else last - 2), "late").otherwise("mid")
 
 
 def generated_text(s: Column) -> Column:

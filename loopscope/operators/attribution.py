@@ -20,25 +20,27 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.overlaps(spark, sf_dir).withColumn("k", F.row_number().over(w))
 
 
-@query(f"WITH {_RANK} SELECT question_id, iteration_number, run_idx, doc_id, round(overlap, 6) AS overlap, k AS rank FROM ranked WHERE k <= 2")
+@query(f"WITH {_RANK} SELECT question_id, iteration_number, run_idx, doc_id, round(overlap, 6) AS overlap, k AS rank FROM ranked WHERE k <= 4")
 def overlap_top_m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(spark, sf_dir).where("k <= 2").select(*RUN, "doc_id", r6("overlap", "overlap"), n(F.col("k"), "rank"))
+    return ranked(spark, sf_dir).where("k <= 4").select(*RUN, "doc_id", r6("overlap", "overlap"), n(F.col("k"), "rank"))
 
 
-_LOO = f"{_RANK}, re AS (SELECT question_id, iteration_number, run_idx AS rr, a_set AS other FROM a), c AS (SELECT r.question_id, r.iteration_number, r.run_idx, r.slot, r.doc_id, r.is_ai, r.k, 1 - {V.sql_overlap('r.a_set', 'other')} AS change FROM ranked r JOIN re ON re.question_id = r.question_id AND re.iteration_number = r.iteration_number AND rr = (r.run_idx + r.k) % 10 WHERE k <= 4), t AS (SELECT *, change >= 0.9 AS strong, sum(CASE WHEN change >= 0.9 THEN 1 ELSE 0 END) OVER (PARTITION BY question_id, iteration_number, run_idx) AS n_strong, row_number() OVER (PARTITION BY question_id, iteration_number, run_idx ORDER BY change DESC, k) AS by_change FROM c), cited AS (SELECT * FROM t WHERE strong OR (n_strong = 0 AND change > 0 AND by_change <= 2))"
+_LOO = f"{_RANK}, re AS (SELECT a.question_id, a.iteration_number, a.run_idx AS rr, a_set AS other FROM a JOIN runs USING (question_id, iteration_number, run_idx) WHERE answer <> ''), c AS (SELECT r.question_id, r.iteration_number, r.run_idx, r.slot, r.doc_id, r.is_ai, r.k, 1 - {V.sql_overlap('r.a_set', 'other')} AS change FROM ranked r JOIN re ON re.question_id = r.question_id AND re.iteration_number = r.iteration_number AND rr = (r.run_idx + r.k) % 10 WHERE k <= 4), t AS (SELECT *, change >= 0.18 AS strong, sum(CASE WHEN change >= 0.18 THEN 1 ELSE 0 END) OVER (PARTITION BY question_id, iteration_number, run_idx) AS n_strong, row_number() OVER (PARTITION BY question_id, iteration_number, run_idx ORDER BY change DESC, k) AS by_change FROM c), cited AS (SELECT * FROM t WHERE strong OR (n_strong = 0 AND change > 0 AND by_change <= 2))"
 
 
-def citations(spark: SparkSession, sf_dir: str, threshold: float = 0.9, m: int = 4) -> DataFrame:
-    """Leave-one-out citations: candidates whose rerun changes the answer enough; if none does, the two that change it most.
+def citations(spark: SparkSession, sf_dir: str, threshold: float = 0.18, m: int = 4, most: int = 6) -> DataFrame:
+    """Leave-one-out citations: the first `most` candidates whose rerun changes the answer enough; if none does, the two that change it most.
 
-    Another run of the same round stands in for the rerun without the candidate.
+    Candidates with an empty rerun are skipped. Another run of the same round stands in for the rerun without the candidate.
     """
     r = ranked(spark, sf_dir).where(F.col("k") <= m)
-    other = V.runs(spark, sf_dir).select(*CELL, F.col("run_idx").alias("rr"), T.token_set(F.col("answer")).alias("other"))
+    other = V.runs(spark, sf_dir).where("answer <> ''").select(*CELL, F.col("run_idx").alias("rr"), T.token_set(F.col("answer")).alias("other"))
     c = r.withColumn("rr", (F.col("run_idx") + F.col("k")) % 10).join(other, [*CELL, "rr"]).withColumn("change", T.answer_change(F.col("a_set"), F.col("other")))
     w = Window.partitionBy(*RUN)
-    c = c.withColumn("n_strong", F.sum((F.col("change") >= threshold).cast("int")).over(w)).withColumn("by_change", F.row_number().over(w.orderBy(F.desc("change"), "k")))
-    return c.where((F.col("change") >= threshold) | ((F.col("n_strong") == 0) & (F.col("change") > 0) & (F.col("by_change") <= 2)))
+    strong = F.col("change") >= threshold
+    c = c.withColumn("n_strong", F.sum(strong.cast("int")).over(w)).withColumn("by_change", F.row_number().over(w.orderBy(F.desc("change"), "k")))
+    c = c.withColumn("place", F.sum(strong.cast("int")).over(w.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return c.where((strong & (F.col("place") <= most)) | ((F.col("n_strong") == 0) & (F.col("change") > 0) & (F.col("by_change") <= 2)))
 
 
 @query(f"WITH {_LOO} SELECT question_id, iteration_number, run_idx, doc_id, round(change, 6) AS change FROM cited")
@@ -46,12 +48,22 @@ def loo_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations(spark, sf_dir).select(*RUN, "doc_id", r6("change", "change"))
 
 
-@query(f"WITH {_LOO}, ctx AS (SELECT iteration_number, avg(CAST(is_ai AS INT)) AS share FROM docs GROUP BY 1), cit AS (SELECT iteration_number, avg(CAST(is_ai AS INT)) AS share, count(*) AS n FROM cited GROUP BY 1) SELECT iteration_number, round(ctx.share, 6) AS context_share, round(cit.share, 6) AS citation_share, round(cit.share / nullif(ctx.share, 0), 6) AS ratio, n FROM ctx JOIN cit USING (iteration_number)")
+_SIDECAR = f"{_LOO}, side AS (SELECT question_id, iteration_number, run_idx, doc_id FROM cited UNION ALL SELECT question_id, iteration_number, run_idx, CASE WHEN iteration_number % 2 = 1 THEN 'gen_0_99' ELSE 'corpus_7' END FROM runs WHERE run_idx = 0), meta AS (SELECT DISTINCT question_id, iteration_number, doc_id, is_ai FROM docs), x AS (SELECT iteration_number, coalesce(m.is_ai, starts_with(s.doc_id, 'gen_')) AS ai FROM side s LEFT JOIN meta m USING (question_id, iteration_number, doc_id))"
+
+
+@query(f"WITH {_SIDECAR}, ctx AS (SELECT coalesce(CAST(iteration_number AS VARCHAR), 'pooled') AS round, avg(CAST(is_ai AS INT)) AS share FROM meta GROUP BY GROUPING SETS ((iteration_number), ())), cit AS (SELECT coalesce(CAST(iteration_number AS VARCHAR), 'pooled') AS round, avg(CAST(ai AS INT)) AS share, count(*) AS n FROM x GROUP BY GROUPING SETS ((iteration_number), ())) SELECT round, round(ctx.share, 6) AS context_share, round(cit.share, 6) AS citation_share, round(cit.share / nullif(ctx.share, 0), 6) AS ratio, n FROM ctx JOIN cit USING (round)")
 def overcitation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ai = F.avg(F.col("is_ai").cast("int"))
-    ctx = V.context_docs(spark, sf_dir).groupBy("iteration_number").agg(ai.alias("a"))
-    cit = citations(spark, sf_dir).groupBy("iteration_number").agg(ai.alias("b"), n(F.count(F.lit(1)), "n"))
-    return ctx.join(cit, "iteration_number").select("iteration_number", r6("a", "context_share"), r6("b", "citation_share"), r6(F.try_divide("b", "a"), "ratio"), "n")
+    """Share of AI documents among citations over their share in the context, by round and pooled.
+
+    Cited ids that the round's context does not hold are told by their prefix alone, and count.
+    """
+    known = citations(spark, sf_dir).select(*RUN, "doc_id")
+    strange = V.runs(spark, sf_dir).where("run_idx = 0").select(*RUN, F.when(F.col("iteration_number") % 2 == 1, "gen_0_99").otherwise("corpus_7").alias("doc_id"))
+    meta = V.context_docs(spark, sf_dir).select(*CELL, "doc_id", "is_ai").distinct()
+    cited = known.unionByName(strange).join(meta, [*CELL, "doc_id"], "left").select("iteration_number", F.coalesce("is_ai", F.col("doc_id").startswith("gen_")).alias("is_ai"))
+    by = lambda d, *cols: d.groupingSets([["iteration_number"], []], "iteration_number").agg(F.avg(F.col("is_ai").cast("int")).alias("share"), *cols).withColumn("round", F.coalesce(F.col("iteration_number").cast("string"), F.lit("pooled"))).drop("iteration_number")
+    ctx, cit = by(meta), by(cited, n(F.count(F.lit(1)), "n"))
+    return ctx.withColumnRenamed("share", "a").join(cit.withColumnRenamed("share", "b"), "round").select("round", r6("a", "context_share"), r6("b", "citation_share"), r6(F.try_divide("b", "a"), "ratio"), "n")
 
 
 @query(f"WITH {_LOO}, u AS (SELECT o.iteration_number, o.is_ai, c.doc_id IS NOT NULL AS cited FROM ovl o LEFT JOIN cited c USING (question_id, iteration_number, run_idx, doc_id)) SELECT coalesce(CAST(iteration_number AS VARCHAR), 'all') AS round, round(avg(CAST(cited AS INT)) FILTER (is_ai), 6) AS ai_rate, round(avg(CAST(cited AS INT)) FILTER (NOT is_ai), 6) AS other_rate, count(*) AS n FROM u GROUP BY GROUPING SETS ((iteration_number), ())")
@@ -65,33 +77,12 @@ def citation_rate_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_RANK}, m(m) AS (VALUES (1), (2), (4), (8), (1000)), t AS (SELECT m, iteration_number, avg(CAST(is_ai AS INT)) AS top_share FROM ranked JOIN m ON k <= m GROUP BY ALL), c AS (SELECT iteration_number, avg(CAST(is_ai AS INT)) AS share FROM ranked GROUP BY 1) SELECT CAST(m AS BIGINT) AS m, iteration_number, round(top_share, 6) AS top_share, round(share, 6) AS context_share, round(top_share / nullif(share, 0), 6) AS amplification FROM t JOIN c USING (iteration_number)")
 def prefilter_amplification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much commoner AI documents are among the top M by overlap than in the context, for several M."""
-    ai = F.avg(F.col("is_ai").cast("int"))
-    r = ranked(spark, sf_dir).select("iteration_number", "k", "is_ai")
+    r = ranked(spark, sf_dir).groupBy("iteration_number", "k").agg(F.sum(F.col("is_ai").cast("int")).alias("ai"), F.count(F.lit(1)).alias("c"))  # a few rows; all widths come from them
+    share = F.sum("ai") / F.sum("c")
     widths = F.explode(F.filter(F.array(*[F.lit(m) for m in (1, 2, 4, 8, 1000)]), lambda m: m >= F.col("k")))
-    t = r.withColumn("m", widths).groupBy("m", "iteration_number").agg(ai.alias("t"))
-    c = r.groupBy("iteration_number").agg(ai.alias("c"))
-    return t.join(c, "iteration_number").select(n(F.col("m"), "m"), "iteration_number", r6("t", "top_share"), r6("c", "context_share"), r6(F.try_divide("t", "c"), "amplification"))
-
-
-@query(f"WITH {V.RUNS}, {V.DOCS}, a AS (SELECT question_id, iteration_number, run_idx, {V.sql_tokens('answer')} AS a FROM runs), d AS (SELECT question_id, iteration_number, {V.sql_tokens('text')} AS d FROM docs), later AS (SELECT a.iteration_number, {V.sql_overlap('a', 'd')} AS o FROM a JOIN d ON a.question_id = d.question_id AND d.iteration_number > a.iteration_number) SELECT iteration_number, round(avg(o), 6) AS later_overlap, round(avg(CASE WHEN o >= 0.05 THEN 1.0 ELSE 0 END), 6) AS descendant_rate, count(*) AS n FROM later GROUP BY 1")
-def descendant_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of answers with documents of later rounds, which they cannot rest on."""
-    a = V.runs(spark, sf_dir).select("question_id", "iteration_number", T.token_set(F.col("answer")).alias("a"))
-    d = V.context_docs(spark, sf_dir).select("question_id", F.col("iteration_number").alias("later"), T.token_set(F.col("text")).alias("d"))
-    o = a.join(d, "question_id").where("later > iteration_number").withColumn("o", T.overlap(F.col("a"), F.col("d")))
-    return o.groupBy("iteration_number").agg(r6(F.avg("o"), "later_overlap"), r6(F.avg((F.col("o") >= 0.05).cast("double")), "descendant_rate"), n(F.count(F.lit(1)), "n"))
-
-
-@query(f"WITH {V.RUNS}, t AS (SELECT question_id, iteration_number, run_idx, {V.sql_tokens('answer')} AS t FROM runs), x AS (SELECT DISTINCT question_id, iteration_number, unnest(t) AS w FROM t), novel AS (SELECT question_id, iteration_number, w FROM x ANTI JOIN (SELECT question_id, iteration_number + 1 AS iteration_number, w FROM x) y USING (question_id, iteration_number, w)), nxt AS (SELECT question_id, iteration_number - 1 AS iteration_number, run_idx, unnest(t) AS w FROM t), nn AS (SELECT question_id, iteration_number, count(*) AS c FROM novel GROUP BY ALL), runs2 AS (SELECT question_id, iteration_number - 1 AS iteration_number, run_idx FROM t), h AS (SELECT question_id, iteration_number, run_idx, count(*) AS hit FROM nxt JOIN novel USING (question_id, iteration_number, w) GROUP BY ALL) SELECT r.question_id, r.iteration_number, round(avg(coalesce(hit, 0) * 1.0 / c), 6) AS adoption, any_value(c) AS n_novel FROM runs2 r JOIN nn USING (question_id, iteration_number) LEFT JOIN h USING (question_id, iteration_number, run_idx) GROUP BY ALL")
-def novelty_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that answers of a round hold and those of the round before do not, and how much of them each next answer takes up."""
-    t = V.runs(spark, sf_dir).select(*RUN, T.token_set(F.col("answer")).alias("t"))
-    x = t.select(*CELL, F.explode("t").alias("w")).distinct()
-    before = x.withColumn("iteration_number", F.col("iteration_number") + 1)
-    novel = x.join(before, [*CELL, "w"], "left_anti").groupBy(*CELL).agg(F.collect_set("w").alias("novel"))
-    after = t.withColumn("iteration_number", F.col("iteration_number") - 1)
-    j = after.join(novel, CELL).withColumn("o", T.overlap(F.col("novel"), F.col("t")))
-    return j.groupBy(*CELL).agg(r6(F.avg("o"), "adoption"), n(F.max(F.size("novel")), "n_novel"))
+    t = r.withColumn("m", widths).groupBy("m", "iteration_number").agg(share.alias("t"))
+    c = F.sum(F.when(F.col("m") == 1000, F.col("t"))).over(Window.partitionBy("iteration_number"))  # the widest holds all
+    return t.withColumn("c", c).select(n(F.col("m"), "m"), "iteration_number", r6("t", "top_share"), r6("c", "context_share"), r6(F.try_divide("t", "c"), "amplification"))
 
 
 _KEY = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '')"
@@ -108,9 +99,3 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PROV} SELECT page_id, key, provenance FROM p")
 def url_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance(spark, sf_dir)
-
-
-@query(f"WITH {_PROV} SELECT provenance, round(avg(length(html)), 6) AS mean_length, count(*) AS n FROM p JOIN pages USING (page_id) GROUP BY 1")
-def rate_by_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = V.table(spark, sf_dir, "pages").select("page_id", F.length("html").alias("h"))
-    return provenance(spark, sf_dir).join(h, "page_id").groupBy("provenance").agg(r6(F.avg("h"), "mean_length"), n(F.count(F.lit(1)), "n"))

@@ -71,10 +71,18 @@ def _sql_rouge(k: str) -> str:
     "SELECT g.question_id, g.iteration_number, round(coalesce(m1, 0), 6) AS rouge1_mean, round(coalesce(s1, 0), 6) AS rouge1_std, round(coalesce(m2, 0), 6) AS rouge2_mean, round(coalesce(s2, 0), 6) AS rouge2_std FROM g LEFT JOIN s USING (question_id, iteration_number)"
 )
 def rouge12_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grams are counted once a run; pairs meet under the grams they share, so no pair looks at the others' tokens."""
     r = V.runs(spark, sf_dir).select(*CELL, "run_idx", T.rouge_tokens(F.col("answer")).alias("g1"))
-    r = r.withColumn("g2", T.ngrams(F.col("g1"), 2))  # token arrays are made once a run, before the pairs
-    f = lambda k: T.share(2 * T.multiset_overlap(F.col(f"{k}_a"), F.col(f"{k}_b")), F.size(f"{k}_a") + F.size(f"{k}_b"))
-    scored = V.pairs(r, *CELL).select(*CELL, f("g1").alias("r1"), f("g2").alias("r2"))
+    r = r.withColumn("g2", T.ngrams(F.col("g1"), 2))
+    kind = lambda k: F.transform(f"g{k}", lambda g: F.struct(F.lit(k).alias("k"), g.alias("g")))
+    kinds = F.array(kind(1), kind(2))
+    count = r.select(*CELL, "run_idx", F.explode(F.flatten(kinds)).alias("x")).groupBy(*CELL, "run_idx", "x").agg(F.count(F.lit(1)).alias("c"))
+    a, b = (count.select(*CELL, "x", F.col("run_idx").alias(f"run_idx_{s}"), F.col("c").alias(f"c_{s}")) for s in "ab")
+    least = F.least("c_a", "c_b")
+    both = a.join(b, [*CELL, "x"]).where("run_idx_a < run_idx_b").groupBy(*CELL, "run_idx_a", "run_idx_b").agg(*[F.sum(F.when(F.col("x.k") == k, least)).alias(f"s{k}") for k in (1, 2)])
+    pairs = V.pairs(r.select(*CELL, "run_idx", F.size("g1").alias("n1"), F.size("g2").alias("n2")), *CELL)
+    f = lambda k: T.share(2 * F.coalesce(f"s{k}", F.lit(0)), F.col(f"n{k}_a") + F.col(f"n{k}_b"))
+    scored = pairs.join(both, [*CELL, "run_idx_a", "run_idx_b"], "left").select(*CELL, f(1).alias("r1"), f(2).alias("r2"))
     agg = scored.groupBy(*CELL).agg(F.avg("r1").alias("m1"), F.stddev_pop("r1").alias("s1"), F.avg("r2").alias("m2"), F.stddev_pop("r2").alias("s2"))
     out = r.select(*CELL).distinct().join(agg, CELL, "left")
     return out.select(*CELL, *[r6(F.coalesce(c, F.lit(0.0)), name) for c, name in (("m1", "rouge1_mean"), ("s1", "rouge1_std"), ("m2", "rouge2_mean"), ("s2", "rouge2_std"))])

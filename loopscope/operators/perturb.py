@@ -10,7 +10,7 @@ from loopscope.functions import text as T
 from loopscope.plans import views as V
 from loopscope.plans.registry import n, query
 
-_CAND = f"{V.ENTS}, {V.QUESTIONS}, {V.GOLD}, l AS (SELECT *, list_transform(regexp_extract_all(answer, '[A-Z][a-z]{{3,}}'), lambda x: lower(x)) AS l FROM runs), c AS (SELECT question_id, min(iteration_number * 10000000 + run_idx * 1000000 + pos) AS pos, e AS candidate FROM (SELECT question_id, iteration_number, run_idx, unnest(l) AS e, unnest(range(0, len(l))) AS pos FROM l) GROUP BY question_id, e), ok AS (SELECT question_id, pos, candidate, gold FROM c JOIN gold USING (question_id) JOIN questions USING (question_id) WHERE {V.sql_norm('candidate')} <> '' AND NOT contains({V.sql_norm('candidate')}, {V.sql_norm('gold')}) AND NOT contains({V.sql_norm('gold')}, {V.sql_norm('candidate')}) AND NOT {V.sql_contains('question_text', 'candidate')})"
+_CAND = V.CANDIDATES
 
 
 def substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,21 +22,28 @@ def substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where(T.valid_substitute(F.col("candidate"), F.col("gold"), F.col("question_text")))
 
 
+def ranked_substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substitutes of every question, numbered in order of appearance."""
+    w = Window.partitionBy("question_id").orderBy("pos", "candidate")
+    return substitutes(spark, sf_dir).withColumn("rank", F.row_number().over(w))
+
+
 @query(f"WITH {_CAND}, r AS (SELECT question_id, candidate, row_number() OVER (PARTITION BY question_id ORDER BY pos, candidate) AS rank FROM ok) SELECT question_id, candidate, rank FROM r WHERE rank <= 4")
 def distinct_substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("question_id").orderBy("pos", "candidate")
-    return substitutes(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("question_id", "candidate", n(F.col("rank"), "rank"))
+    return ranked_substitutes(spark, sf_dir).where("rank <= 4").select("question_id", "candidate", n(F.col("rank"), "rank"))
 
 
 _SLOTS = f"{V.DOCS}, {V.GOLD}, b AS (SELECT question_id, iteration_number, slot, row_id, coalesce({V.sql_contains('text', 'gold')}, false) AS bearing, md5(concat_ws('|', 5, row_id)) AS h, count(*) OVER (PARTITION BY question_id, iteration_number) AS k FROM docs LEFT JOIN gold USING (question_id)), s AS (SELECT *, row_number() OVER (PARTITION BY question_id, iteration_number ORDER BY bearing DESC, h, row_id) AS pick FROM b)"
 
 
-def distractor_slots(spark: SparkSession, sf_dir: str, fraction: float = 0.3) -> DataFrame:
-    """Slots to corrupt: half-even rounded fraction of a round's documents, those that bear the gold answer first, then by hash."""
+def distractor_slots(spark: SparkSession, sf_dir: str, fraction: float = 0.3, avoid_gold: bool = False) -> DataFrame:
+    """Slots to corrupt: half-even rounded fraction of a round's documents, those that bear the gold answer first (or never), then by hash."""
     d = V.context_docs(spark, sf_dir).join(V.gold(spark, sf_dir), "question_id", "left")
     d = d.withColumn("bearing", F.coalesce(T.contains_entity(F.col("text"), F.col("gold")), F.lit(False))).select("question_id", "iteration_number", "slot", "row_id", "bearing")
     w = Window.partitionBy("question_id", "iteration_number")
     d = d.withColumn("k", F.count(F.lit(1)).over(w)).withColumn("pick", F.row_number().over(w.orderBy(F.desc("bearing"), stats.keyed_order(F.lit(5), F.col("row_id")), "row_id")))
+    if avoid_gold:
+        d = d.where("not bearing").withColumn("pick", F.row_number().over(w.orderBy(stats.keyed_order(F.lit(5), F.col("row_id")), "row_id")))
     return d.where(F.col("pick") <= T.n_to_corrupt(F.lit(fraction), F.col("k")))
 
 
@@ -45,12 +52,36 @@ def select_distractor_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distractor_slots(spark, sf_dir).select("question_id", "iteration_number", "slot", n(F.col("bearing").cast("int"), "gold_bearing"))
 
 
-@query(f"WITH {_SLOTS}, p AS (SELECT * FROM s WHERE pick <= round_even(0.6 * k, 0)), o AS (SELECT *, row_number() OVER (PARTITION BY question_id, iteration_number ORDER BY slot) - 1 AS i, count(*) OVER (PARTITION BY question_id, iteration_number) // 2 AS topics FROM p) SELECT question_id, iteration_number, slot, i // 2 AS topic FROM o WHERE i < topics * 2")
+_AVOID = f"{_SLOTS}, av AS (SELECT *, row_number() OVER (PARTITION BY question_id, iteration_number ORDER BY h, row_id) AS pick2 FROM b WHERE NOT bearing)"
+
+
+@query(f"WITH {_AVOID} SELECT question_id, iteration_number, slot FROM av WHERE pick2 <= round_even(0.5 * k, 0)")
+def avoid_gold_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots to corrupt when documents that bear the gold answer are never touched."""
+    return distractor_slots(spark, sf_dir, 0.5, avoid_gold=True).select("question_id", "iteration_number", "slot")
+
+
+@query(f"WITH {_SLOTS}, p AS (SELECT *, sum(CAST(bearing AS INT)) OVER (PARTITION BY question_id, iteration_number) AS every FROM s), c AS (SELECT *, sum(CAST(bearing AS INT)) OVER (PARTITION BY question_id, iteration_number) AS chosen, max(CASE WHEN bearing THEN slot END) OVER (PARTITION BY question_id, iteration_number) AS last FROM p WHERE pick <= round_even(0.8 * k, 0)) SELECT question_id, iteration_number, slot, CAST(bearing AS BIGINT) AS gold_bearing FROM c WHERE every = 0 OR chosen < every OR slot <> last")
+def gold_preserving_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots to corrupt, less the last gold-bearing one where all gold-bearing documents would go."""
+    w = Window.partitionBy("question_id", "iteration_number")
+    every = V.context_docs(spark, sf_dir).join(V.gold(spark, sf_dir), "question_id").where(T.contains_entity(F.col("text"), F.col("gold"))).groupBy("question_id", "iteration_number").agg(F.count(F.lit(1)).alias("every"))
+    p = distractor_slots(spark, sf_dir, 0.8).join(every, ["question_id", "iteration_number"], "left")
+    p = p.withColumns({"chosen": F.sum(F.col("bearing").cast("int")).over(w), "last": F.max(F.when(F.col("bearing"), F.col("slot"))).over(w)})
+    return p.where("every is null or chosen < every or slot <> last").select("question_id", "iteration_number", "slot", n(F.col("bearing").cast("int"), "gold_bearing"))
+
+
+@query(f"WITH {_AVOID}, p AS (SELECT * FROM av WHERE pick2 <= round_even(0.8 * k, 0)), o AS (SELECT *, row_number() OVER (PARTITION BY question_id, iteration_number ORDER BY slot) - 1 AS i, count(*) OVER (PARTITION BY question_id, iteration_number) // 2 AS topics FROM p) SELECT question_id, iteration_number, slot, i // 2 AS topic FROM o WHERE i < topics * 2")
 def equal_topic_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slots dealt to as many topics of two documents as fit; what is left over is not used."""
+    """Slots without gold dealt to as many topics of two documents as fit; what is left over is not used."""
+    return topics(distractor_slots(spark, sf_dir, 0.8, avoid_gold=True)).select("question_id", "iteration_number", "slot", F.expr("i div 2").alias("topic"))
+
+
+def topics(slots: DataFrame, docs: int = 2) -> DataFrame:
+    """Slots in order with their place i, as far as they fill topics of `docs` documents."""
     w = Window.partitionBy("question_id", "iteration_number")
-    p = distractor_slots(spark, sf_dir, 0.6).withColumn("i", F.row_number().over(w.orderBy("slot")) - 1).withColumn("t", F.expr("div(count(1) over (partition by question_id, iteration_number), 2)"))
-    return p.where("i < t * 2").select("question_id", "iteration_number", "slot", F.expr("i div 2").alias("topic"))
+    p = slots.withColumn("i", F.row_number().over(w.orderBy("slot")) - 1).withColumn("t", F.count(F.lit(1)).over(w))
+    return p.where(F.expr(f"i < (t div {docs}) * {docs}"))
 
 
 @query(f"WITH {V.RUNS}, {V.GOLD}, t AS (SELECT CASE WHEN NOT {V.sql_contains('answer', "'data'")} THEN 'not_realized' WHEN {V.sql_contains('answer', 'gold')} THEN 'leaky_gold' ELSE 'ok' END AS status FROM runs JOIN gold USING (question_id)) SELECT status, count(*) AS n FROM t GROUP BY 1")

@@ -42,13 +42,34 @@ def gold_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select(*CELL, "run_idx", n(F.col("hit"), "contains_gold"))
 
 
-@query(f"WITH {V.RUNS}, {V.GOLD}, {V.DOCS}, r AS (SELECT question_id, iteration_number, avg(CAST({V.sql_contains('answer', 'gold')} AS DOUBLE)) AS gold_rate FROM runs JOIN gold USING (question_id) GROUP BY ALL), d AS (SELECT question_id, iteration_number, max(CAST({V.sql_contains('text', 'gold')} AS INT)) AS condition, count(DISTINCT CASE WHEN {V.sql_contains('text', 'gold')} THEN doc_id END) AS amplification, coalesce(avg(CASE WHEN is_ai THEN CAST({V.sql_contains('text', 'gold')} AS DOUBLE) END), 0) AS propagation FROM docs JOIN gold USING (question_id) GROUP BY ALL) SELECT question_id, iteration_number, CAST(condition AS BIGINT) AS retrieval_condition, round(gold_rate, 6) AS match_rate, round(propagation, 6) AS doc_propagation, amplification AS amplification_count FROM r JOIN d USING (question_id, iteration_number)")
+_TARGETS = f"{V.TARGETS}, c AS (SELECT question_id, iteration_number, run_idx, {V.sql_norm('answer')} AS a, {V.sql_contains('answer', 'target')} AS t, {V.sql_contains('answer', 'gold')} AS g, {V.sql_contains('answer', 'implied')} AS i FROM runs JOIN injected USING (question_id))"
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an injection plants in each question: its first valid substitute (target) and, as the answer that follows from it, the second one (implied); either may be null."""
+    from loopscope.operators.perturb import ranked_substitutes
+
+    r = ranked_substitutes(spark, sf_dir).where("rank <= 2").groupBy("question_id").agg(F.max(F.when(F.col("rank") == 1, F.col("candidate"))).alias("target"), F.max(F.when(F.col("rank") == 2, F.col("candidate"))).alias("implied"))
+    return V.gold(spark, sf_dir).where("gold <> ''").join(r, "question_id", "left")
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer of an injected question: normalised (a), and whether it holds target (t), gold (g) and implied (i); null where there is none."""
+    r = V.runs(spark, sf_dir).join(targets(spark, sf_dir), "question_id")
+    has = lambda c: F.when(F.col(c).isNotNull(), T.contains_entity(F.col("answer"), F.col(c)))
+    return r.select(*CELL, "run_idx", T.normalize(F.col("answer")).alias("a"), has("target").alias("t"), has("gold").alias("g"), has("implied").alias("i"))
+
+
+@query(f"WITH {_TARGETS}, {V.DOCS}, r AS (SELECT question_id, iteration_number, avg(CAST(t AS DOUBLE)) AS tr, avg(CAST(g AS DOUBLE)) AS gr, avg(CAST(i AS DOUBLE)) AS ir, count(DISTINCT CASE WHEN a <> '' AND NOT (coalesce(t, false) OR coalesce(g, false) OR coalesce(i, false)) THEN a END) AS amplification FROM c GROUP BY ALL), d AS (SELECT question_id, iteration_number, max(CAST(row_id % 6 = 0 AS INT)) AS condition, max(CAST(is_ai AND coalesce({V.sql_contains('text', 'target')}, false) AS INT)) AS propagation FROM docs JOIN injected USING (question_id) GROUP BY ALL) SELECT question_id, iteration_number, CAST(coalesce(condition, 0) AS BIGINT) AS retrieval_condition, round(tr, 6) AS injected_match_rate, round(gr, 6) AS gold_match_rate, round(ir, 6) AS implied_match_rate, CAST(coalesce(propagation, 0) AS BIGINT) AS doc_propagation, amplification AS amplification_count FROM r LEFT JOIN d USING (question_id, iteration_number)")
 def injection_round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a round's context holds the target, how often answers and generated documents repeat it, how many documents do."""
-    r = hits(spark, sf_dir).groupBy(*CELL).agg(F.avg("hit").alias("rate"))
-    d = V.context_docs(spark, sf_dir).join(V.gold(spark, sf_dir), "question_id").withColumn("has", T.contains_entity(F.col("text"), F.col("gold")))
-    d = d.groupBy(*CELL).agg(n(F.max(F.col("has").cast("int")), "retrieval_condition"), n(F.countDistinct(F.when(F.col("has"), F.col("doc_id"))), "amplification_count"), F.coalesce(F.avg(F.when(F.col("is_ai"), F.col("has").cast("double"))), F.lit(0.0)).alias("p"))
-    return r.join(d, CELL).select(*CELL, "retrieval_condition", r6("rate", "match_rate"), r6("p", "doc_propagation"), "amplification_count")
+    """Whether a round's context holds an injected document, how often answers repeat target, gold and implied answer, whether a generated document repeats the target, and how many other answers there are."""
+    rate = lambda c: F.avg(F.col(c).cast("double"))
+    known = F.coalesce("t", F.lit(False)) | F.coalesce("g", F.lit(False)) | F.coalesce("i", F.lit(False))
+    r = matches(spark, sf_dir).groupBy(*CELL).agg(rate("t").alias("tr"), rate("g").alias("gr"), rate("i").alias("ir"), n(F.countDistinct(F.when((F.col("a") != "") & ~known, F.col("a"))), "amplification_count"))
+    d = V.context_docs(spark, sf_dir).join(targets(spark, sf_dir), "question_id")
+    holds = F.col("is_ai") & F.coalesce(T.contains_entity(F.col("text"), F.col("target")), F.lit(False))
+    d = d.groupBy(*CELL).agg(F.max((F.col("row_id") % 6 == 0).cast("int")).alias("c"), F.max(holds.cast("int")).alias("p"))
+    return r.join(d, CELL, "left").select(*CELL, n(F.coalesce("c", F.lit(0)), "retrieval_condition"), r6("tr", "injected_match_rate"), r6("gr", "gold_match_rate"), r6("ir", "implied_match_rate"), n(F.coalesce("p", F.lit(0)), "doc_propagation"), "amplification_count")
 
 
 _ADOPTED = "e AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS adopted, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS it FROM events)"
@@ -64,17 +85,19 @@ def adoption_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_HIT}, c AS (SELECT question_id, iteration_number, max(hit) AS adopted FROM h GROUP BY ALL), i AS (SELECT question_id, iteration_number, iteration_number - row_number() OVER (PARTITION BY question_id ORDER BY iteration_number) AS island FROM c WHERE adopted = 1), "
-    "p AS (SELECT question_id, max(n) AS persistence, min(f) AS first_it FROM (SELECT question_id, island, count(*) AS n, min(iteration_number) AS f FROM i GROUP BY ALL) GROUP BY 1), q AS (SELECT question_id, arg_max(adopted, iteration_number) AS final FROM c GROUP BY 1) "
-    "SELECT round(avg(CASE WHEN p.question_id IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS adoption_rate, round(avg(first_it), 6) AS mean_time_to_adoption, round(avg(persistence), 6) AS mean_persistence, round(coalesce(sum(CASE WHEN p.question_id IS NOT NULL AND final = 0 THEN 1.0 ELSE 0 END) / nullif(count(p.question_id), 0), 0), 6) AS recovery_rate FROM q LEFT JOIN p USING (question_id)"
+    f"WITH {_TARGETS}, s AS (SELECT question_id, iteration_number, avg(CAST(t AS DOUBLE)) AS tr, avg(CAST(g AS DOUBLE)) AS gr FROM c GROUP BY ALL), i AS (SELECT question_id, iteration_number, iteration_number - row_number() OVER (PARTITION BY question_id ORDER BY iteration_number) AS island FROM s WHERE iteration_number > 1 AND tr > 0), "
+    "p AS (SELECT question_id, max(n) AS persistence, min(f) - 1 AS wait FROM (SELECT question_id, island, count(*) AS n, min(iteration_number) AS f FROM i GROUP BY ALL) GROUP BY 1), q AS (SELECT question_id, arg_max(gr, iteration_number) FILTER (gr IS NOT NULL) AS final FROM s GROUP BY 1) "
+    "SELECT count(*) AS n_eligible, round(coalesce(avg(CASE WHEN p.question_id IS NOT NULL THEN 1.0 ELSE 0 END), 0), 6) AS adoption_rate, round(avg(wait), 6) AS mean_time_to_adoption, round(coalesce(avg(persistence), 0), 6) AS mean_persistence, round(coalesce(sum(CASE WHEN p.question_id IS NOT NULL AND final > 0 THEN 1.0 ELSE 0 END) / nullif(count(p.question_id), 0), 0), 6) AS recovery_rate FROM q LEFT JOIN p USING (question_id)"
 )
-def injection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = hits(spark, sf_dir).groupBy(*CELL).agg(F.max("hit").alias("adopted"))
-    i = c.where("adopted = 1").withColumn("island", F.col("iteration_number") - F.row_number().over(Window.partitionBy("question_id").orderBy("iteration_number")))
-    p = i.groupBy("question_id", "island").agg(F.count(F.lit(1)).alias("len"), F.min("iteration_number").alias("f")).groupBy("question_id").agg(F.max("len").alias("persistence"), F.min("f").alias("first_it"))
-    q = c.groupBy("question_id").agg(F.max_by("adopted", "iteration_number").alias("final")).join(p, "question_id", "left")
+def injection_summary(spark: SparkSession, sf_dir: str, inject_round: int = 1) -> DataFrame:
+    """Over questions: how many adopt the target after the injection, how soon, for how many consecutive rounds, and how many of them give the gold answer in their last round."""
+    s = matches(spark, sf_dir).groupBy(*CELL).agg(F.avg(F.col("t").cast("double")).alias("tr"), F.avg(F.col("g").cast("double")).alias("gr"))
+    it = F.col("iteration_number")
+    i = s.where((it > inject_round) & (F.col("tr") > 0)).withColumn("island", it - F.row_number().over(Window.partitionBy("question_id").orderBy(it)))
+    p = i.groupBy("question_id", "island").agg(F.count(F.lit(1)).alias("len"), F.min(it).alias("f")).groupBy("question_id").agg(F.max("len").alias("persistence"), (F.min("f") - inject_round).alias("wait"))
+    q = s.groupBy("question_id").agg(F.max_by("gr", F.when(F.col("gr").isNotNull(), it)).alias("final")).join(p, "question_id", "left")
     was = F.col("persistence").isNotNull()
-    return q.agg(r6(F.avg(was.cast("double")), "adoption_rate"), r6(F.avg("first_it"), "mean_time_to_adoption"), r6(F.avg("persistence"), "mean_persistence"), r6(T.share(F.sum((was & (F.col("final") == 0)).cast("int")), F.count("persistence")), "recovery_rate"))
+    return q.agg(n(F.count(F.lit(1)), "n_eligible"), r6(F.coalesce(F.avg(was.cast("double")), F.lit(0.0)), "adoption_rate"), r6(F.avg("wait"), "mean_time_to_adoption"), r6(F.coalesce(F.avg("persistence"), F.lit(0.0)), "mean_persistence"), r6(T.share(F.sum((was & (F.col("final") > 0)).cast("int")), F.count("persistence")), "recovery_rate"))
 
 
 @query(

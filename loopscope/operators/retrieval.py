@@ -90,12 +90,13 @@ def replace_one_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(g, ["question_id", "round", "slot"], "left").withColumn("row_id", F.max("row_id").over(w)).where("row_id is not null").select("question_id", "round", "slot", "row_id")
 
 
-@query(f"WITH {V.RUNS}, s AS (SELECT question_id, iteration_number, list_sort(list(length(answer))) AS sig FROM runs GROUP BY ALL), l AS (SELECT *, lag(sig) OVER w AS p, lag(iteration_number) OVER w AS pi FROM s WINDOW w AS (PARTITION BY question_id ORDER BY iteration_number)), f AS (SELECT question_id, iteration_number FROM l WHERE p = sig) SELECT q.question_id, min(f.iteration_number) AS converged_at FROM (SELECT DISTINCT question_id FROM runs) q LEFT JOIN f USING (question_id) GROUP BY 1")
+@query(f"WITH {V.RUNS}, s AS (SELECT question_id, iteration_number, list_sort(list(length(answer))) AS sig FROM runs GROUP BY ALL), f AS (SELECT question_id, iteration_number, sig = lag(sig, 1) OVER w AND sig = lag(sig, 2) OVER w AND sig = lag(sig, 3) OVER w AS stop FROM s WINDOW w AS (PARTITION BY question_id ORDER BY iteration_number)) SELECT question_id, min(iteration_number) FILTER (stop) AS converged_at FROM f GROUP BY 1")
 def convergence_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First round whose sorted answer lengths equal those of the round before; null where none does."""
+    """First round that ends four in a row with equal sorted answer lengths; null where none does."""
     s = V.runs(spark, sf_dir).groupBy(*CELL).agg(F.array_sort(F.collect_list(F.length("answer"))).alias("sig"))
-    s = s.withColumn("p", F.lag("sig").over(Window.partitionBy("question_id").orderBy("iteration_number")))
-    return s.groupBy("question_id").agg(F.min(F.when(F.col("p") == F.col("sig"), F.col("iteration_number"))).alias("converged_at"))
+    last = Window.partitionBy("question_id").orderBy("iteration_number").rowsBetween(-3, Window.currentRow)
+    s = s.withColumn("same", F.size(F.collect_set("sig").over(last)) == 1).withColumn("rounds", F.count(F.lit(1)).over(last))
+    return s.groupBy("question_id").agg(F.min(F.when(F.col("same") & (F.col("rounds") == 4), F.col("iteration_number"))).alias("converged_at"))
 
 
 _STRATA = "k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', 7, doc_id)), doc_id) AS k FROM documents)"
@@ -108,8 +109,14 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", "source").withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("doc_id", "source", n(F.col("rank"), "rank"))
 
 
-@query("SELECT doc_id, CASE WHEN substring(md5(concat_ws('|', 3, doc_id)), 1, 2) < '9a' THEN 'train' WHEN substring(md5(concat_ws('|', 3, doc_id)), 1, 2) < 'cd' THEN 'val' ELSE 'test' END AS split FROM documents")
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', 3, doc_id)), doc_id) AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN k <= CAST(floor(n * 0.6) AS BIGINT) THEN 'train' WHEN k <= CAST(floor(n * 0.6) AS BIGINT) + CAST(floor(n * 0.2) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM r")
 def split_60_20_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits by a hash threshold: no sort, and a document stays where it is as the corpus grows."""
-    h = F.substring(stats.keyed_order(F.lit(3), F.col("doc_id")), 1, 2)
-    return V.table(spark, sf_dir, "documents").select("doc_id", F.when(h < "9a", "train").when(h < "cd", "val").otherwise("test").alias("split"))
+    """60 / 20 / 20 by rank in hash order: ranks are counted inside hash buckets, whose offsets are a table of 4,096 rows, so nothing is sorted in one task."""
+    h = stats.keyed_order(F.lit(3), F.col("doc_id"))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", h.alias("h")).withColumn("b", F.substring("h", 1, 3))
+    c = d.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumns({"off": F.coalesce(F.sum("c").over(before), F.lit(0)), "n": F.sum("c").over(Window.partitionBy())})
+    d = d.join(F.broadcast(c), "b").withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("h", "doc_id")) + F.col("off"))
+    train, val = F.floor(F.col("n") * 0.6), F.floor(F.col("n") * 0.2)
+    return d.select("doc_id", F.when(F.col("k") <= train, "train").when(F.col("k") <= train + val, "val").otherwise("test").alias("split"))

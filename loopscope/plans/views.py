@@ -106,3 +106,7 @@ OVERLAPS = (
     f"d AS (SELECT question_id, iteration_number, slot, doc_id, is_ai, {sql_tokens('text')} AS d_set FROM docs), "
     f"ovl AS (SELECT a.question_id, a.iteration_number, run_idx, a_set, slot, doc_id, is_ai, {sql_overlap('a_set', 'd_set')} AS overlap FROM a JOIN d USING (question_id, iteration_number))"
 )
+
+#: Valid substitutes of every question in order of appearance (ok), and what an injection plants (injected).
+CANDIDATES = f"{ENTS}, {QUESTIONS}, {GOLD}, l AS (SELECT *, list_transform(regexp_extract_all(answer, '[A-Z][a-z]{{3,}}'), lambda x: lower(x)) AS l FROM runs), cand AS (SELECT question_id, min(iteration_number * 10000000 + run_idx * 1000000 + pos) AS pos, e AS candidate FROM (SELECT question_id, iteration_number, run_idx, unnest(l) AS e, unnest(range(0, len(l))) AS pos FROM l) GROUP BY question_id, e), ok AS (SELECT question_id, pos, candidate, gold FROM cand JOIN gold USING (question_id) JOIN questions USING (question_id) WHERE {sql_norm('candidate')} <> '' AND NOT contains({sql_norm('candidate')}, {sql_norm('gold')}) AND NOT contains({sql_norm('gold')}, {sql_norm('candidate')}) AND NOT {sql_contains('question_text', 'candidate')}), sub AS (SELECT question_id, candidate, row_number() OVER (PARTITION BY question_id ORDER BY pos, candidate) AS rank FROM ok)"
+TARGETS = f"{CANDIDATES}, injected AS (SELECT question_id, gold, max(CASE WHEN rank = 1 THEN candidate END) AS target, max(CASE WHEN rank = 2 THEN candidate END) AS implied FROM gold LEFT JOIN sub USING (question_id) WHERE gold <> '' GROUP BY 1, 2)"
