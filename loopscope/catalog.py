@@ -1,6 +1,6 @@
 """Name -> query and name -> oracle SQL, gathered from the operator modules."""
 
-from loopscope.operators import arms, attribution, contexts, inference, influence, loop, metrics, perturb, qa, retrieval
+from loopscope.operators import arms, attribution, contexts, files, inference, influence, loop, metrics, perturb, qa, retrieval, studies
 from loopscope.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "arms", "attribution", "contexts", "inference", "influence", "loop", "metrics", "perturb", "qa", "retrieval"]
+__all__ = ["ORACLE", "QUERIES", "arms", "attribution", "contexts", "files", "inference", "influence", "loop", "metrics", "perturb", "qa", "retrieval", "studies"]

@@ -62,21 +62,21 @@ def cluster_robust_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, float(b), float(s)) for c, b, s in zip(COLS, beta, se)], "term string, coefficient double, cr0_error double")
 
 
-@query()
+_BOOT = f"{_X}, per AS (SELECT cluster, sum(CASE WHEN x1 = 0 THEN y ELSE 0 END) AS s0, sum(CASE WHEN x1 = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN x1 = 1 THEN y ELSE 0 END) AS s1, sum(CASE WHEN x1 = 1 THEN 1 ELSE 0 END) AS n1 FROM x GROUP BY 1), r AS (SELECT *, unnest(range(1, 1001)) AS rep FROM per), u AS (SELECT *, (CAST('0x' || substr(md5(concat_ws('|', 9, cluster, rep)), 1, 7) AS BIGINT) + 0.5) / 268435456.0 AS u FROM r), w AS (SELECT *, list_sum([CASE WHEN u > c THEN 1 ELSE 0 END for c in [{', '.join(f'{c:.12f}' for c in stats.POISSON)}]]) AS w FROM u), d AS (SELECT sum(s1 * w) / nullif(sum(n1 * w), 0) - sum(s0 * w) / nullif(sum(n0 * w), 0) AS d FROM w GROUP BY rep), o AS (SELECT avg(d) AS m, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, avg(CASE WHEN d IS NULL THEN NULL WHEN d > 0 THEN 1.0 ELSE 0 END) AS p FROM d)"
+
+
+@query(f"WITH {_BOOT} SELECT round(m, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round(2 * least(p, 1 - p), 6) AS p_value, CASE WHEN lo > 0 OR hi < 0 THEN 'yes' ELSE 'no' END AS significant FROM o")
 def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference in mean quality between toxic and other documents with a cluster bootstrap interval.
 
     Clusters are first summed to one row each; a replicate draws each cluster Poisson(1) times by a keyed hash, so
     replicates are sums of weighted rows and need neither a shuffle of data nor the driver.
     """
-    per = design(spark, sf_dir).groupBy("cluster").agg(*[F.sum(F.when(F.col("x1") == t, F.col(c))).alias(f"{name}{t}") for t in (0, 1) for c, name in (("y", "s"), ("x0", "n"))]).fillna(0.0)
-    u = (F.pmod(F.xxhash64("cluster", "rep", F.lit(9)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cdf = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(8)])
-    times = sum((u > float(c)).cast("int") for c in cdf)
-    rep = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(1000)))).withColumn("w", times).where("w > 0")
+    per = design(spark, sf_dir).groupBy("cluster").agg(*[F.sum(F.when(F.col("x1") == t, F.col(c)).otherwise(0.0)).alias(f"{name}{t}") for t in (0, 1) for c, name in (("y", "s"), ("x0", "n"))])
+    rep = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(1000)))).withColumn("w", stats.poisson_weight(F.lit(9), F.col("cluster"), F.col("rep")))
     d = rep.groupBy("rep").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("s0", "n0", "s1", "n1")]).withColumn("d", F.try_divide("s1", "n1") - F.try_divide("s0", "n0"))
     out = d.agg(F.avg("d").alias("mean"), F.percentile("d", 0.025).alias("lo"), F.percentile("d", 0.975).alias("hi"), F.avg((F.col("d") > 0).cast("double")).alias("p"))
-    return out.select("mean", "lo", "hi", (2 * F.least("p", 1 - F.col("p"))).alias("p_value"), stats.significance(F.col("lo"), F.col("hi")).alias("significant"))
+    return out.select(r6("mean", "mean"), r6("lo", "lo"), r6("hi", "hi"), r6(2 * F.least("p", 1 - F.col("p")), "p_value"), stats.significance(F.col("lo"), F.col("hi")).alias("significant"))
 
 
 _ANN = "a AS (SELECT doc_id, quality = 1 AS a, n_chars > 600 AS b, source, lang FROM documents JOIN labels USING (doc_id))"

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir (a folder of our own where it is unset) and read from there: lost executors lose nothing."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own, which only a local master can share."""
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="loopscope-checkpoint-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loopscope-checkpoint-"))
+        sc.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to spark.checkpoint.dir (a folder of our own where it is unset) and read from there: lost executors lose nothing."""
+    folder(df.sparkSession)
     return df.checkpoint()

@@ -55,7 +55,10 @@ def experiment_citations(runs: DataFrame) -> DataFrame:
 
 def evaluation(spark: SparkSession, path: str) -> DataFrame:
     """question_id (long), iteration_number, metrics; ids there are written q0, q1, ..."""
-    q = spark.read.schema(EVALUATION).option("multiLine", True).json(path).select(F.explode("questions").alias("q")).select("q.question_id", F.explode("q.iterations").alias("i"))
+    return numbered(spark.read.schema(EVALUATION).option("multiLine", True).json(path).select(F.explode("questions").alias("q")).select("q.question_id", F.explode("q.iterations").alias("i")))
+
+
+def numbered(q: DataFrame) -> DataFrame:
     return q.select(F.regexp_extract("question_id", r"(\d+)$", 1).cast("long").alias("question_id"), "i.*")
 
 
@@ -71,7 +74,15 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def qa_records(spark: SparkSession, path: str) -> DataFrame:
     """Native QA records, their positional lists turned into structs."""
-    raw = spark.read.schema(QA).option("multiLine", True).json(path)
+    return _structs(spark.read.schema(QA).option("multiLine", True).json(path))
+
+
+def qa_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same with one record a line."""
+    return _structs(spark.read.schema(QA).json(path))
+
+
+def _structs(raw: DataFrame) -> DataFrame:
     facts = F.transform(F.from_json("supporting_facts", "array<array<string>>"), lambda p: F.struct(p[0].alias("title"), p[1].cast("int").alias("sent_id")))
     titles = F.transform(F.from_json("context", "array<array<string>>"), lambda p: F.struct(p[0].alias("title"), F.from_json(p[1], "array<string>").alias("sentences")))
     return raw.withColumn("supporting_facts", facts).withColumn("context", titles)
@@ -90,13 +101,16 @@ def parallel_lists(df: DataFrame) -> DataFrame:
     return df.withColumn("supporting_facts", F.arrays_zip(F.col("supporting_facts.title").alias("title"), F.col("supporting_facts.sent_id").alias("sent_id"))).withColumn("context", F.arrays_zip(F.col("context.title").alias("title"), F.col("context.sentences").alias("sentences")))
 
 
-def detector_labels(spark: SparkSession, path: str, batch: str | None = None) -> DataFrame:
-    """Detector table: url (either of two columns) -> label."""
+def detector_labels(spark: SparkSession, path: str, batch: str | None = None, order: str | None = None) -> DataFrame:
+    """Detector table: url (either of two columns) -> label; of several labels of a key the last one by the column `order` (without it, by the lines of the files)."""
     from loopscope.functions.text import url_key
 
     t = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    place = F.col(order).cast("double") if order else F.monotonically_increasing_id()
+    t = t.select("*", place.alias("_place"))
     t = t.where(F.col("batch") == batch) if batch else t
-    return t.select(F.explode(F.array("URL", "citation_url")).alias("url"), F.col("Content type [gptzero]").alias("label")).where("url is not null").select(url_key(F.col("url")).alias("key"), "label").groupBy("key").agg(F.max("label").alias("label"))
+    t = t.select("_place", F.posexplode(F.array("URL", "citation_url")).alias("_pos", "url"), F.col("Content type [gptzero]").alias("label")).where("url is not null")
+    return t.groupBy(url_key(F.col("url")).alias("key")).agg(F.max_by("label", F.struct("_place", "_pos")).alias("label"))
 
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
