@@ -136,17 +136,18 @@ class Field:
         A gradient is the counts that are expected given the labels less those expected without: a clean document has
         no toxic word; in a toxic one, tags have their marginals divided by the odds of a toxic word at all.
         """
-        used, back = np.unique(feats, return_inverse=True)
-        back, share = back.reshape(feats.shape), KINDS / np.maximum((feats != 0).sum(1), 1)
+        used, share = np.unique(feats), KINDS / np.maximum((feats != 0).sum(1), 1)
+        back = [np.searchsorted(used, feats[:, j]).astype("i4") for j in range(KINDS)]  # a column at a time: the driver's memory is small
         w, chains = np.zeros(len(used)), grid(fresh)
         begin, inner = chains[0], np.flatnonzero(~fresh)
         seen, seen_moves = np.full(len(used), 1e-2), np.full(3, 1e-2)
         for _ in range(ROUNDS):
-            fw, bw, g, logz = self.messages(w[back].sum(1) * share, chains)
+            fw, bw, g, logz = self.messages(sum(w[b] for b in back) * share, chains)
             p = fw * bw / (1 + fw * bw)
             some = -np.expm1(-np.bincount(doc[begin], logz, len(y)))  # odds of a toxic word in each document
             given = np.where(y == 1, TRUST / (TRUST * some + (1 - TRUST) * (1 - some)), 0.0) - 1
-            grad = np.bincount(back.ravel(), np.repeat(p * given[doc] * share, KINDS), len(used)) - DECAY * w
+            pull = p * given[doc] * share
+            grad = sum(np.bincount(b, pull, len(used)) for b in back) - DECAY * w
             m, on = np.exp(self.move), g[inner] * bw[inner]
             before = fw[inner - 1]
             total = m[0, 0] + m[0, 1] * on + before * (m[1, 0] + m[1, 1] * on)
@@ -159,6 +160,7 @@ class Field:
             self.start = min(self.start + step[0], MOST_RARE)
             self.move[0, 1] = min(self.move[0, 1] + step[1], MOST_RARE)
             self.move[1, 1] = min(self.move[1, 1] + step[2], FOLLOW)
+        del back
         self.index = Sorted(used.astype("u8") << np.uint64(32))
         self.weights = w[self.index.order]
 
@@ -227,12 +229,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
         return field
     fit, rest = np.flatnonzero(own), np.flatnonzero(~own)
     joined = lambda at: (np.concatenate([feats[i] for i in at]), np.concatenate([fresh[i] for i in at]), np.repeat(np.arange(len(at)), [len(feats[i]) for i in at]))
-    field.fit(*joined(fit), y[fit])
-    f, c, doc = joined(rest)
+    held = joined(rest)
+    whole = joined(fit)
+    del feats, fresh
+    trim()
+    field.fit(*whole, y[fit])
+    del whole
+    f, c, doc = held
     evidence, _ = field.totals(field.marginals(field.weigh(f), c), f[:, 0], doc, len(rest))
     weight = np.array([sizes.get(k, 1) for k in (0, 1)], float) / np.bincount(y[rest], minlength=2)
     field.curve = labelled.platt(np.log(evidence + 1e-2), y[rest], weight[y[rest]] * len(rest) / weight[y[rest]].sum())
-    del feats, fresh, f, c, doc
+    del held, f, c, doc
     trim()
     return field
 
