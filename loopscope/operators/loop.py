@@ -29,42 +29,89 @@ def extractive(rows: DataFrame) -> DataFrame:
     return rows.withColumn("answer", F.when(F.size("context") > 0, F.coalesce(F.try_element_at(T.sentences(pick), F.lit(1)), F.lit(""))).otherwise(F.lit("")))
 
 
-def retrieve(store: DataFrame, questions: DataFrame, k: int, score: Column | None = None, penalty: float = 0.0) -> DataFrame:
-    """The k best documents of each question by lexical relevance (less a penalty for generated ones): an equi-join by question."""
-    s = store.join(questions, "question_id").withColumn("score", F.round(T.share(F.size(F.array_intersect("q", "d")), F.size("q")) * (1 - penalty * F.col("is_ai").cast("int")), 9))
-    return top_k(s, ["question_id"], k, "score", "doc")
+def calls(text: Column, most: int = 0) -> Column:
+    """What a question is looked up by: itself, and for an agent up to `most` names in it as further calls."""
+    names = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(V.ENTITY), F.lit(0))), 1, most) if most else F.array().cast("array<string>")
+    return F.transform(F.concat(F.array(text), names), lambda c: F.array_distinct(T.rouge_tokens(c)))
 
 
-def search_rounds(store: DataFrame, questions: DataFrame, rounds: int, runs: int = 3, k: int = TOP, penalty: float = 0.0, generate: Generator = extractive) -> DataFrame:
-    """question_id, round, ai_share, n_answers and mean relevance of every round.
+def retrieve(store: DataFrame, questions: DataFrame, k: int, penalty: float = 0.0) -> DataFrame:
+    """The k best documents of each call of each question (`calls`) by lexical relevance, less a penalty for generated ones; a document counts once, with its best score: an equi-join by question."""
+    q = questions.select("*", F.posexplode("calls").alias("call", "q")).drop("calls")
+    s = store.join(q, "question_id").withColumn("score", F.round(T.share(F.size(F.array_intersect("q", "d")), F.size("q")) * (1 - penalty * F.col("is_ai").cast("int")), 9))
+    found = top_k(s, ["question_id", "call"], k, "score", "doc").drop("rank")
+    best = top_k(found, ["question_id", "doc"], 1, "score", "call").drop("rank")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc")))
 
-    Each round retrieves, lets `runs` runs answer, draws one answer by keyed hash, and appends it to the store as a
-    generated document. Questions with EQUAL_ROUNDS equal signatures (sorted answer lengths) in a row leave the loop. The store and the
-    report are checkpointed each round, so plans stay as long as one round.
+
+def ask(contexts: DataFrame, runs: int, generate: Generator, r: int) -> DataFrame:
+    """Answers of a round from contexts (question_id, question_text, context and columns to keep as `kept`): one row a question with the drawn answer, all answers and their signature."""
+    rows = contexts.withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    drawn = stats.keyed_order(F.lit(17), F.lit(r), F.col("question_id"), F.col("run_idx"))
+    return generate(rows).groupBy("question_id").agg(F.min_by("answer", drawn).alias("answer"), F.array_sort(F.collect_list(F.struct("run_idx", "answer"))).alias("answers"), F.countDistinct("answer").alias("k"), F.max("kept").alias("kept"), F.array_sort(F.collect_list(F.length("answer"))).alias("sig"))
+
+
+def still_open(questions: DataFrame, per: DataFrame, last: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Questions without EQUAL_ROUNDS equal signatures in a row, and each one's signature and how often it has come."""
+    same = per.select("question_id", "sig").withColumn("times", F.lit(1))
+    if last is not None:
+        before = last.select("question_id", F.col("sig").alias("old"), F.col("times").alias("had"))
+        same = same.join(before, "question_id", "left").select("question_id", "sig", F.when(F.col("sig") == F.col("old"), F.col("had") + 1).otherwise(F.lit(1)).alias("times"))
+    last = cut(same)
+    return cut(questions.join(last.where(F.col("times") >= EQUAL_ROUNDS).select("question_id"), "question_id", "left_anti")), last
+
+
+def search_rounds(store: DataFrame, questions: DataFrame, rounds: int, runs: int = 3, k: int = TOP, penalty: float = 0.0, names: int = 0, generate: Generator = extractive) -> DataFrame:
+    """question_id, round, ai_share, n_answers, mean relevance and tool calls of every round.
+
+    Each round retrieves (for an agent by several calls), lets `runs` runs answer, draws one answer by keyed hash, and
+    appends it to the store as a generated document. Questions with EQUAL_ROUNDS equal signatures (sorted answer
+    lengths) in a row leave the loop. The store and the report are checkpointed each round, so plans stay as long as
+    one round.
     """
-    questions = questions.select("question_id", "question_text", F.array_distinct(T.rouge_tokens(F.col("question_text"))).alias("q"))
+    questions = cut(questions.select("question_id", "question_text", calls(F.col("question_text"), names).alias("calls")))
     store = cut(store.select("question_id", "doc", "is_ai", "text", F.array_distinct(T.rouge_tokens(F.col("text"))).alias("d")))
     report, last = None, None
     for r in range(1, rounds + 1):
         got = cut(retrieve(store, questions, k, penalty=penalty).select("question_id", "question_text", "rank", "is_ai", "text", "score"))
-        ctx = got.groupBy("question_id", "question_text").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c"), F.avg(F.col("is_ai").cast("int")).alias("ai"), F.avg("score").alias("rel"))
-        ask = ctx.select("question_id", "question_text", "ai", "rel", F.transform("c", lambda x: x["text"]).alias("context"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run_idx"))
-        answers = generate(ask)
-        per = answers.groupBy("question_id").agg(F.min_by("answer", stats.keyed_order(F.lit(17), F.lit(r), F.col("question_id"), F.col("run_idx"))).alias("answer"), F.countDistinct("answer").alias("k"), F.max("ai").alias("ai"), F.max("rel").alias("rel"), F.array_sort(F.collect_list(F.length("answer"))).alias("sig"))
-        per = cut(per)
-        rows = per.select("question_id", F.lit(r).alias("round"), "ai", "k", "rel")
+        ctx = got.groupBy("question_id", "question_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("context"), F.struct(F.avg(F.col("is_ai").cast("int")).alias("ai"), F.avg("score").alias("rel")).alias("kept"))
+        per = cut(ask(ctx, runs, generate, r))
+        rows = per.join(questions.select("question_id", F.size("calls").alias("calls")), "question_id").select("question_id", F.lit(r).alias("round"), "kept.ai", "k", "kept.rel", "calls")
         report = rows if report is None else report.unionByName(rows)
         new = per.select("question_id", F.lit(-r).cast("long").alias("doc"), F.lit(True).alias("is_ai"), F.col("answer").alias("text"), F.array_distinct(T.rouge_tokens(F.col("answer"))).alias("d"))
         store = cut(store.unionByName(new))
-        same = per.select("question_id", "sig").withColumn("times", F.lit(1))
-        if last is not None:
-            before = last.select("question_id", F.col("sig").alias("old"), F.col("times").alias("had"))
-            same = same.join(before, "question_id", "left").select("question_id", "sig", F.when(F.col("sig") == F.col("old"), F.col("had") + 1).otherwise(F.lit(1)).alias("times"))
-        last = cut(same)
-        questions = cut(questions.join(last.where(F.col("times") >= EQUAL_ROUNDS).select("question_id"), "question_id", "left_anti"))
+        questions, last = still_open(questions, per, last)
         if questions.isEmpty():
             break
-    return report.select("question_id", n(F.col("round"), "round"), r6("ai", "ai_share"), n(F.col("k"), "n_answers"), r6("rel", "mean_relevance"))
+    return report.select("question_id", n(F.col("round"), "round"), r6("ai", "ai_share"), n(F.col("k"), "n_answers"), r6("rel", "mean_relevance"), n(F.col("calls"), "tool_calls"))
+
+
+def replace_rounds(context: DataFrame, questions: DataFrame, rounds: int, variant: str, runs: int = 3, num_db: int = 0, generate: Generator = extractive) -> DataFrame:
+    """question_id, round, ai_share, n_answers and a digest of the context of every round, for contexts (question_id, slot, is_ai, text) that change in place.
+
+    replace_all: the next context is every run's answer, and then the first `num_db` references. replace_one: the slot
+    numbered round modulo the number of slots (rounds from 0) gets one answer, drawn by keyed hash. Questions with
+    EQUAL_ROUNDS equal signatures in a row leave the loop; contexts are checkpointed each round.
+    """
+    item = F.struct("slot", "is_ai", "text")
+    first = context.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["is_ai"].alias("is_ai"), x["text"].alias("text"))).alias("docs"))
+    now = cut(questions.select("question_id", "question_text").join(first, "question_id").withColumn("refs", F.slice("docs", 1, max(num_db, 0)) if num_db > 0 else F.slice("docs", 1, 0)))
+    report, last = None, None
+    made = lambda t: F.struct(F.lit(True).alias("is_ai"), t.alias("text"))
+    for r in range(rounds):
+        ctx = now.select("question_id", "question_text", F.transform("docs", lambda x: x["text"]).alias("context"), F.struct(F.aggregate("docs", F.lit(0), lambda s, x: s + x["is_ai"].cast("int")).alias("ai"), F.size("docs").alias("n")).alias("kept"))
+        per = cut(ask(ctx, runs, generate, r))
+        rows = per.join(ctx.select("question_id", F.md5(F.array_join("context", "\n")).alias("digest")), "question_id").select("question_id", F.lit(r).alias("round"), F.try_divide("kept.ai", "kept.n").alias("ai"), "k", "digest")
+        report = cut(rows if report is None else report.unionByName(rows))
+        if variant == "replace_all":
+            docs = F.concat(F.transform("answers", lambda x: made(x["answer"])), "refs")
+        else:
+            docs = F.transform("docs", lambda x, i: F.when(i == F.pmod(F.lit(r), F.size("docs")), made(F.col("answer"))).otherwise(x))
+        now = now.join(per.select("question_id", "answer", "answers"), "question_id").select("question_id", "question_text", docs.alias("docs"), "refs")
+        now, last = still_open(now, per, last)
+        if now.isEmpty():
+            break
+    return report.select("question_id", n(F.col("round"), "round"), r6("ai", "ai_share"), n(F.col("k"), "n_answers"), "digest")
 
 
 def _start(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -83,6 +130,28 @@ def rerank_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_rounds(*_start(spark, sf_dir), rounds=ROUNDS["search"], penalty=0.7)
 
 
+@query()
+def agentic_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with several lookups for each question."""
+    return search_rounds(*_start(spark, sf_dir), rounds=ROUNDS["agentic_rag"], names=2)
+
+
+def _first_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.context_docs(spark, sf_dir).where("iteration_number = 1").select("question_id", "slot", "is_ai", "text")
+
+
+@query()
+def replace_all_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts that consist of the last round's answers."""
+    return replace_rounds(_first_contexts(spark, sf_dir), V.questions(spark, sf_dir), ROUNDS["replace_all"], "replace_all")
+
+
+@query()
+def replace_one_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts in which one document a round gives way to an answer."""
+    return replace_rounds(_first_contexts(spark, sf_dir), V.questions(spark, sf_dir), ROUNDS["replace_one"], "replace_one")
+
+
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 
@@ -90,7 +159,7 @@ _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 def lexical_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One retrieval step of the loop."""
     store, questions = _start(spark, sf_dir)
-    q = questions.select("question_id", F.array_distinct(T.rouge_tokens(F.col("question_text"))).alias("q"))
+    q = questions.select("question_id", calls(F.col("question_text")).alias("calls"))
     got = retrieve(store.withColumn("d", F.array_distinct(T.rouge_tokens(F.col("text")))), q, 5)
     return got.select("question_id", F.col("doc").alias("row_id"), r6("score", "score"), n(F.col("rank"), "rank"))
 
