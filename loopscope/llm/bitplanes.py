@@ -17,7 +17,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytescan import Hasher, Memory, buffers, lower_az, not_letter, slices, spans, trim
+from .bytescan import Hasher, Memory, buffers, claim, lower_az, not_letter, slices, spans, trim
 from .shared import shared_dir
 
 MAGIC = b"LSBP0001"
@@ -333,6 +333,7 @@ class Buckets:
 
 def _encode(path: str, end: int, buckets: Buckets, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens", tokens.cache_clear)
         t, seen = tokens(path), 0
         for b in batches:
             for part in slices(b, 1):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -146,6 +146,20 @@ def trim() -> None:
         f(0)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called as a task begins: what other operators' tasks have left in this worker goes, and `release` is what frees what this one will leave."""
+    others = [k for k in _HELD if k != owner]
+    for k in others:
+        _HELD.pop(k)()
+    if others:
+        trim()
+    if release:
+        _HELD[owner] = release
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most `most` bytes of text each, or one row; nulls become empty texts."""
     texts = batch.column(column).fill_null("")

@@ -177,6 +177,7 @@ SIGNED = "id long, n long, k1 long, k2 long, low array<long>, keys array<long>,
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytescan.claim("jaccard")
         for b in batches:
             for part in bytescan.slices(b, 1):
                 sets = bytescan.shingle_sets(part.column(1), width)

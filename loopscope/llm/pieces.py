@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .bytescan import slices
+from .bytescan import claim, slices
 from .shared import aside
 
 SPACE = "▁"
@@ -215,6 +215,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     rows, fields = aside(docs, text, rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pieces", encoder.cache_clear)
         e = encoder(path)
         for b in batches:
             for part in slices(b, 0):
@@ -241,6 +242,7 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pieces", encoder.cache_clear)
         e = encoder(path)
         for b in batches:
             for part in slices(b, 1):

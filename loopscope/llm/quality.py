@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import labelled
-from .bytescan import buffers, is_space, lower_az, mix, slices, words
+from .bytescan import buffers, claim, is_space, lower_az, mix, slices, words
 from .shared import aside
 
 #: Hashed n-grams; the last entries hold the share of repeated word n-grams in steps.
@@ -131,6 +131,7 @@ def scored(docs: DataFrame, model, name: str = "score", text: str = "text") -> D
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         m = sent.value
         for b in batches:
             for part in slices(b, 0):

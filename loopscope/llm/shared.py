@@ -26,12 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 #: Folders of staged tables that are still there.
 _MADE: list[str] = []
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation."""
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/loopscope/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
     df.write.parquet(path)
@@ -70,6 +73,7 @@ def named(column: str) -> Column:
 
 def aside(df: DataFrame, column: str, rest: list[str]) -> tuple[DataFrame, list[StructField]]:
     """One column first and the rest after it under names of our own, which clash with none; and the fields of the rest."""
+    small_batches(df.sparkSession)
     rows = df.select(named(column).alias("first"), *[named(c).alias(f"c{i}") for i, c in enumerate(rest)])
     return rows, [StructField(c, f.dataType) for c, f in zip(rest, rows.schema.fields[1:])]
 
@@ -79,7 +83,15 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % n
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch, where the session does not say: texts are long, and a batch is held by the JVM and by Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own default
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*cols) if cols else df
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from . import labelled
-from .bytescan import Sorted, buffers, lower_az, mix, not_letter, slices, trim, words
+from .bytescan import Sorted, buffers, claim, lower_az, mix, not_letter, slices, trim, words
 from .shared import aside
 
 #: Features of a token: the whole word, and its first so many bytes where it has more.
@@ -260,6 +260,7 @@ def tag(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         m = sent.value
         for b in batches:
             for part in slices(b, 0):
