@@ -72,9 +72,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text that is left, whole; null and empty texts have the begin and end ids alone. Row by row, whatever repeats."""
-    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"), most=REMEMBERED)
 
 
+#: Segments and pairs that a worker of the last stage remembers: fewer than the operator's own default, as executors also hold what the stages before have left.
+REMEMBERED = 60_000
+
 STAGES = [
     ("language_id", keep_known_languages),
     ("toxicity", drop_toxic),

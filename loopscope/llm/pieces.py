@@ -24,12 +24,12 @@ REMEMBERED = 500_000
 class Remembered(dict):
     """A table that makes what it lacks and starts anew when full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         out = self[key] = self.make(key)
         return out
@@ -49,7 +49,7 @@ class Encoder:
     merges literally.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = REMEMBERED):
         import ahocorasick
         import sentencepiece
 
@@ -77,10 +77,10 @@ class Encoder:
         for p in self.ids:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.whole = Remembered(lambda p: self.merges(p) == [p])
-        self.compatible = Remembered(self._compatible)
-        self.first = Remembered(self._segment)  # without and with a leading space
-        self.inner = Remembered(self._word)
+        self.whole = Remembered(lambda p: self.merges(p) == [p], most)
+        self.compatible = Remembered(self._compatible, most)
+        self.first = Remembered(self._segment, most)  # without and with a leading space
+        self.inner = Remembered(self._word, most)
         self.newline = self._bytes("\n")
         self.bytes_of = self.raw.__getitem__
 
@@ -202,8 +202,8 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most: int = REMEMBERED) -> Encoder:
+    return Encoder(path, most)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -237,13 +237,16 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return got.mapInArrow(run, StructType([*fields, StructField("decoded", StringType())]))
 
 
-def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encode() and decode() in one pass over each slice."""
+def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", most: int = REMEMBERED) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encode() and decode() in one pass over each slice; a worker remembers `most` segments and pairs.
+
+    Null and empty texts are the begin and end ids alone; rows come back one for one; other columns are ignored.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("pieces", encoder.cache_clear)
-        e = encoder(path)
+        e = encoder(path, most)
         for b in batches:
             for part in slices(b, 1):
                 ids = [e.encode(t) for t in part.column(1).to_pylist()]
