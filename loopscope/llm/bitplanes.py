@@ -204,8 +204,8 @@ class Tokens:
         self.same, self.low = np.arange(256, dtype="u1"), lower_az()
         self.space, self.tail = np.isin(self.same, (9, 10, 32)), np.isin(self.same, list(b".,!?;:"))
         self.odd = not_letter()
-        self.odd[128:0xC3] = False  # second bytes of
-        self.odd[0xCA:] = True  # letters from U+00C0 to U+024F alone
+        self.odd[0xC2] = True  # signs, digits and spaces from U+0080 to U+00BF, whose few letters go with them
+        self.odd[0xCA:] = True  # so that U+00C0 to U+024F are the only letters beyond ASCII
         self._forget()
 
     def _forget(self) -> None:

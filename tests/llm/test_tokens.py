@@ -65,6 +65,26 @@ def test_word_tokens_on_cases(s):
     test_word_tokens_equal_the_library.hypothesis.inner_test(s)
 
 
+def test_word_tokens_of_every_code_point():
+    """Alone, between letters, and before punctuation: all of Unicode, in arrays of 20,000 texts."""
+    t, points = bitplanes.tokens(WORDS), [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = [c for c in points if ord(c) < 0x3100 or ord(c) % 97 == 0 or 0xFE00 <= ord(c) < 0x10000 or 0x1F300 <= ord(c) < 0x1F700]
+    texts = [f"{c} ab{c}cd {c}. E{c}" for c in points]
+    for k in range(0, len(texts), 20_000):
+        part = texts[k : k + 20_000]
+        want = [e.ids for e in TOK.encode_batch(part, add_special_tokens=False)]
+        ids, count = t.encode(pa.array(part))
+        got = np.split(ids, np.cumsum(count)[:-1])
+        wrong = [hex(ord(points[k + i])) for i, (a, b) in enumerate(zip(got, want, strict=True)) if a.tolist() != b]
+        assert not wrong
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list("ab \u00a0\u0085\u2003\u0301\u0327.,«»£²½·©ªµº\u200d"))), max_size=40))
+def test_word_tokens_of_any_text_equal_the_library(s):
+    assert bitplanes.tokens(WORDS).encode(pa.array([s]))[0].tolist() == TOK.encode(s, add_special_tokens=False).ids
+
+
 class Source(io.BytesIO):
     def size(self):
         return len(self.getvalue())
