@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, jaccard, langid, merkle, mixing, neighbours, pieces, quality, toxicity, url_filter
+from . import bitplanes, jaccard, langid, merkle, mixing, neighbours, pieces, quality, resampling, toxicity, url_filter
 from .shared import documents, fold
 
 #: The rules of the pages query.
@@ -66,15 +66,46 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read(spark, bitplanes.write(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("word_bpe_49k.json"), 2))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents with 20 words or more, drawn towards the benchmark; every document with its weight, score and rank."""
+    out = resampling.resample(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_to_weights, op2_hash_prefix_forest, op3_language_id, op4_merkle_fingerprint, op5_ngram_jaccard, op6_url_filters, op7_quality, op8_sentencepiece, op9_toxicity, op10_token_binary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_to_weights, op2_hash_prefix_forest, op3_language_id, op4_merkle_fingerprint, op5_ngram_jaccard, op6_url_filters, op7_quality, op8_sentencepiece, op9_toxicity, op10_token_binary, op11_importance_resampling)}
+
+LOWERED = f"translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+#: Words of letters and digits, and letters alone, as the operators cut them.
+ALNUM, LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLE: dict[str, str] = {
+    "op11_importance_resampling": f"""
+WITH RECURSIVE steps AS (SELECT range AS b, range AS v, 0 AS k FROM range(256) UNION ALL
+  SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS l FROM documents),
+m AS (SELECT regexp_extract_all({LOWERED}, '{ALNUM}') AS l FROM benchmark),
+df AS (SELECT doc_id, unnest(l || list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS f FROM d),
+mf AS (SELECT unnest(l || list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS f FROM m),
+kinds AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM mf)),
+bytes AS (SELECT f, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS x FROM kinds),
+bucket AS (SELECT f, xor(list_reduce(x, lambda a, y: xor(t[(xor(a, y) & 255) + 1], a >> 8), 4294967295), 4294967295) % 10000 AS k FROM bytes, crc),
+s AS (SELECT k, count(*) AS n FROM df JOIN bucket USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM mf JOIN bucket USING (f) GROUP BY k),
+both_ AS (SELECT r.range AS k, coalesce(s.n, 0)::DOUBLE AS s, coalesce(t.n, 0)::DOUBLE AS t, (SELECT count(*) FROM df)::DOUBLE AS all_s, (SELECT count(*) FROM mf)::DOUBLE AS all_t FROM range(10000) r LEFT JOIN s ON s.k = r.range LEFT JOIN t ON t.k = r.range),
+gains AS (SELECT k, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS gain FROM both_),
+sums AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS g FROM df JOIN bucket USING (f) JOIN gains USING (k) GROUP BY doc_id),
+w AS (SELECT doc_id, len(l) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (g - (g % n + n) % n) // n ELSE 0 END AS weight, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN sums USING (doc_id)),
+c AS (SELECT doc_id, n_words, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER () // 100 AS most FROM c WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank, n_words FROM c LEFT JOIN r USING (doc_id)
+""",
     "op6_url_filters": f"""
 WITH u AS (SELECT page_id, CASE WHEN coalesce(strpos(url, '://'), 0) > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
