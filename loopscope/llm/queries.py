@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, jaccard, langid, merkle, mixing, neighbours, pieces, quality, resampling, toxicity, url_filter
+from . import bitplanes, divergence, jaccard, langid, merkle, mixing, neighbours, phrases, pieces, quality, resampling, toxicity, url_filter
 from .shared import documents, fold
 
 #: The rules of the pages query.
@@ -72,19 +72,55 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language lies from its others, and the 200 terms most its own."""
+    return divergence.audit(documents(spark, sf_dir, "text", "lang", "source"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document lie in runs of ten that the benchmark has too, and in which of its items."""
+    return phrases.contamination(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_to_weights, op2_hash_prefix_forest, op3_language_id, op4_merkle_fingerprint, op5_ngram_jaccard, op6_url_filters, op7_quality, op8_sentencepiece, op9_toxicity, op10_token_binary, op11_importance_resampling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_to_weights, op2_hash_prefix_forest, op3_language_id, op4_merkle_fingerprint, op5_ngram_jaccard, op6_url_filters, op7_quality, op8_sentencepiece, op9_toxicity, op10_token_binary, op11_importance_resampling, op12_source_divergence, op13_benchmark_decontamination)}
 
 LOWERED = f"translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}')"
 #: Words of letters and digits, and letters alone, as the operators cut them.
 ALNUM, LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLE: dict[str, str] = {
+    "op13_benchmark_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS l FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS l FROM benchmark),
+test AS (SELECT DISTINCT item_id, l[k : k + 9] AS t FROM (SELECT item_id, l, unnest(range(1, greatest(len(l) - 9, 1) + 1)) AS k FROM i WHERE len(l) > 0)),
+sizes AS (SELECT DISTINCT len(t) AS size FROM test),
+runs AS (SELECT doc_id, k, size, l[k : k + size - 1] AS t FROM (SELECT doc_id, l, size, unnest(range(1, len(l) - size + 2)) AS k FROM d, sizes)),
+met AS (SELECT doc_id, k, size, item_id FROM runs JOIN test USING (t)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM met) GROUP BY doc_id),
+own AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id)
+SELECT d.doc_id, len(l) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(own.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+""",
+    "op12_source_divergence": f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWERED}, '{LETTERS}') AS l FROM documents),
+w AS (SELECT doc_id, lang, source, unnest(l) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS all_ FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+own AS (SELECT lang, source, sum(n) AS own FROM cnt GROUP BY ALL),
+full_ AS (SELECT lang, source, term, total, coalesce(n, 0) AS n, coalesce(own, 0) AS own, v, all_ FROM grp JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN cnt USING (lang, source, term) LEFT JOIN own USING (lang, source)),
+p AS (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 1) // (own + v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (total + 1) // (all_ + v))::BIGINT AS q FROM full_),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+parts AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0)::BIGINT AS value FROM grp g JOIN grp h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND pairs.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts QUALIFY part = 'pair' OR rank <= 200
+""",
     "op11_importance_resampling": f"""
 WITH RECURSIVE steps AS (SELECT range AS b, range AS v, 0 AS k FROM range(256) UNION ALL
   SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
