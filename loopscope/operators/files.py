@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loopscope.operators.attribution import citations
+from loopscope.operators.attribution import answered, citations
 from loopscope.operators.contexts import _REFS, references
 from loopscope.plans import views as V
 from loopscope.plans.lineage import folder
@@ -44,15 +44,15 @@ def dataset_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_experiment(spark: SparkSession, sf_dir: str, path: str) -> None:
-    d = V.context_docs(spark, sf_dir).groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("slot", "doc_id", F.col("iteration_number").alias("iteration"), F.col("source").alias("url"), F.substring("text", 1, 200).alias("text")))).alias("documents"))
+    d = V.context_docs(spark, sf_dir).groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("slot", "doc_id", F.col("iteration_number").alias("iteration"), F.col("source").alias("url"), "text"))).alias("documents"))
     cite = citations(spark, sf_dir).groupBy(*CELL, "run_idx").agg(F.array_sort(F.collect_list(F.struct((F.col("slot") + 1).cast("int").alias("citation_id"), "doc_id"))).alias("citations"))
-    r = V.runs(spark, sf_dir).join(cite, [*CELL, "run_idx"], "left").groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("run_idx", F.concat_ws("_", "iteration_number", "run_idx").alias("run_id"), "answer", F.transform("citations", lambda c: c["citation_id"]).alias("citation_ids"), "citations"))).alias("runs"))
+    r = answered(spark, sf_dir).join(cite, [*CELL, "run_idx"], "left").groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("run_idx", F.concat_ws("_", "iteration_number", "run_idx").alias("run_id"), "answer", F.transform("citations", lambda c: c["citation_id"]).alias("citation_ids"), "citations"))).alias("runs"))
     rounds = d.join(r, CELL).join(V.questions(spark, sf_dir), "question_id")
     nested = writers.nested(rounds)
     nested.select(F.array(F.struct("question_id", "question_text", "iterations")).alias("questions")).write.json(path)
 
 
-@query(f"WITH {V.RUNS}, {V.DOCS}, {V.QUESTIONS} SELECT d.question_id, d.iteration_number, d.doc_id, slot, md5(substring(d.text, 1, 200)) AS digest FROM docs d SEMI JOIN runs r ON r.question_id = d.question_id AND r.iteration_number = d.iteration_number")
+@query(f"WITH {V.DOCS}, {V.QUESTIONS} SELECT d.question_id, d.iteration_number, d.doc_id, slot, md5(d.text) AS digest FROM docs d SEMI JOIN questions USING (question_id)")
 def experiment_documents_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole experiment as nested JSON (questions, rounds, documents, runs), and its documents read back with their slots."""
     path = _fresh(spark, "experiment")
@@ -181,11 +181,11 @@ def merged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("i", i).join(F.broadcast(off), "shard").select("doc_id", n(F.col("i") + F.col("off"), "place"))
 
 
-@query(f"WITH {V.DOCS}, k AS (SELECT question_id, slot, concat_ws('_', 'native', slot) AS doc_id, slot < 2 AS gold, substring(text, 1, 120) AS t FROM docs WHERE iteration_number = 1) SELECT question_id, doc_id, slot, gold, md5(t || ' ' || t) AS digest FROM k")
+@query(f"WITH {V.DOCS}, k AS (SELECT question_id, slot, concat_ws('_', 'native', slot) AS doc_id, slot < 2 AS gold, text AS t FROM docs WHERE iteration_number = 1) SELECT question_id, doc_id, slot, gold, md5(t || ' ' || t) AS digest FROM k")
 def native_documents_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native records (positional lists of titles and sentences) as JSON, read back as documents; gold where the title supports the answer."""
     path = _fresh(spark, "native")
-    d = V.context_docs(spark, sf_dir).where("iteration_number = 1").withColumn("t", F.substring("text", 1, 120))
+    d = V.context_docs(spark, sf_dir).where("iteration_number = 1").withColumn("t", F.col("text"))
     pair = lambda a, b: F.concat(F.lit("["), F.to_json(F.array(a)).substr(F.lit(2), F.length(F.to_json(F.array(a))) - 2), F.lit(","), b, F.lit("]"))
     title = F.concat_ws("_", "source", "slot")
     rows = d.groupBy("question_id").agg(

@@ -122,7 +122,7 @@ _RATES = (
 def _with_rates() -> str:
     from loopscope.operators.attribution import _LOO
 
-    return f"{_LOO}, {_RATES}"
+    return f"{_LOO}, {V.RUNS}, {_RATES}"
 
 
 def citation_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,9 +209,9 @@ _DIRECT = "dir AS (SELECT question_id, iteration_number, list(DISTINCT doc_id) A
 @query(f"WITH {_with_rates()}, {_DIRECT}, j AS (SELECT question_id, iteration_number, len(list_intersect(d, l)) AS shared, len(d) AS nd, len(l) AS nl FROM dir JOIN loo USING (question_id, iteration_number)) SELECT question_id, iteration_number, round(1.0 * shared / nullif(nd + nl - shared, 0), 6) AS jaccard, round(1.0 * shared / nullif(nd, 0), 6) AS precision, round(1.0 * shared / nullif(nl, 0), 6) AS recall FROM j")
 def direct_against_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that an answer names itself (here its three nearest) against those that leaving one out finds: agreement of the two sets an item."""
-    from loopscope.operators.attribution import ranked
+    from loopscope.operators.attribution import answered, ranked
 
-    d = ranked(spark, sf_dir).where("run_idx = 0 and k <= 3").groupBy(*CELL).agg(F.collect_set("doc_id").alias("d"))
+    d = ranked(spark, sf_dir, answered(spark, sf_dir)).where("run_idx = 0 and k <= 3").groupBy(*CELL).agg(F.collect_set("doc_id").alias("d"))
     j = citations(spark, sf_dir).groupBy(*CELL).agg(F.collect_set("doc_id").alias("l")).join(d, CELL)
     both = F.size(F.array_intersect("d", "l")).cast("double")
     return j.select(*CELL, r6(T.jaccard(F.col("d"), F.col("l")), "jaccard"), r6(F.try_divide(both, F.size("d")), "precision"), r6(F.try_divide(both, F.size("l")), "recall"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from loopscope.functions import stats, vectors
 from loopscope.functions import text as T
-from loopscope.operators.attribution import ranked
+from loopscope.operators import reruns
+from loopscope.operators.attribution import _LOO, ranked
 from loopscope.operators.retrieval import top_k
 from loopscope.plans import views as V
+from loopscope.plans.lineage import stored
 from loopscope.plans.registry import n, query, r6
 
 CELL = ["question_id", "iteration_number"]
@@ -80,15 +82,17 @@ def cross_model_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.runs(spark, sf_dir).where("run_idx % 2 = 1").groupBy(*CELL).agg(F.min_by("answer", key).alias("a")).select("question_id", (F.col("iteration_number") + 1).alias("iteration"), F.md5("a").alias("digest"))
 
 
-_RANKED = f"{V.OVERLAPS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id, iteration_number, run_idx ORDER BY round(overlap, 9) DESC, slot) AS k FROM ovl)"
-
-
-@query(f"WITH {_RANKED} SELECT iteration_number, count(*) AS n_requests, count(DISTINCT (question_id, doc_id)) AS n_reruns FROM ranked WHERE k <= 4 GROUP BY 1")
+@query(f"WITH {_LOO}, r AS (SELECT iteration_number, count(*) AS n_requests FROM ranked WHERE k <= 4 GROUP BY 1), u AS (SELECT iteration_number, count(*) AS n_reruns, sum(length(x.answer)) AS n_chars FROM said x SEMI JOIN (SELECT * FROM ranked WHERE k <= 4) k ON k.question_id = x.question_id AND k.iteration_number = x.iteration_number AND k.doc_id = x.removed GROUP BY 1) SELECT iteration_number, n_requests, n_reruns, CAST(n_chars AS BIGINT) AS n_chars, 0 AS n_again FROM r JOIN u USING (iteration_number)")
 def rerun_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reruns without one candidate that leave-one-out asks for, and how many are left once equal keys (question, round, document) are asked for once."""
-    r = ranked(spark, sf_dir).where("k <= 4").select(*CELL, "doc_id")
-    once = r.distinct().groupBy("iteration_number").agg(n(F.count(F.lit(1)), "n_reruns"))
-    return r.groupBy("iteration_number").agg(n(F.count(F.lit(1)), "n_requests")).join(once, "iteration_number")
+    """Reruns without one candidate that leave-one-out asks for, how many and how long the answers in the cache are then (equal keys run once), and how many more a second pass brings."""
+    rounds = stored(reruns.contexts(spark, sf_dir))
+    r = stored(ranked(spark, sf_dir, reruns.answers(rounds)).where("k <= 4").select(*CELL, "doc_id"))
+    cache = reruns.Reruns(spark)
+    once = cache.ask(rounds, r).groupBy("iteration_number").agg(n(F.count(F.lit(1)), "n_reruns"), n(F.sum(F.length("answer")), "n_chars"))
+    once = stored(once)
+    twice = cache.ask(rounds, r).groupBy("iteration_number").agg(n(F.count(F.lit(1)), "n"))
+    out = r.groupBy("iteration_number").agg(n(F.count(F.lit(1)), "n_requests")).join(once, "iteration_number").join(twice, "iteration_number")
+    return out.select("iteration_number", "n_requests", "n_reruns", "n_chars", (F.col("n") - F.col("n_reruns")).alias("n_again"))
 
 
 _LEX = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"

@@ -49,9 +49,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("vec_id div 100 as question_id", "vec_id", "label", "embedding")
 
 
-def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every answer against every context document of its question and round: an equi-join, token sets made once a side."""
-    a = runs(spark, sf_dir).withColumn("a_set", T.token_set(F.col("answer"))).select("question_id", "iteration_number", "run_idx", "a_set")
+def overlaps(spark: SparkSession, sf_dir: str, answers: DataFrame | None = None) -> DataFrame:
+    """Every answer (the recorded ones unless given) against every context document of its question and round: an equi-join, token sets made once a side."""
+    a = (runs(spark, sf_dir) if answers is None else answers).withColumn("a_set", T.token_set(F.col("answer"))).select("question_id", "iteration_number", "run_idx", "a_set")
     d = context_docs(spark, sf_dir).withColumn("d_set", T.token_set(F.col("text"))).select("question_id", "iteration_number", "slot", "doc_id", "is_ai", "d_set")
     return a.join(d, ["question_id", "iteration_number"]).withColumn("overlap", T.overlap(F.col("a_set"), F.col("d_set"))).drop("d_set")
 
