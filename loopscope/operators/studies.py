@@ -1,11 +1,11 @@
-"""Joins and tables of studies: annotation items and scores, aligned series, manifests, detector errors, retrieval by centroids, agents' lookups."""
+"""Joins and tables of studies: annotation items and scores, aligned series, manifests, detector errors, agents' lookups."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loopscope.functions import stats, vectors
+from loopscope.functions import stats
 from loopscope.functions import text as T
 from loopscope.operators import reruns
 from loopscope.operators.attribution import _LOO, ranked
@@ -155,20 +155,6 @@ def detector_report_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(n(F.col("toxic"), "label"), r6(F.try_divide(right.cast("double"), called), "precision"), r6(right / (F.col("hi") + F.col("lo")), "recall"), n(F.col("hi") + F.col("lo"), "support"))
 
 
-_IVF = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), ce AS (SELECT vec_id AS c, e AS ce FROM v WHERE vec_id < 8), near AS (SELECT vec_id, e, c, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_inner_product(e, ce), 9) DESC, c) AS k FROM v, ce)"
-
-
-@query(f"WITH {_IVF}, s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_inner_product(q.e, d.e), 9) AS score FROM near q JOIN near d ON d.c = q.c AND d.k = 1 WHERE q.k <= 2 AND q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 5")
-def inverted_lists_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inner-product search over inverted lists: rows go to the nearest of eight centroids, a query looks into the lists of its two nearest: an equi-join on the centroid."""
-    v = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    c = F.broadcast(v.where("vec_id < 8").select(F.col("vec_id").alias("c"), F.col("embedding").alias("ce")))  # eight rows
-    near = top_k(v.crossJoin(c).withColumn("dot", F.round(vectors.dot(F.col("embedding"), F.col("ce")), 9)), ["vec_id"], 2, "dot", "c")
-    q = near.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), "c")
-    s = q.join(near.where("rank = 1").select("vec_id", "embedding", "c"), "c").where("query_id <> vec_id").withColumn("score", F.round(vectors.dot(F.col("qe"), F.col("embedding")), 9))
-    return top_k(s, ["query_id"], 5).select("query_id", "vec_id", r6("score", "score"), n(F.col("rank"), "rank"))
-
-
 @query(f"WITH {V.QUESTIONS} SELECT question_id, row_number() OVER (ORDER BY md5(concat_ws('|', 31, question_id)), question_id) AS place FROM questions QUALIFY place <= 4")
 def random_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four questions in an order drawn by keyed hash."""
