@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from loopscope.functions import stats
 from loopscope.functions import text as T
 from loopscope.operators.retrieval import top_k
 from loopscope.plans import views as V
-from loopscope.plans.lineage import cut
+from loopscope.plans.lineage import folder, release, stored
 from loopscope.plans.registry import n, query, r6
 
 #: Rounds of each variant, and documents retrieved.
@@ -35,20 +36,93 @@ def calls(text: Column, most: int = 0) -> Column:
     return F.transform(F.concat(F.array(text), names), lambda c: F.array_distinct(T.rouge_tokens(c)))
 
 
-def retrieve(store: DataFrame, questions: DataFrame, k: int, penalty: float = 0.0) -> DataFrame:
-    """The k best documents of each call of each question (`calls`) by lexical relevance, less a penalty for generated ones; a document counts once, with its best score: an equi-join by question."""
+def scored(store: DataFrame, questions: DataFrame, penalty: float = 0.0) -> DataFrame:
+    """Documents of a store by lexical relevance to each call of their question (`calls`), less a penalty for generated ones: an equi-join by question."""
     q = questions.select("*", F.posexplode("calls").alias("call", "q")).drop("calls")
-    s = store.join(q, "question_id").withColumn("score", F.round(T.share(F.size(F.array_intersect("q", "d")), F.size("q")) * (1 - penalty * F.col("is_ai").cast("int")), 9))
-    found = top_k(s, ["question_id", "call"], k, "score", "doc").drop("rank")
+    return store.join(q, "question_id").withColumn("score", F.round(T.share(F.size(F.array_intersect("q", "d")), F.size("q")) * (1 - penalty * F.col("is_ai").cast("int")), 9))
+
+
+def together(found: DataFrame) -> DataFrame:
+    """What the calls of a question have found: a document counts once, with its best score."""
     best = top_k(found, ["question_id", "doc"], 1, "score", "call").drop("rank")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc")))
 
 
-def ask(contexts: DataFrame, runs: int, generate: Generator, r: int) -> DataFrame:
-    """Answers of a round from contexts (question_id, question_text, context and columns to keep as `kept`): one row a question with the drawn answer, all answers and their signature."""
-    rows = contexts.withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+def retrieve(store: DataFrame, questions: DataFrame, k: int, penalty: float = 0.0) -> DataFrame:
+    """The k best documents of each call of each question."""
+    return together(top_k(scored(store, questions, penalty), ["question_id", "call"], k, "score", "doc").drop("rank"))
+
+
+class Best:
+    """The k best documents of each call of each question, texts included, kept while a store grows.
+
+    A new document is scored once and meets the k that are kept: the k best of all are among the k best before and the new
+    ones. So a round reads what is new and k rows a call, never the store, which is appended to and never rewritten.
+    """
+
+    def __init__(self, store: DataFrame, questions: DataFrame, k: int, penalty: float = 0.0):
+        self.k, self.penalty = k, penalty
+        self.columns = ["question_id", "question_text", "call", "doc", "is_ai", "text", "score"]
+        self.rows = stored(self._top(scored(store, questions, penalty).select(self.columns)))
+
+    def _top(self, rows: DataFrame) -> DataFrame:
+        return top_k(rows, ["question_id", "call"], self.k, "score", "doc").drop("rank")
+
+    def add(self, new: DataFrame, questions: DataFrame) -> None:
+        """Let new documents in; of questions that are not among these nothing is kept."""
+        old = self.rows
+        both = old.join(questions.select("question_id"), "question_id", "left_semi").select(self.columns).unionByName(scored(new, questions, self.penalty).select(self.columns))
+        self.rows = stored(self._top(both))
+        release(old)
+
+
+class Store:
+    """Documents that rounds have added, a folder a round; nothing is rewritten, and a loop never reads it back."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.schema = spark, f"{folder(spark)}/loopscope/store-{uuid.uuid4().hex}", None
+
+    def append(self, new: DataFrame, r: int) -> DataFrame:
+        """Write a round's documents and give them back as they were written."""
+        at = f"{self.path}/round={r}"
+        new.write.parquet(at)
+        self.schema = new.schema
+        return self.spark.read.schema(new.schema).parquet(at)
+
+    def documents(self) -> DataFrame | None:
+        """All that rounds have added, with their round."""
+        return self.schema and self.spark.read.schema(self.schema.add("round", "int")).parquet(self.path)
+
+
+#: A writer turns a question's and an answer's column into the text of a document; by default the answer itself.
+Writer = Callable[[Column, Column], Column]
+
+
+def as_it_is(question: Column, answer: Column) -> Column:
+    return answer
+
+
+def on_the_question(question: Column, answer: Column) -> Column:
+    """A deterministic stand-in for a model that writes documents: the answer under its question."""
+    return F.concat(F.lit("On the question "), F.regexp_replace(question, r"\?+$", ""), F.lit(": "), answer)
+
+
+def paraphrased(docs: DataFrame, write: Writer, question: str = "question_text", text: str = "text") -> DataFrame:
+    """References in the style of the documents to come: every text that is not blank goes through the writer before round 0; blank and null ones stay."""
+    blank = F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")) == "", F.lit(True))
+    return docs.withColumn(text, F.when(blank, F.col(text)).otherwise(write(F.col(question), F.col(text))))
+
+
+def ask(contexts: DataFrame, runs: int, generate: Generator, r: int, side: Generator | None = None, write: Writer = as_it_is) -> DataFrame:
+    """Answers of a round from contexts (question_id, question_text, context and columns to keep as `kept`): one row a question with the document of the drawn answer, the documents of all, and the answers' signature.
+
+    With a side generator, documents are written from its answers to the same contexts, and the main one's are only
+    measured: k and sig are always the main one's.
+    """
+    rows = generate(contexts.withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))))
+    rows = (side(rows.withColumnRenamed("answer", "main")) if side else rows.withColumn("main", F.col("answer"))).withColumn("answer", write(F.col("question_text"), F.col("answer")))
     drawn = stats.keyed_order(F.lit(17), F.lit(r), F.col("question_id"), F.col("run_idx"))
-    return generate(rows).groupBy("question_id").agg(F.min_by("answer", drawn).alias("answer"), F.array_sort(F.collect_list(F.struct("run_idx", "answer"))).alias("answers"), F.countDistinct("answer").alias("k"), F.max("kept").alias("kept"), F.array_sort(F.collect_list(F.length("answer"))).alias("sig"))
+    return rows.groupBy("question_id").agg(F.min_by("answer", drawn).alias("answer"), F.array_sort(F.collect_list(F.struct("run_idx", "answer"))).alias("answers"), F.countDistinct("main").alias("k"), F.max("kept").alias("kept"), F.array_sort(F.collect_list(F.length("main"))).alias("sig"))
 
 
 def still_open(questions: DataFrame, per: DataFrame, last: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -57,52 +131,56 @@ def still_open(questions: DataFrame, per: DataFrame, last: DataFrame | None) ->
     if last is not None:
         before = last.select("question_id", F.col("sig").alias("old"), F.col("times").alias("had"))
         same = same.join(before, "question_id", "left").select("question_id", "sig", F.when(F.col("sig") == F.col("old"), F.col("had") + 1).otherwise(F.lit(1)).alias("times"))
-    last = cut(same)
-    return cut(questions.join(last.where(F.col("times") >= EQUAL_ROUNDS).select("question_id"), "question_id", "left_anti")), last
+    last, before = stored(same), last
+    release(before)
+    return stored(questions.join(last.where(F.col("times") >= EQUAL_ROUNDS).select("question_id"), "question_id", "left_anti")), last
 
 
-def search_rounds(store: DataFrame, questions: DataFrame, rounds: int, runs: int = 3, k: int = TOP, penalty: float = 0.0, names: int = 0, generate: Generator = extractive) -> DataFrame:
+def search_rounds(store: DataFrame, questions: DataFrame, rounds: int, runs: int = 3, k: int = TOP, penalty: float = 0.0, names: int = 0, generate: Generator = extractive, side: Generator | None = None, write: Writer = as_it_is) -> DataFrame:
     """question_id, round, ai_share, n_answers, mean relevance and tool calls of every round.
 
     Each round retrieves (for an agent by several calls), lets `runs` runs answer, draws one answer by keyed hash, and
     appends it to the store as a generated document. Questions with EQUAL_ROUNDS equal signatures (sorted answer
-    lengths) in a row leave the loop. The store and the report are checkpointed each round, so plans stay as long as
-    one round.
+    lengths) in a row leave the loop. Only a round's new documents are scored; they meet the k best that are kept. What a
+    round leaves is written down, so plans stay as long as one round.
     """
-    questions = cut(questions.select("question_id", "question_text", calls(F.col("question_text"), names).alias("calls")))
-    store = cut(store.select("question_id", "doc", "is_ai", "text", F.array_distinct(T.rouge_tokens(F.col("text"))).alias("d")))
-    report, last = None, None
+    questions = stored(questions.select("question_id", "question_text", calls(F.col("question_text"), names).alias("calls")))
+    words = lambda c: F.array_distinct(T.rouge_tokens(F.col(c))).alias("d")
+    best = Best(store.select("question_id", "doc", "is_ai", "text", words("text")), questions, k, penalty)
+    added, report, last = Store(store.sparkSession), None, None
     for r in range(1, rounds + 1):
-        got = cut(retrieve(store, questions, k, penalty=penalty).select("question_id", "question_text", "rank", "is_ai", "text", "score"))
+        got = together(best.rows)
         ctx = got.groupBy("question_id", "question_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("context"), F.struct(F.avg(F.col("is_ai").cast("int")).alias("ai"), F.avg("score").alias("rel")).alias("kept"))
-        per = cut(ask(ctx, runs, generate, r))
+        per = stored(ask(ctx, runs, generate, r, side, write))
         rows = per.join(questions.select("question_id", F.size("calls").alias("calls")), "question_id").select("question_id", F.lit(r).alias("round"), "kept.ai", "k", "kept.rel", "calls")
-        report = rows if report is None else report.unionByName(rows)
-        new = per.select("question_id", F.lit(-r).cast("long").alias("doc"), F.lit(True).alias("is_ai"), F.col("answer").alias("text"), F.array_distinct(T.rouge_tokens(F.col("answer"))).alias("d"))
-        store = cut(store.unionByName(new))
+        report = stored(rows) if report is None else report.unionByName(stored(rows))
+        new = added.append(per.select("question_id", F.lit(-r).cast("long").alias("doc"), F.lit(True).alias("is_ai"), F.col("answer").alias("text"), words("answer")), r)
+        before = questions
         questions, last = still_open(questions, per, last)
         if questions.isEmpty():
             break
+        best.add(new, questions)
+        release(per, before)
     return report.select("question_id", n(F.col("round"), "round"), r6("ai", "ai_share"), n(F.col("k"), "n_answers"), r6("rel", "mean_relevance"), n(F.col("calls"), "tool_calls"))
 
 
-def replace_rounds(context: DataFrame, questions: DataFrame, rounds: int, variant: str, runs: int = 3, num_db: int = 0, generate: Generator = extractive) -> DataFrame:
+def replace_rounds(context: DataFrame, questions: DataFrame, rounds: int, variant: str, runs: int = 3, num_db: int = 0, generate: Generator = extractive, side: Generator | None = None, write: Writer = as_it_is) -> DataFrame:
     """question_id, round, ai_share, n_answers and a digest of the context of every round, for contexts (question_id, slot, is_ai, text) that change in place.
 
     replace_all: the next context is every run's answer, and then the first `num_db` references. replace_one: the slot
     numbered round modulo the number of slots (rounds from 0) gets one answer, drawn by keyed hash. Questions with
-    EQUAL_ROUNDS equal signatures in a row leave the loop; contexts are checkpointed each round.
+    EQUAL_ROUNDS equal signatures in a row leave the loop; contexts are written down each round.
     """
     item = F.struct("slot", "is_ai", "text")
     first = context.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["is_ai"].alias("is_ai"), x["text"].alias("text"))).alias("docs"))
-    now = cut(questions.select("question_id", "question_text").join(first, "question_id").withColumn("refs", F.slice("docs", 1, max(num_db, 0)) if num_db > 0 else F.slice("docs", 1, 0)))
+    now = stored(questions.select("question_id", "question_text").join(first, "question_id").withColumn("refs", F.slice("docs", 1, max(num_db, 0)) if num_db > 0 else F.slice("docs", 1, 0)))
     report, last = None, None
     made = lambda t: F.struct(F.lit(True).alias("is_ai"), t.alias("text"))
     for r in range(rounds):
         ctx = now.select("question_id", "question_text", F.transform("docs", lambda x: x["text"]).alias("context"), F.struct(F.aggregate("docs", F.lit(0), lambda s, x: s + x["is_ai"].cast("int")).alias("ai"), F.size("docs").alias("n")).alias("kept"))
-        per = cut(ask(ctx, runs, generate, r))
+        per = stored(ask(ctx, runs, generate, r, side, write))
         rows = per.join(ctx.select("question_id", F.md5(F.array_join("context", "\n")).alias("digest")), "question_id").select("question_id", F.lit(r).alias("round"), F.try_divide("kept.ai", "kept.n").alias("ai"), "k", "digest")
-        report = cut(rows if report is None else report.unionByName(rows))
+        report = stored(rows) if report is None else report.unionByName(stored(rows))
         if variant == "replace_all":
             docs = F.concat(F.transform("answers", lambda x: made(x["answer"])), "refs")
         else:
@@ -152,6 +230,27 @@ def replace_one_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_rounds(_first_contexts(spark, sf_dir), V.questions(spark, sf_dir), ROUNDS["replace_one"], "replace_one")
 
 
+def last_words(rows: DataFrame) -> DataFrame:
+    """Another deterministic generator: the last sentence of a document chosen by run, from the end of the context."""
+    pick = F.element_at("context", (-1 - F.pmod(F.col("run_idx"), F.greatest(F.size("context"), F.lit(1)))).cast("int"))
+    return rows.withColumn("answer", F.when(F.size("context") > 0, F.coalesce(F.try_element_at(T.sentences(pick), F.lit(-1)), F.lit(""))).otherwise(F.lit("")))
+
+
+@query()
+def side_writer_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts that consist of another generator's answers to the same contexts, over paraphrased references: the main generator is measured, the side one writes."""
+    q = V.questions(spark, sf_dir)
+    refs = paraphrased(_first_contexts(spark, sf_dir).join(q, "question_id"), on_the_question).drop("question_text")
+    return replace_rounds(refs, q, ROUNDS["replace_all"], "replace_all", side=last_words, write=on_the_question)
+
+
+@query(f"WITH {V.DOCS}, {V.QUESTIONS} SELECT question_id, row_id, md5(CASE WHEN coalesce(trim(regexp_replace(text, '\\s+', ' ', 'g')) = '', true) THEN text ELSE 'On the question ' || regexp_replace(question_text, '\\?+$', '') || ': ' || text END) AS digest FROM docs JOIN questions USING (question_id) WHERE iteration_number = 1")
+def paraphrased_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references of round 1 as the document writer puts them."""
+    d = V.context_docs(spark, sf_dir).where("iteration_number = 1").select("question_id", "row_id", "text").join(V.questions(spark, sf_dir), "question_id")
+    return paraphrased(d, on_the_question).select("question_id", "row_id", F.md5("text").alias("digest"))
+
+
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 
 

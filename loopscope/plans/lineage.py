@@ -31,4 +31,14 @@ def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read from there: computed once, smaller than a checkpoint, and read by column."""
     path = f"{folder(df.sparkSession)}/loopscope/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*old: DataFrame | None) -> None:
+    """Delete what stored() wrote for these tables; only for when nothing reads them any more. Others are left alone."""
+    for df in old:
+        if path := getattr(df, "stored_at", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
