@@ -81,3 +81,29 @@ def test_held_rows_are_handed_on(spark, monkeypatch):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_index_and_pairs_do_not_depend_on_batches(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = [(lang, term, f"s{k}", rng.randint(1, 3), rng.randint(1, 2)) for lang in ("de", "en") for term in sorted(f"t{i}" for i in range(40)) for k in range(rng.randint(1, 9))]
+    table = pa.table([list(x) for x in zip(*rows)], names=["lang", "term", "source", "n", "docs"])
+    want = defaultdict(list)
+    for lang, term, source, n, docs in rows:
+        want[lang, term].append((source, n, docs))
+    want = {k: [(s, n) for s, n, _ in v] for k, v in want.items() if sum(d for *_, d in v) >= 4}
+    pairs = Counter((k[0], *x, *y) for k, v in want.items() for i, x in enumerate(v) for y in v[i + 1 :])
+    for built, held, size in ((50_000, 10**6, 1000), (7, 5, 3), (1, 1, 1)):
+        monkeypatch.setattr(divergence, "BUILT_ROWS", built)
+        monkeypatch.setattr(divergence, "HELD_PAIRS", held)
+        out = list(divergence._postings(4)(iter(table.to_batches(size))))
+        got = [r for b in out for r in b.to_pylist()]
+        assert {(r["lang"], r["term"]): [(p["source"], p["n"]) for p in r["postings"]] for r in got} == want and len(got) == len(want)
+        assert all(r["total"] == sum(p["n"] for p in r["postings"]) for r in got)
+        met = Counter()
+        for b in divergence._pairs(iter([b.select(["lang", "postings"]) for b in out if len(b)])):
+            for r in b.to_pylist():
+                met[r["lang"], r["a"], r["n_a"], r["b"], r["n_b"]] += r["m"]
+        assert met == pairs
+    assert [b.num_rows for b in divergence._postings(1)(iter([]))] == []
