@@ -38,7 +38,7 @@ def calls(text: Column, most: int = 0) -> Column:
 
 def scored(store: DataFrame, questions: DataFrame, penalty: float = 0.0) -> DataFrame:
     """Documents of a store by lexical relevance to each call of their question (`calls`), less a penalty for generated ones: an equi-join by question."""
-    q = questions.select("*", F.posexplode("calls").alias("call", "q")).drop("calls")
+    q = questions.select("*", F.size("calls").alias("n_calls"), F.posexplode("calls").alias("call", "q")).drop("calls")
     return store.join(q, "question_id").withColumn("score", F.round(T.share(F.size(F.array_intersect("q", "d")), F.size("q")) * (1 - penalty * F.col("is_ai").cast("int")), 9))
 
 
@@ -62,7 +62,7 @@ class Best:
 
     def __init__(self, store: DataFrame, questions: DataFrame, k: int, penalty: float = 0.0):
         self.k, self.penalty = k, penalty
-        self.columns = ["question_id", "question_text", "call", "doc", "is_ai", "text", "score"]
+        self.columns = ["question_id", "question_text", "call", "doc", "is_ai", "text", "score", "n_calls"]
         self.rows = stored(self._top(scored(store, questions, penalty).select(self.columns)))
 
     def _top(self, rows: DataFrame) -> DataFrame:
@@ -150,17 +150,17 @@ def search_rounds(store: DataFrame, questions: DataFrame, rounds: int, runs: int
     added, report, last = Store(store.sparkSession), None, None
     for r in range(1, rounds + 1):
         got = together(best.rows)
-        ctx = got.groupBy("question_id", "question_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("context"), F.struct(F.avg(F.col("is_ai").cast("int")).alias("ai"), F.avg("score").alias("rel")).alias("kept"))
+        ctx = got.groupBy("question_id", "question_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("context"), F.struct(F.avg(F.col("is_ai").cast("int")).alias("ai"), F.avg("score").alias("rel"), F.max("n_calls").alias("calls")).alias("kept"))
         per = stored(ask(ctx, runs, generate, r, side, write))
-        rows = per.join(questions.select("question_id", F.size("calls").alias("calls")), "question_id").select("question_id", F.lit(r).alias("round"), "kept.ai", "k", "kept.rel", "calls")
-        report = stored(rows) if report is None else report.unionByName(stored(rows))
+        rows = per.select("question_id", F.lit(r).alias("round"), "kept.ai", "k", "kept.rel", "kept.calls")
+        report = rows if report is None else report.unionByName(rows)
         new = added.append(per.select("question_id", F.lit(-r).cast("long").alias("doc"), F.lit(True).alias("is_ai"), F.col("answer").alias("text"), words("answer")), r)
         before = questions
         questions, last = still_open(questions, per, last)
         if questions.isEmpty():
             break
         best.add(new, questions)
-        release(per, before)
+        release(before)
     return report.select("question_id", n(F.col("round"), "round"), r6("ai", "ai_share"), n(F.col("k"), "n_answers"), r6("rel", "mean_relevance"), n(F.col("calls"), "tool_calls"))
 
 
@@ -177,10 +177,10 @@ def replace_rounds(context: DataFrame, questions: DataFrame, rounds: int, varian
     report, last = None, None
     made = lambda t: F.struct(F.lit(True).alias("is_ai"), t.alias("text"))
     for r in range(rounds):
-        ctx = now.select("question_id", "question_text", F.transform("docs", lambda x: x["text"]).alias("context"), F.struct(F.aggregate("docs", F.lit(0), lambda s, x: s + x["is_ai"].cast("int")).alias("ai"), F.size("docs").alias("n")).alias("kept"))
+        ctx = now.select("question_id", "question_text", F.transform("docs", lambda x: x["text"]).alias("context"), F.struct(F.aggregate("docs", F.lit(0), lambda s, x: s + x["is_ai"].cast("int")).alias("ai"), F.size("docs").alias("n"), F.md5(F.array_join(F.transform("docs", lambda x: x["text"]), "\n")).alias("digest")).alias("kept"))
         per = stored(ask(ctx, runs, generate, r, side, write))
-        rows = per.join(ctx.select("question_id", F.md5(F.array_join("context", "\n")).alias("digest")), "question_id").select("question_id", F.lit(r).alias("round"), F.try_divide("kept.ai", "kept.n").alias("ai"), "k", "digest")
-        report = stored(rows) if report is None else report.unionByName(stored(rows))
+        rows = per.select("question_id", F.lit(r).alias("round"), F.try_divide("kept.ai", "kept.n").alias("ai"), "k", "kept.digest")
+        report = rows if report is None else report.unionByName(rows)
         if variant == "replace_all":
             docs = F.concat(F.transform("answers", lambda x: made(x["answer"])), "refs")
         else:

@@ -73,11 +73,13 @@ class Candidates:
 
 
 def _ask(now: DataFrame, runs: int, generate: Generator, write: Writer, r: int) -> DataFrame:
-    """Rows (question_id, question_text, docs) with n_answers, all answers and the drawn one as documents."""
-    rows = now.select("question_id", "question_text", F.transform("docs", lambda d: d["text"]).alias("context")).withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    """Of rows (question_id, question_text, docs): what the context was (n_docs, ai, digest), how many answers, all of them and the drawn one as documents."""
+    n_ai = F.size(F.filter("docs", lambda d: d["is_ai"])).cast("double")
+    kept = F.struct(F.size("docs").alias("n_docs"), F.try_divide(n_ai, F.size("docs")).alias("ai"), F.md5(F.array_join(F.transform("docs", lambda d: d["doc"]), " ")).alias("digest"))
+    rows = now.select("question_id", "question_text", F.transform("docs", lambda d: d["text"]).alias("context"), kept.alias("kept")).withColumn("run_idx", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     drawn = stats.keyed_order(F.lit(41), F.lit(r), F.col("question_id"), F.col("run_idx"))
     got = generate(rows).withColumn("made", write(F.col("question_text"), F.col("answer")))
-    return got.groupBy("question_id").agg(F.countDistinct("answer").alias("k"), F.min_by("made", drawn).alias("one"), F.transform(F.array_sort(F.collect_list(F.struct("run_idx", "made"))), lambda x: x["made"]).alias("made"))
+    return got.groupBy("question_id").agg(F.max("kept").alias("kept"), F.countDistinct("answer").alias("k"), F.min_by("made", drawn).alias("one"), F.transform(F.array_sort(F.collect_list(F.struct("run_idx", "made"))), lambda x: x["made"]).alias("made"))
 
 
 def qa_rounds(corpus: DataFrame, questions: DataFrame, rounds: int, variant: str = "search", k: int = TOP, penalty: float | None = None, runs: int = RUNS, num_synth: int = 10, num_db: int = 0, generate: Generator = extractive, write: Writer = as_it_is, detect: Callable[[Column], Column] = repetition) -> DataFrame:
@@ -98,28 +100,27 @@ def qa_rounds(corpus: DataFrame, questions: DataFrame, rounds: int, variant: str
         docs = cached.best().groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc", "is_ai", "text"))), item).alias("docs"))
         return docs.join(q.select("question_id", "question_text"), "question_id")
 
-    now, report = stored(context()), None
-    first = now.select("question_id", F.slice("docs", 1, max(0, num_db)).alias("refs"))
-    start = now
+    start = now = stored(context())
+    first = start.select("question_id", F.slice("docs", 1, max(0, num_db)).alias("refs"))
     made = lambda t, r, i: F.struct(F.concat(F.lit(f"gen_{r}_"), i.cast("string")).alias("doc"), F.lit(True).alias("is_ai"), t.alias("text"))
+    report = None
     for r in range(rounds):
         per = stored(_ask(now, runs, generate, write, r))
-        n_ai = F.size(F.filter("docs", lambda d: d["is_ai"]))
-        rows = now.join(per.select("question_id", "k"), "question_id").select("question_id", F.lit(r).alias("round"), F.size("docs").alias("n_docs"), F.try_divide(n_ai.cast("double"), F.size("docs")).alias("ai"), "k", F.md5(F.array_join(F.transform("docs", lambda d: d["doc"]), " ")).alias("digest"))
-        report = stored(rows) if report is None else report.unionByName(stored(rows))
+        rows = per.select("question_id", F.lit(r).alias("round"), "kept.n_docs", "kept.ai", "k", "kept.digest")
+        report = rows if report is None else report.unionByName(rows)
         if r == rounds - 1:
             break
         old = now
         if variant == "search":
             cached.add(per.select("question_id", F.lit(f"gen_{r + 1}_0").alias("doc"), F.col("one").alias("text")), q.select("question_id", "q"), r + 1)
-            now = stored(context())
+            now = context()
         elif variant == "hybrid":
             synth = F.transform(F.slice("made", 1, num_synth), lambda t, i: made(t, r + 1, i))
             now = stored(now.join(per.select("question_id", "made"), "question_id").join(first, "question_id").select("question_id", "question_text", F.concat(synth, "refs").alias("docs")))
         else:
             docs = F.transform("docs", lambda d, i: F.when(i == F.pmod(F.lit(r + 1), F.size("docs")), made(F.col("one"), r + 1, F.lit(0))).otherwise(item(d)))
             now = stored(now.join(per.select("question_id", "one"), "question_id").select("question_id", "question_text", docs.alias("docs")))
-        release(per, None if old is start else old)
+        release(None if old is start else old)
     return report.select("question_id", n(F.col("round"), "round"), n(F.col("n_docs"), "n_docs"), r6("ai", "ai_share"), n(F.col("k"), "n_answers"), "digest")
 
 
