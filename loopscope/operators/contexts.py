@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loopscope.functions import stats
 from loopscope.functions import text as T
+from loopscope.operators.names import occurring
 from loopscope.plans import views as V
 from loopscope.plans.registry import n, query, r6
 
@@ -203,9 +204,9 @@ def canonical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MENTIONS}, names AS (SELECT DISTINCT question_id, c FROM canon) SELECT r.question_id, r.iteration_number, r.run_idx, count(*) AS n_recovered, md5(string_agg(c, '|' ORDER BY c)) AS digest FROM runs r JOIN names x ON x.question_id = r.question_id AND contains(lower(r.answer), lower(c)) LEFT JOIN ce2 ON ce2.question_id = r.question_id AND ce2.iteration_number = r.iteration_number AND ce2.run_idx = r.run_idx AND ce2.e = c WHERE ce2.e IS NULL GROUP BY 1, 2, 3")
 def recovered_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical names that stand in an answer, in any case, though the run's entities lack them: a substring join within the question."""
+    """Canonical names that stand in an answer, in any case, though the run's entities lack them: a question's names are one automaton."""
     names = canonical_map(mentions(spark, sf_dir)).select("question_id", F.col("c").alias("e")).distinct()
-    found = V.runs(spark, sf_dir).join(names, "question_id").where(F.contains(F.lower("answer"), F.lower("e"))).select(*CELL, "run_idx", "e")
+    found = occurring(V.runs(spark, sf_dir).select(*CELL, "run_idx", "answer"), names)
     found = found.join(canonical(spark, sf_dir), [*CELL, "run_idx", "e"], "left_anti")
     return found.groupBy(*CELL, "run_idx").agg(n(F.count(F.lit(1)), "n_recovered"), F.md5(F.array_join(F.array_sort(F.collect_list("e")), "|")).alias("digest"))
 
