@@ -1,6 +1,6 @@
 """Name -> query and name -> oracle SQL, gathered from the operator modules."""
 
-from loopscope.operators import arms, attribution, contexts, files, inference, influence, lists, loop, metrics, names, perturb, qa, qa_loop, retrieval, studies
+from loopscope.operators import arms, attribution, contexts, files, inference, influence, lists, loop, metrics, names, perturb, qa, qa_loop, regression, retrieval, studies
 from loopscope.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "arms", "attribution", "contexts", "files", "inference", "influence", "lists", "loop", "metrics", "names", "perturb", "qa", "qa_loop", "retrieval", "studies"]
+__all__ = ["ORACLE", "QUERIES", "arms", "attribution", "contexts", "files", "inference", "influence", "lists", "loop", "metrics", "names", "perturb", "qa", "qa_loop", "regression", "retrieval", "studies"]
