@@ -2,5 +2,6 @@
 
 from loopscope.operators import arms, attribution, contexts, files, inference, influence, lists, loop, metrics, names, perturb, qa, qa_loop, regression, retrieval, studies
 from loopscope.plans.registry import ORACLE, QUERIES
+from loopscope.streaming import convergence
 
-__all__ = ["ORACLE", "QUERIES", "arms", "attribution", "contexts", "files", "inference", "influence", "lists", "loop", "metrics", "names", "perturb", "qa", "qa_loop", "regression", "retrieval", "studies"]
+__all__ = ["ORACLE", "QUERIES", "arms", "attribution", "contexts", "convergence", "files", "inference", "influence", "lists", "loop", "metrics", "names", "perturb", "qa", "qa_loop", "regression", "retrieval", "studies"]
