@@ -174,8 +174,42 @@ def cited_ids(answer: Column) -> Column:
 
 
 def without_thinking(s: Column) -> Column:
-    """What follows the last closing think tag."""
-    return F.ltrim(F.substring_index(s, "</think>", -1))
+    """What follows the last closing think tag, from its first character that is no white space."""
+    return F.regexp_replace(F.substring_index(s, "</think>", -1), r"(?U)^\s+", "")
+
+
+def byte_alphabet() -> str:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others for the letters from U+0100 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    shifted = iter(range(256, 512))
+    return "".join(chr(b) if b in plain else chr(next(shifted)) for b in range(256))
+
+
+_LETTERS = byte_alphabet()
+_BYTES = "".join(map(chr, range(256)))
+
+
+def as_byte_letters(s: Column) -> Column:
+    """A text as byte-level token strings spell it: every byte of its UTF-8 as a letter."""
+    latin = F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")
+    return F.translate(F.replace(latin, F.lit("\x00"), F.lit(_LETTERS[0])), _BYTES[1:], _LETTERS[1:])
+
+
+def without_byte_letters(s: Column) -> Column:
+    """The text that byte letters spell, where a model server has left them: with the letter of a space or a line feed in it, and no letter of another kind.
+
+    Any other text stays as it is. Bytes that are no UTF-8 become U+FFFD.
+    """
+    marked = F.contains(s, F.lit(_LETTERS[32])) | F.contains(s, F.lit(_LETTERS[10]))
+    pure = F.translate(s, _LETTERS, "") == ""
+    raw = F.replace(F.translate(s, _LETTERS[1:], _BYTES[1:]), F.lit(_LETTERS[0]), F.lit("\x00"))
+    spelt = F.when(marked & pure, raw)
+    return F.coalesce(F.make_valid_utf8(F.encode(spelt, "ISO-8859-1").cast("string")), s)
+
+
+def cleaned_response(s: Column) -> Column:
+    """What a model server's answer says: byte letters undone, and only what follows the last closing think tag."""
+    return without_thinking(without_byte_letters(s))
 
 
 def lexical_relevance(question: Column, doc: Column) -> Column:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loopscope.functions import text as T
 from loopscope.operators.attribution import answered, citations
 from loopscope.operators.contexts import _REFS, references
 from loopscope.plans import views as V
 from loopscope.plans.lineage import folder
+from loopscope.plans.places import numbered
 from loopscope.plans.registry import n, query
-from loopscope.sources import readers, writers
+from loopscope.sources import discovery, readers, writers
 
 CELL = ["question_id", "iteration_number"]
 
@@ -32,13 +34,23 @@ def dataset_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("question", n(F.size("references"), "n_references"), F.md5(F.array_join(F.transform("references", lambda r: F.md5(r["text"])), "")).alias("digest"))
 
 
+#: Records of a file that is one JSON value.
+FILE_RECORDS = 10_000
+
+
+def _write_arrays(rows: DataFrame, column: str, opening: str, closing: str, path: str) -> None:
+    """JSON texts as files of about FILE_RECORDS each, every one a JSON array or map of its own: rows are dealt by hash, and no file grows with the table."""
+    files = max(1, -(-rows.count() // FILE_RECORDS))
+    shards = rows.groupBy(F.pmod(F.xxhash64(column), F.lit(files)).alias("shard")).agg(F.concat(F.lit(opening), F.array_join(F.collect_list(column), ",\n"), F.lit(closing)).alias("value"))
+    shards.select("value", "shard").write.partitionBy("shard").option("lineSep", "\n\n").text(path)
+
+
 @query(f"WITH {_REFS} SELECT question_id, count(*) AS n_references, md5(string_agg(url, ' ' ORDER BY i)) AS digest FROM refs GROUP BY 1")
 def dataset_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions as JSON arrays, a file a shard of questions."""
+    """Questions as JSON arrays, a file for about FILE_RECORDS of them."""
     path = _fresh(spark, "array")
-    q = references(spark, sf_dir).select(F.to_json(F.struct(F.col("question_id").cast("string").alias("question"), "references")).alias("j"), (F.col("question_id") % 4).alias("shard"))
-    shards = q.groupBy("shard").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
-    shards.select("value", "shard").write.partitionBy("shard").option("lineSep", "\n\n").text(path)
+    q = references(spark, sf_dir).select(F.to_json(F.struct(F.col("question_id").cast("string").alias("question"), "references")).alias("j"))
+    _write_arrays(q, "j", "[", "]", path)
     got = readers.with_references(readers.dataset_array(spark, path))
     return got.select(F.col("question").cast("long").alias("question_id"), n(F.size("references"), "n_references"), F.md5(F.array_join(F.transform("references", lambda r: r["url"]), " ")).alias("digest"))
 
@@ -99,9 +111,10 @@ def ground_truth_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Right answers in both file formats: a list of records, and one flat map."""
     g = V.gold(spark, sf_dir).select(F.col("question_id").cast("string").alias("_id"), F.col("gold").alias("answer"))
     out = None
-    for form, value in (("list", F.to_json(F.collect_list(F.struct("_id", "answer")))), ("map", F.to_json(F.map_from_entries(F.collect_list(F.struct("_id", "answer")))))):
+    entry = F.concat(F.to_json(F.array("_id")).substr(F.lit(2), F.length(F.to_json(F.array("_id"))) - 2), F.lit(":"), F.to_json(F.array("answer")).substr(F.lit(2), F.length(F.to_json(F.array("answer"))) - 2))
+    for form, value, ends in (("list", F.to_json(F.struct("_id", "answer")), "[]"), ("map", entry, "{}")):
         path = _fresh(spark, f"truth-{form}")
-        g.agg(value.alias("value")).write.text(path)  # one small file, as the format has it
+        _write_arrays(g.select(value.alias("value")), "value", *ends, path)
         got = readers.ground_truth(spark, path).select(F.lit(form).alias("form"), "query_id", "answer")
         out = got if out is None else out.unionByName(got)
     return out
@@ -174,11 +187,9 @@ def judged_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH s AS (SELECT row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) - 1 AS i, doc_id % 4 AS shard, doc_id FROM documents), c AS (SELECT shard, count(*) AS c FROM s GROUP BY 1), o AS (SELECT shard, coalesce(sum(c) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c) SELECT doc_id, CAST(i + off AS BIGINT) AS place FROM s JOIN o USING (shard)")
 def merged_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four shards one after the other: a row's place is its place in the shard and the sizes of the shards before."""
+    """Four shards one after the other: a row's place by shard and then by document, from range partitions and their sizes, whatever a shard holds."""
     d = V.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("shard"))
-    off = d.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).withColumn("off", F.coalesce(F.sum("c").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a shard
-    i = F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")) - 1
-    return d.withColumn("i", i).join(F.broadcast(off), "shard").select("doc_id", n(F.col("i") + F.col("off"), "place"))
+    return numbered(d, F.col("shard"), F.col("doc_id")).select("doc_id", n(F.col("place") - 1, "place"))
 
 
 @query(f"WITH {V.DOCS}, k AS (SELECT question_id, slot, concat_ws('_', 'native', slot) AS doc_id, slot < 2 AS gold, text AS t FROM docs WHERE iteration_number = 1) SELECT question_id, doc_id, slot, gold, md5(t || ' ' || t) AS digest FROM k")
@@ -206,3 +217,37 @@ def event_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.table(spark, sf_dir, "events").select(writers.candidate_id("event_type").alias("candidate_id"), "value", "props")
     writers.write_json(e, path)
     return readers.events(spark, path, "candidate_id string, value double").groupBy("candidate_id").agg(n(F.count(F.lit(1)), "n_events"), F.round(F.sum("value"), 4).alias("total"))
+
+
+_TREE = "CASE question_id % 5 WHEN 0 THEN 'search_paraphrased_run' WHEN 1 THEN 'run_replace_one' WHEN 2 THEN 'agentic_rag' WHEN 3 THEN 'Search' ELSE 'notes' END"
+
+
+@query(f"WITH {V.RUNS}, r AS (SELECT {_TREE} AS tree, question_id, answer FROM runs), l AS (SELECT tree, '\"question_id\": ' || question_id || ',' AS s, 1 AS q, 0 AS a, 0 AS e FROM r GROUP BY tree, question_id UNION ALL SELECT tree, CASE WHEN length(answer) % 7 = 0 THEN '\"answer\": \"\"' ELSE '\"answer\": \"' || md5(answer) || '\"' END, 0, 1, CASE WHEN length(answer) % 7 = 0 THEN 1 ELSE 0 END FROM r UNION ALL SELECT DISTINCT tree, unnest(['{{\"experiment_metadata\": {{', '\"num_iterations\": 4,', '\"num_runs_per_iteration\": 10}},']), 0, 0, 0 FROM r UNION ALL SELECT DISTINCT tree, '}}', 0, 0, 0 FROM r WHERE tree <> 'agentic_rag'), g AS (SELECT tree, sum(q) AS questions, sum(a) AS answers, sum(e) AS empty, sum(strlen(s) + 1) AS size FROM l GROUP BY tree) "
+    "SELECT CASE tree WHEN 'search_paraphrased_run' THEN 'search_paraphrase' WHEN 'run_replace_one' THEN 'replace_one' WHEN 'agentic_rag' THEN 'agentic_rag' WHEN 'Search' THEN 'search' ELSE 'misc' END AS variant, CASE tree WHEN 'search_paraphrased_run' THEN 'paraphrase' WHEN 'agentic_rag' THEN 'agentic_rag' WHEN 'notes' THEN 'misc' ELSE 'baseline' END AS method, CASE tree WHEN 'search_paraphrased_run' THEN 'search' WHEN 'run_replace_one' THEN 'replace_one' WHEN 'Search' THEN 'search' END AS config, CAST(questions AS BIGINT) AS questions, round(1.0 * empty / answers, 6) AS empty_rate, CAST(least(size, 8192) + least(size, 256) AS BIGINT) AS bytes_read, concat_ws(', ', CASE WHEN tree = 'notes' THEN 'rounds' END, CASE WHEN tree = 'agentic_rag' THEN 'truncated' END, CASE WHEN 1.0 * empty / answers > 0.15 THEN 'empty answers' END) AS problems FROM g")
+def discovered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of runs under one folder: what their paths say, whether they are whole, and how much of them had to be read for that."""
+    root = _fresh(spark, "tree")
+    r = V.runs(spark, sf_dir).select(F.expr(_TREE).alias("tree"), "question_id", "run_idx", "iteration_number", "answer")
+    said = F.when(F.length("answer") % 7 == 0, '"answer": ""').otherwise(F.concat(F.lit('"answer": "'), F.md5("answer"), F.lit('"')))
+    line = lambda d, *order: d.select("tree", *[F.lit(o).cast("long") if isinstance(o, int) else F.col(o).cast("long") for o in order], "value").toDF("tree", "a", "b", "c", "d", "value")
+    trees = r.select("tree").distinct()
+    heads = ['{"experiment_metadata": {', '"num_iterations": 4,', '"num_runs_per_iteration": 10},']
+    rows = line(r.select("tree", "question_id").distinct().withColumn("value", F.concat(F.lit('"question_id": '), "question_id", F.lit(","))), 1, "question_id", -1, -1)
+    rows = rows.unionByName(line(r.withColumn("value", said), 1, "question_id", "iteration_number", "run_idx"))
+    for i, h in enumerate(heads):
+        rows = rows.unionByName(line(trees.withColumn("value", F.lit(h)), 0, i, 0, 0))
+    rows = rows.unionByName(line(trees.where("tree <> 'agentic_rag'").withColumn("value", F.lit("}")), 2, 0, 0, 0))
+    rows.repartition("tree").sortWithinPartitions("tree", "a", "b", "c", "d").drop("a", "b", "c", "d").write.partitionBy("tree").text(root)
+    want = {v: 4 for v in ("search_paraphrase", "replace_one", "agentic_rag", "search")}
+    got = discovery.validated(spark, root, want, 10, 0.15)
+    return got.select("variant", "method", "config", n(F.col("questions"), "questions"), F.round("empty_rate", 6).alias("empty_rate"), "bytes_read", F.array_join("problems", ", ").alias("problems"))
+
+
+@query(f"WITH {V.RUNS} SELECT question_id, iteration_number, run_idx, md5(CASE WHEN run_idx % 3 = 2 THEN regexp_replace(answer, '^\\s+', '') ELSE answer END) AS digest FROM runs")
+def cleaned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as model servers leave them (a third spelt in byte letters, a third after their thinking) and cleaned again."""
+    r = V.runs(spark, sf_dir)
+    kind = F.col("run_idx") % 3
+    spelt = F.when(kind == 1, T.as_byte_letters(F.col("answer"))).when(kind == 2, F.concat(F.lit("<think>is it so? </think> so </think>\n"), "answer")).otherwise(F.col("answer"))
+    back = T.without_byte_letters(F.col("s"))
+    return r.withColumn("s", spelt).select(*CELL, "run_idx", F.md5(F.when(kind == 2, T.cleaned_response(F.col("s"))).otherwise(back)).alias("digest"))

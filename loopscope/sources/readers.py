@@ -64,7 +64,7 @@ def numbered(q: DataFrame) -> DataFrame:
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """query_id, answer from a list of {_id, answer} or one flat map."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     items = F.from_json("value", "array<struct<_id:string,answer:string>>")
     pairs = F.from_json("value", "map<string,string>")
     is_list = F.ltrim("value").startswith("[")
@@ -115,7 +115,7 @@ def detector_labels(spark: SparkSession, path: str, batch: str | None = None, or
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
     """question_id, round, run_id, doc_id from nested maps."""
-    m = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", SIDECAR)).alias("q", "m"))
+    m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", SIDECAR)).alias("q", "m"))
     m = m.select("q", F.explode("m").alias("round", "m")).select("q", "round", F.explode("m").alias("run_id", "d"))
     return m.select(F.col("q").cast("long").alias("question_id"), F.col("round").cast("int").alias("round"), "run_id", F.explode("d").alias("doc_id"))
 

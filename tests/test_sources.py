@@ -61,3 +61,13 @@ def test_streaming_rounds(spark, tmp_path):
     q.awaitTermination(60)
     r = spark.read.parquet(str(tmp_path / "out")).first()
     assert (r["unique_words"], r["n_runs"]) == (3, 2)
+
+
+def test_json_files_over_several_lines(spark, tmp_path):
+    (tmp_path / "list.json").write_text('[\n {"_id": "a",\n  "answer": "x"},\n {"_id": "b", "answer": "y"}\n]\n')
+    (tmp_path / "map.json").write_text('{\n "c": "z"\n}')
+    got = sorted(map(tuple, readers.ground_truth(spark, str(tmp_path)).collect()))
+    assert got == [("a", "x"), ("b", "y"), ("c", "z")]
+    (tmp_path / "side").mkdir()
+    (tmp_path / "side" / "s.json").write_text('{"1": {\n"2": {"2_0": ["d",\n"e"]}}}')
+    assert sorted(map(tuple, readers.sidecar(spark, str(tmp_path / "side")).collect())) == [(1, 2, "2_0", "d"), (1, 2, "2_0", "e")]
