@@ -19,9 +19,8 @@ BLOCK_ROWS, PASS_QUERIES = 65_536, 16_384
 TREES, BITS = 64, 57
 #: Bits of a longest prefix that are told apart.
 MATCH = 16
-#: A query measures at least LEAST vectors of a block and SHARE of a table of up to KNEE rows (beyond, the share falls
-#: with the square root of the rows), out of REACH times as many that the trees bring up.
-LEAST, SHARE, KNEE, REACH = 1024, 0.16, 262_144, 5.6
+#: A query measures at least LEAST vectors of a block and SHARE of it, out of REACH times as many that the trees bring up.
+LEAST, SHARE, REACH = 1024, 0.16, 5.6
 OUT = "query_id long, vec_id long, score double, measured long"
 
 
@@ -146,11 +145,11 @@ def fit(sample: np.ndarray, trees: int, bits: int, seed: int) -> dict:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TREES, bits: int = BITS, share: float = SHARE, least: int = LEAST, seed: int = 11, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score, measured: the k nearest found of each query, by Euclidean distance in double precision, and how many vectors were measured for it.
 
-    Directions and medians come from a bounded sample (SAMPLE_ROWS rows by hash); every row is indexed. Partitions
+    Directions and medians come from a bounded sample (about SAMPLE_ROWS by hash of the rows that take part); every row is indexed. Partitions
     of `vectors` are read in place in blocks of BLOCK_ROWS rows, without a shuffle; each block builds its forest and
     answers all queries of a pass: it brings up REACH times the vectors that are then measured exactly, at least
-    `least` of a block and `share` of a table. Beyond KNEE rows the share falls, so that what a query costs grows with
-    the square root of the table (and a binary search a block), and recall is that of the trees alone. Queries go out
+    `least` and `share` of a block, alike at every size of the table: share = 1 measures all, which is exact, and where
+    vectors have structure a smaller share finds as much. Queries go out
     PASS_QUERIES at a time, so what is broadcast is bounded however many there are, and each pass's answers (k rows a
     query and block) are written before the next, so plans stay as long as one pass.
 
@@ -158,32 +157,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
     their smallest ids, so a vector that a third of the rows hold crowds nothing out. Vectors null, zero, of another
     dimension than most of the sample, or with null or non-finite components take no part, nor do rows without id;
     a query that takes no part has no result. With fewer than k candidates all are returned. Repeated rows of one id
-    are one candidate. Empty tables give an empty result. Other columns are ignored.
+    are one candidate; of several vectors of one query id the smallest, component by component, asks. Empty tables give
+    an empty result. Other columns are ignored.
     """
     spark = vectors.sparkSession
     v = vectors.select(named(vec_id).cast("long").alias("vec_id"), named(embedding).alias("e"))
     qs = queries.select(named(vec_id).cast("long").alias("vec_id"), named(embedding).alias("e")).where("vec_id is not null and e is not null")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, measured long")
-    n = v.count()
+    fit_rows = v.where("vec_id is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x <> 0)")
+    n = fit_rows.count()
     if not n:
         return empty
     odds = min(1.0, SAMPLE_ROWS / n)
-    got = v.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000)) < int(odds * 1_000_000) + 1).limit(4 * SAMPLE_ROWS).toArrow()
+    got = fit_rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1_000_000)) < int(odds * 1_000_000) + 1).limit(4 * SAMPLE_ROWS).toArrow()
     _, sample = _matrix(got["vec_id"], got["e"], None)
     if not len(sample):
         return empty
     plan = fit(sample, trees, bits, seed)
     dim = sample.shape[1]
-    share *= min(1.0, (KNEE / n) ** 0.5)
     passes = max(1, -(-qs.count() // PASS_QUERIES))
     found = None
     for i in range(passes):
         some = qs if passes == 1 else qs.where(F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.lit(passes)) == i)
         got = some.toArrow()
         qid, q = _matrix(got["vec_id"], got["e"], dim)
-        qid, at = np.unique(qid, return_index=True)
         if not len(qid):
             continue
+        order = np.lexsort((*q.T[::-1], qid))
+        qid, at = np.unique(qid[order], return_index=True)
+        at = order[at]
         sent = spark.sparkContext.broadcast((qid, q[at], plan))
 
         def answer(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from loopscope.llm import neighbours
@@ -100,3 +101,39 @@ def test_repeated_rows_take_no_slots(spark):
         d = np.sqrt(((y - y[ids == q][0]) ** 2).sum(1))
         want = sorted((d[ids == i].min(), i) for i in set(ids.tolist()) if i != q)[:10]
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for _, i in want]
+
+
+def test_few_vectors_among_many_rows_without(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").unionByName(spark.range(100, 60_100).selectExpr("id as vec_id", "if(id % 2 = 0, null, array(0.0d, 0.0d)) as embedding"))
+    got = neighbours.nearest(df, df.where("vec_id < 4")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got if r["query_id"] == 0) == [(0, 1, 1), (0, 2, 2), (0, 3, 3)] and len(got) == 12
+
+
+def test_of_several_vectors_of_a_query_the_smallest_asks(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)]
+    twice = [(99, [2.0, 1.0]), (99, [28.0, 1.0]), (99, [2.0, 5.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for own in (twice, twice[::-1], twice[1:] + twice[:1]):
+        got = neighbours.nearest(v, spark.createDataFrame(own, v.schema), k=2).collect()
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [2, 1]
+
+
+def test_recall_does_not_fall_with_the_table(spark, monkeypatch):
+    """Blocks are searched alike, however many there are: 40 small ones of vectors without structure."""
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 1000)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40_000, 32)).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x.tolist())}), "vec_id long, embedding array<float>").repartition(40)
+    got = neighbours.nearest(df, df.where("vec_id % 2000 = 0"), least=100, share=0.3)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert r["measured"] < 0.45 * len(x)
+    hits = 0
+    for q in found:
+        d = ((x.astype("f8") - x[q].astype("f8")) ** 2).sum(1)
+        d[q] = 9
+        hits += len(found[q] & set(np.argsort(d)[:10].tolist()))
+    assert len(found) == 20 and hits >= 0.9 * 200
