@@ -13,8 +13,8 @@ from loopscope.plans import views as V
 from loopscope.plans.registry import n, query, r6
 
 CELL = ["question_id", "iteration_number"]
-#: An answer rests on a document from this overlap on (driver tables overlap less than real answers do).
-TAU = 0.05
+#: An answer rests on a document from this overlap on.
+TAU = 0.2
 _N = "(SELECT max(question_id) + 1 FROM questions)"
 
 

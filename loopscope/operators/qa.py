@@ -160,3 +160,17 @@ def pivot_model_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = hits(spark, sf_dir).groupBy(*CELL).agg(F.avg("hit").alias("v"))
     p = q.withColumn("variant", F.when(F.col("question_id") % 2 == 0, "even").otherwise("odd")).groupBy("iteration_number").pivot("variant", ["even", "odd"]).agg(F.avg("v"))
     return p.select("iteration_number", r6("even", "even"), r6("odd", "odd"))
+
+
+_LEX = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+_VERDICT = "lower(trim(CASE WHEN length(answer) % 3 = 0 THEN ' Yes. ' || answer WHEN length(answer) % 3 = 1 THEN 'That is no ' || answer ELSE answer END))"
+
+
+@query(f"WITH {V.RUNS}, {V.QUESTIONS}, {V.GOLD}, j AS (SELECT r.*, question_text, gold, {_VERDICT} AS v FROM runs r JOIN questions USING (question_id) JOIN gold USING (question_id)) SELECT question_id, iteration_number, run_idx, CASE WHEN starts_with(v, 'yes') THEN true WHEN starts_with(v, 'no') THEN false ELSE regexp_extract(v, '\\b(yes|no)\\b', 1) = 'yes' END AS agrees, round({V.sql_share('len(list_intersect(' + _LEX.format('question_text') + ', ' + _LEX.format('answer') + '))', 'len(' + _LEX.format('question_text') + ')')}, 6) AS relevance, md5(answer) AS digest, CAST({V.sql_norm('answer')} = {V.sql_norm('gold')} AS DOUBLE) AS exact FROM j")
+def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read from models' outputs: an answer out of JSON, a verdict's yes or no, an answer's relevance to its question, its equality with the right one."""
+    r = with_gold(spark, sf_dir).where("gold is not null").join(V.questions(spark, sf_dir), "question_id")
+    third = F.length("answer") % 3
+    verdict = F.when(third == 0, F.concat(F.lit(" Yes. "), "answer")).when(third == 1, F.concat(F.lit("That is no "), "answer")).otherwise(F.col("answer"))
+    said = F.when(third == 0, F.to_json(F.struct(F.col("answer").alias("response")))).when(third == 1, F.to_json(F.struct(F.lit(1).alias("id"), F.col("answer").alias("content")))).otherwise(F.col("answer"))
+    return r.select(*CELL, "run_idx", T.yes_no(verdict).alias("agrees"), r6(T.lexical_relevance(F.col("question_text"), F.col("answer")), "relevance"), F.md5(T.generated_text(said)).alias("digest"), T.exact_match(F.col("answer"), F.col("gold")).alias("exact"))

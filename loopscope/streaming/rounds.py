@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from loopscope.functions import text as T
 
@@ -14,8 +15,9 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("w.start", "event_type", "n", "total")
 
 
-def answer_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def answer_stream(spark: SparkSession, path: str, schema: str | StructType, files: int = 1) -> DataFrame:
+    """Answers as their files arrive, so many files a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def start_round_metrics(answers: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
