@@ -42,9 +42,9 @@ def unique_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy(*CELL).agg(n(F.countDistinct("w"), "unique_words"))
 
 
-@query(_sql_pairs(f"WITH {V.RUNS}, r AS (SELECT question_id, iteration_number, run_idx, {V.sql_tokens('answer')} AS t FROM runs)", "coalesce(len(list_intersect(a.t, b.t)) / nullif(sqrt(CAST(len(a.t) AS DOUBLE) * len(b.t)), 0), 0)", "cosine", base="r"))
+@query(_sql_pairs(f"WITH {V.GIVEN}, r AS (SELECT question_id, iteration_number, run_idx, {V.sql_tokens('answer')} AS t FROM runs)", "coalesce(len(list_intersect(a.t, b.t)) / nullif(sqrt(CAST(len(a.t) AS DOUBLE) * len(b.t)), 0), 0)", "cosine", base="r"))
 def pairwise_token_set_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = V.runs(spark, sf_dir).select(*CELL, "run_idx", T.token_set(F.col("answer")).alias("t"))
+    r = V.given(spark, sf_dir).select(*CELL, "run_idx", T.token_set(F.col("answer")).alias("t"))
     scored = V.pairs(r, *CELL).withColumn("score", T.set_cosine(F.col("t_a"), F.col("t_b")))
     return pair_stats(r.select(*CELL).distinct(), scored, CELL, "score", "cosine")
 
@@ -65,14 +65,14 @@ def _sql_rouge(k: str) -> str:
 
 
 @query(
-    f"WITH {V.RUNS}, t AS (SELECT *, {_GRAMS} AS g1 FROM runs), r AS (SELECT question_id, iteration_number, run_idx, g1, CASE WHEN len(g1) > 1 THEN list_transform(range(1, len(g1)), lambda i: g1[i] || ' ' || g1[i + 1]) ELSE [] END AS g2 FROM t), "
+    f"WITH {V.GIVEN}, t AS (SELECT *, {_GRAMS} AS g1 FROM runs), r AS (SELECT question_id, iteration_number, run_idx, g1, CASE WHEN len(g1) > 1 THEN list_transform(range(1, len(g1)), lambda i: g1[i] || ' ' || g1[i + 1]) ELSE [] END AS g2 FROM t), "
     f"p AS (SELECT a.question_id, a.iteration_number, {_sql_rouge('g1')} AS r1, {_sql_rouge('g2')} AS r2 FROM r a JOIN r b ON a.question_id = b.question_id AND a.iteration_number = b.iteration_number AND a.run_idx < b.run_idx), "
     "s AS (SELECT question_id, iteration_number, avg(r1) AS m1, stddev_pop(r1) AS s1, avg(r2) AS m2, stddev_pop(r2) AS s2 FROM p GROUP BY ALL), g AS (SELECT DISTINCT question_id, iteration_number FROM runs) "
     "SELECT g.question_id, g.iteration_number, round(coalesce(m1, 0), 6) AS rouge1_mean, round(coalesce(s1, 0), 6) AS rouge1_std, round(coalesce(m2, 0), 6) AS rouge2_mean, round(coalesce(s2, 0), 6) AS rouge2_std FROM g LEFT JOIN s USING (question_id, iteration_number)"
 )
 def rouge12_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grams are counted once a run; pairs meet under the grams they share, so no pair looks at the others' tokens."""
-    r = V.runs(spark, sf_dir).select(*CELL, "run_idx", T.rouge_tokens(F.col("answer")).alias("g1"))
+    r = V.given(spark, sf_dir).select(*CELL, "run_idx", T.rouge_tokens(F.col("answer")).alias("g1"))
     r = r.withColumn("g2", T.ngrams(F.col("g1"), 2))
     kind = lambda k: F.transform(f"g{k}", lambda g: F.struct(F.lit(k).alias("k"), g.alias("g")))
     kinds = F.array(kind(1), kind(2))
@@ -110,7 +110,7 @@ def rouge_l_udf() -> Column:
 
 @query()
 def rouge_l_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = V.runs(spark, sf_dir).select(*CELL, "run_idx", T.rouge_tokens(F.col("answer")).alias("t"))
+    r = V.given(spark, sf_dir).select(*CELL, "run_idx", T.rouge_tokens(F.col("answer")).alias("t"))
     scored = V.pairs(r, *CELL).withColumn("score", rouge_l_udf()(F.col("t_a"), F.col("t_b")))
     return pair_stats(r.select(*CELL).distinct(), scored, CELL, "score", "rouge_l")
 
@@ -118,7 +118,7 @@ def rouge_l_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def temporal_sentence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean cosine of aligned sentences, all runs of a round cut to the shortest one's number of sentences."""
-    r = V.runs(spark, sf_dir).select(*CELL, "run_idx", T.sentences(F.col("answer")).alias("s"))
+    r = V.given(spark, sf_dir).select(*CELL, "run_idx", T.sentences(F.col("answer")).alias("s"))
     r = r.withColumn("k", F.min(F.size("s")).over(Window.partitionBy(*CELL))).withColumn("s", F.slice("s", F.lit(1), F.col("k")))
     r = r.select(*CELL, "run_idx", F.transform("s", lambda x: vectors.hashed_embedding(T.words(x), 32)).alias("e"))
     aligned = F.zip_with("e_a", "e_b", lambda x, y: vectors.dot(x, y))

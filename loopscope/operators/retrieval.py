@@ -11,6 +11,8 @@ from loopscope.plans import views as V
 from loopscope.plans.registry import n, query, r6
 
 CELL = ["question_id", "iteration_number"]
+#: Documents of a stratified sample.
+SAMPLED = 100
 _V = "v AS (SELECT vec_id // 100 AS question_id, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT question_id, arg_min(e, vec_id) AS qe, min(vec_id) AS query_id FROM v GROUP BY 1), s AS (SELECT v.question_id, query_id, vec_id, label, list_cosine_similarity(e, qe) AS score FROM v JOIN q USING (question_id) WHERE vec_id <> query_id)"
 
 
@@ -102,11 +104,13 @@ def convergence_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STRATA = "k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', 7, doc_id)), doc_id) AS k FROM documents)"
 
 
-@query(f"WITH {_STRATA} SELECT doc_id, source, k AS rank FROM k WHERE k <= 5")
+@query(f"WITH {_STRATA} SELECT doc_id, source, k AS rank FROM k WHERE k <= (SELECT greatest(1, {SAMPLED} // count(DISTINCT coalesce(source, ''))) FROM documents)")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five documents of each source, drawn by hash."""
+    """SAMPLED documents over all sources, as many of each as go into it evenly (one at least), drawn by hash."""
     w = Window.partitionBy("source").orderBy(stats.keyed_order(F.lit(7), F.col("doc_id")), "doc_id")
-    return V.table(spark, sf_dir, "documents").select("doc_id", "source").withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("doc_id", "source", n(F.col("rank"), "rank"))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", "source")
+    cap = F.broadcast(d.agg(F.greatest(F.lit(1), F.floor(F.lit(SAMPLED) / F.countDistinct(F.coalesce("source", F.lit(""))))).alias("cap")))  # one row
+    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= SAMPLED).crossJoin(cap).where("rank <= cap").select("doc_id", "source", n(F.col("rank"), "rank"))
 
 
 @query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', 3, doc_id)), doc_id) AS k, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN k <= CAST(floor(n * 0.6) AS BIGINT) THEN 'train' WHEN k <= CAST(floor(n * 0.6) AS BIGINT) + CAST(floor(n * 0.2) AS BIGINT) THEN 'val' ELSE 'test' END AS split FROM r")

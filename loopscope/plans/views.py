@@ -24,6 +24,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.selectExpr("conv_id div 10 as question_id", "(turn + 1) div 2 as iteration_number", "conv_id % 10 as run_idx", "text as answer")
 
 
+def given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs as text metrics read them: an answer that is null or empty is a fixed phrase."""
+    return runs(spark, sf_dir).withColumn("answer", T.answer_or_default(F.col("answer")))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     return c.groupBy(F.expr("conv_id div 10").alias("question_id")).agg(F.min_by("text", F.struct("conv_id", "turn")).alias("question_text"))
@@ -67,6 +72,7 @@ def pairs(df: DataFrame, *keys: str, by: str = "run_idx") -> DataFrame:
 # -- the same views for the oracle engine ---------------------------------------------------------------------------
 
 RUNS = "runs AS (SELECT conv_id // 10 AS question_id, (turn + 1) // 2 AS iteration_number, conv_id % 10 AS run_idx, text AS answer FROM conversations WHERE role = 'assistant')"
+GIVEN = RUNS.replace("text AS answer", f"CASE WHEN text IS NULL OR text = '' THEN '{T.NO_ANSWER}' ELSE text END AS answer")
 QUESTIONS = "questions AS (SELECT conv_id // 10 AS question_id, arg_min(text, (conv_id, turn)) AS question_text FROM conversations WHERE role = 'user' GROUP BY 1)"
 DOCS = (
     "docs AS (SELECT doc_id // 40 AS question_id, (doc_id // 10) % 4 + 1 AS iteration_number, doc_id % 10 AS slot, doc_id AS row_id, doc_id % 3 = 0 AS is_ai, source, text, "

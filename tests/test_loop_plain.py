@@ -125,3 +125,23 @@ def test_cluster_robust_errors_against_numpy(spark):
         meat += np.outer(s, s)
     got = inference.cluster_robust_ols(spark, sf).toPandas()
     assert np.allclose(got["coefficient"], beta) and np.allclose(got["cr0_error"], np.sqrt(np.diag(inv @ meat @ inv)))
+
+
+def test_temporal_similarity_equals_plain(spark):
+    sf = "/root/testdata/sf0.001"
+    from loopscope.plans import views as V
+
+    cells, seen = {}, {}
+    for r in V.runs(spark, sf).collect():
+        cells.setdefault((r["question_id"], r["iteration_number"]), []).append([s.strip() for s in re.split(r"(?<=[.!?])\s+", r["answer"]) if s.strip()])
+    texts = sorted({s for runs in cells.values() for x in runs for s in x})
+    df = spark.createDataFrame([(s,) for s in texts], "s string")
+    for r in df.select("s", vectors.hashed_embedding(T.words(F.col("s")), 32).alias("e")).collect():
+        seen[r["s"]] = np.array(r["e"])
+    want = {}
+    for cell, runs in cells.items():
+        k = min(map(len, runs))
+        scores = [np.mean([seen[a] @ seen[b] for a, b in zip(x[:k], y[:k])]) if k else 0.0 for i, x in enumerate(runs) for y in runs[i + 1 :]]
+        want[cell] = (np.mean(scores), np.max(scores), np.min(scores), np.std(scores)) if scores else (0, 0, 0, 0)
+    got = {(r["question_id"], r["iteration_number"]): (r["tes_mean"], r["tes_max"], r["tes_min"], r["tes_std"]) for r in metrics.temporal_sentence_similarity(spark, sf).collect()}
+    assert set(got) == set(want) and all(got[c] == pytest.approx(want[c], abs=2e-6) for c in want)
