@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loopscope.functions import stats
 from loopscope.functions import text as T
 from loopscope.functions import vectors
+from loopscope.operators import reruns
 from loopscope.operators.attribution import citations
 from loopscope.plans import views as V
 from loopscope.plans.registry import n, query, r6
@@ -203,27 +204,23 @@ def diversity_before_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- direct elicitation against leave-one-out -------------------------------------------------------------------------
 
-_DIRECT = "dir AS (SELECT question_id, iteration_number, list(DISTINCT doc_id) AS d FROM ranked WHERE run_idx = 0 AND k <= 3 GROUP BY ALL), loo AS (SELECT question_id, iteration_number, list(DISTINCT doc_id) AS l FROM cited GROUP BY ALL)"
+_NAMED = f"(SELECT DISTINCT question_id, iteration_number, run_idx, l.doc_id FROM picked p JOIN lead l USING (question_id, iteration_number, slot) WHERE removed IS NULL AND (k <= {reruns.SHARED} OR own = 1))"
+_DIRECT = f"dir AS (SELECT question_id, iteration_number, list(DISTINCT doc_id) AS d FROM {_NAMED} GROUP BY ALL), loo AS (SELECT question_id, iteration_number, list(DISTINCT doc_id) AS l FROM cited GROUP BY ALL)"
 
 
 @query(f"WITH {_with_rates()}, {_DIRECT}, j AS (SELECT question_id, iteration_number, len(list_intersect(d, l)) AS shared, len(d) AS nd, len(l) AS nl FROM dir JOIN loo USING (question_id, iteration_number)) SELECT question_id, iteration_number, round(1.0 * shared / nullif(nd + nl - shared, 0), 6) AS jaccard, round(1.0 * shared / nullif(nd, 0), 6) AS precision, round(1.0 * shared / nullif(nl, 0), 6) AS recall FROM j")
 def direct_against_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that an answer names itself (here its three nearest) against those that leaving one out finds: agreement of the two sets an item."""
-    from loopscope.operators.attribution import answered, ranked
-
-    d = ranked(spark, sf_dir, answered(spark, sf_dir)).where("run_idx = 0 and k <= 3").groupBy(*CELL).agg(F.collect_set("doc_id").alias("d"))
+    """Documents that a round's answers name themselves against those that leaving one out finds: agreement of the two sets."""
+    d = reruns.elicited(reruns.contexts(spark, sf_dir)).groupBy(*CELL).agg(F.collect_set("doc_id").alias("d"))
     j = citations(spark, sf_dir).groupBy(*CELL).agg(F.collect_set("doc_id").alias("l")).join(d, CELL)
     both = F.size(F.array_intersect("d", "l")).cast("double")
     return j.select(*CELL, r6(T.jaccard(F.col("d"), F.col("l")), "jaccard"), r6(F.try_divide(both, F.size("d")), "precision"), r6(F.try_divide(both, F.size("l")), "recall"))
 
 
-@query(f"WITH {V.DOCS}, a AS (SELECT row_id, 'It is so. CITED: [1, ' || (slot + 1) || '] and CITED: [' || (slot + 1) || ', ' || (slot + 3) || ', 77]' AS s, question_id, iteration_number FROM docs), p AS (SELECT row_id, question_id, iteration_number, unnest([CAST(x AS BIGINT) for x in regexp_extract_all(regexp_extract_all(s, 'CITED: \\[([^\\]]*)\\]', 1)[-1], '[0-9]+')]) AS c FROM a) SELECT p.row_id, d.doc_id FROM p JOIN docs d ON d.question_id = p.question_id AND d.iteration_number = p.iteration_number AND d.slot = c - 1")
+@query(f"WITH {V.DOCS}, {V.QUESTIONS}, {reruns.SAID} SELECT question_id, iteration_number, run_idx, doc_id FROM {_NAMED}")
 def cited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last CITED list of an answer as documents: 1-based places in the round's context, unknown ones dropped."""
-    d = V.context_docs(spark, sf_dir)
-    s = F.concat(F.lit("It is so. CITED: [1, "), (F.col("slot") + 1).cast("string"), F.lit("] and CITED: ["), (F.col("slot") + 1).cast("string"), F.lit(", "), (F.col("slot") + 3).cast("string"), F.lit(", 77]"))
-    p = d.select(*CELL, "row_id", F.explode(T.cited_ids(s)).alias("c"))
-    return p.join(d.select(*CELL, (F.col("slot") + 1).alias("c"), "doc_id"), [*CELL, "c"]).select("row_id", "doc_id")
+    """The last CITED list of each answer as documents: 1-based places in the round's context, unknown ones dropped."""
+    return reruns.elicited(reruns.contexts(spark, sf_dir))
 
 
 # -- statistics of attribution ----------------------------------------------------------------------------------------

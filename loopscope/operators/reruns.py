@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopscope.functions import stats
+from loopscope.functions import text as T
 from loopscope.plans import views as V
 from loopscope.plans.lineage import folder
 
@@ -27,11 +28,24 @@ def grounded(rows: DataFrame) -> DataFrame:
     So runs differ a little, and an answer changes where a document that it rests on is left out. No context gives an
     empty answer; null texts say nothing.
     """
+    parts = "_parts"
+    return _picked(rows, parts).withColumn("answer", F.array_join(F.transform(parts, lambda x: x["s"]), " ")).drop(parts)
+
+
+def citing(rows: DataFrame) -> DataFrame:
+    """The same answers, each followed by the places in the context (from 1) of the documents that it takes its sentences from: what a model says that is asked for its sources."""
+    parts = "_parts"
+    places = F.array_join(F.transform(parts, lambda x: (x["i"] + 1).cast("string")), ", ")
+    return _picked(rows, parts).withColumn("answer", F.concat(F.array_join(F.transform(parts, lambda x: x["s"]), " "), F.lit("\nCITED: ["), places, F.lit("]"))).drop(parts)
+
+
+def _picked(rows: DataFrame, name: str) -> DataFrame:
+    """rows and the chosen documents' places and first sentences, in the order of the context."""
     leads = F.transform("context", lambda t, i: F.struct(i.alias("i"), F.regexp_extract(F.coalesce(t, F.lit("")), LEAD, 0).alias("s")))
     by = lambda *keys: F.array_sort(F.transform("_leads", lambda x: F.struct(stats.keyed_order(*keys, x["s"]).alias("h"), x["i"].alias("i"), x["s"].alias("s"))))
     chosen = F.concat(F.slice(by(F.lit(31), F.col("question_id")), 1, SHARED), F.slice(by(F.lit(37), F.col("question_id"), F.col("run_idx")), 1, 1))
     parts = F.array_sort(F.array_distinct(F.transform(chosen, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s")))))
-    return rows.withColumn("_leads", leads).withColumn("answer", F.array_join(F.transform(parts, lambda x: x["s"]), " ")).drop("_leads")
+    return rows.withColumn("_leads", leads).withColumn(name, parts).drop("_leads")
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +60,13 @@ def answers(rounds: DataFrame, generate: Generator = grounded, runs: int = RUNS)
     return generate(rows).select(*CELL, "run_idx", "answer")
 
 
+def elicited(rounds: DataFrame, generate: Generator = citing, runs: int = RUNS) -> DataFrame:
+    """question_id, iteration_number, run_idx, doc_id: the documents that answers name themselves, by the last CITED list of each; places that the context lacks are dropped, repeated ones count once."""
+    said = answers(rounds, generate, runs).select(*CELL, "run_idx", F.explode(F.array_distinct(T.cited_ids(F.col("answer")))).alias("place"))
+    docs = rounds.select(*CELL, F.posexplode("docs").alias("i", "d")).select(*CELL, (F.col("i") + 1).alias("place"), "d.doc_id")
+    return said.join(docs, [*CELL, "place"]).select(*CELL, "run_idx", "doc_id")
+
+
 class Reruns:
     """A table of answers with one document left out, under (question, round, left-out document); it is appended to and never rewritten."""
 

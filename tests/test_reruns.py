@@ -97,3 +97,17 @@ def test_no_context_and_no_document_left(spark):
 
 def test_recorded_answers_are_still_what_views_give(spark):
     assert V.overlaps(spark, SF).select("run_idx").distinct().count() > 1
+
+
+def test_elicited_documents(spark):
+    df = spark.createDataFrame([(1, 1, "is a?", [(0, "a", "One. x"), (3, "b", "Two! y"), (5, "c", "Three")])], "question_id long, iteration_number long, question_text string, docs array<struct<slot:int,doc_id:string,text:string>>")
+
+    def says(rows):
+        from pyspark.sql import functions as F
+
+        return rows.withColumn("answer", F.when(F.col("run_idx") == 0, "CITED: [1] no, cited: [3, 2, 3, 9, 0]").when(F.col("run_idx") == 1, "CITED: []").otherwise("none"))
+
+    assert sorted(map(tuple, reruns.elicited(df, says, 3).collect())) == [(1, 1, 0, "b"), (1, 1, 0, "c")]
+    own = reruns.answers(df, reruns.citing, 2).collect()
+    plain_ = {r["run_idx"]: r["answer"] for r in reruns.answers(df, reruns.grounded, 2).collect()}
+    assert all(r["answer"].startswith(plain_[r["run_idx"]] + "\nCITED: [1, 2, 3]") for r in own)
