@@ -15,16 +15,19 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 
 def op1_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: every document with its source's size and target and the words taken of it. Edge cases as in the operator."""
     out = mixing.mix(documents(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def op2_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth one. Edge cases as in the operator."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return neighbours.nearest(v, v.where("vec_id % 100 = 0"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from four fifths of the labelled ones. Edge cases as in the operator."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     model = langid.train(docs.where(fold("doc_id", 5) != 0))
     out = langid.identify(docs.select("doc_id", "text"), model)
@@ -32,19 +35,23 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited text's, and their likeness to each other and to the next document's. Edge cases as in the operator."""
     return merkle.compare_with_edits(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size, component and number of links. Edge cases as in the operator."""
     return jaccard.jaccard_join(documents(spark, sf_dir, "doc_id", "text"))[0]
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by four rules. Edge cases as in the operator."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rules)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from three quarters of the labelled ones. Edge cases as in the operator."""
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 4) != 2)
     out = quality.scored(docs, model)
@@ -52,6 +59,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from two thirds of the labelled ones. Edge cases as in the operator."""
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 3) != 1)
     out = toxicity.tag(docs, model).withColumn("score", F.col("toxicity"))
@@ -59,10 +67,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's pieces and of the text that they decode to. Edge cases as in the operator."""
     return pieces.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places, lengths and checksums of every document's ids, read back from the files they were written to. Edge cases as in the operator."""
     return bitplanes.read(spark, bitplanes.write(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("word_bpe_49k.json"), 2))
 
 
