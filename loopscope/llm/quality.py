@@ -18,6 +18,8 @@ from .shared import aside
 BITS = 18
 STEPS = 16
 DIM = (1 << BITS) + 3 * STEPS
+#: Labelled texts of the sample that must hold a feature for it to weigh anything.
+LEAST_TEXTS = 3
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +88,7 @@ class Classifier:
             ind[c][r] += 1
         p, q = ind[1] + 1, ind[0] + 1
         self.scale = np.log((p / p.sum()) / (q / q.sum()))
-        self.scale[(ind[0] + ind[1]) < 3] = 0
+        self.scale[(ind[0] + ind[1]) < LEAST_TEXTS] = 0
         value = [self.scale[r] / np.sqrt(len(r)) for r in rows]
         at = np.flatnonzero(own)
         share = np.bincount(y[own], minlength=2) / own.sum()
@@ -112,7 +114,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", most: int = labelled.SAMPLE_DOCS) -> Classifier:
-    """Fit on about `most` labelled documents of each class among those that `learn` (on doc_id) lets in; the priors are all such labels'."""
+    """Fit on about `most` labelled documents of each class among those that `learn` (on doc_id) lets in; the priors are all such labels'.
+
+    Features that fewer than LEAST_TEXTS of them hold weigh nothing. Null labels, ids and texts are left out, repeated ids count once
+    (`labelled.sample`); with one class or none every score is the same. Other columns of either table are ignored.
+    """
     some, sizes = labelled.sample(docs, labels, label, learn, most)
     got = some.select("text", F.col("y").cast("int").alias("y")).mapInArrow(_features, "f binary, y int").collect()
     got = sorted((bytes(r["f"]), r["y"]) for r in got)

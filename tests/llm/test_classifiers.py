@@ -185,3 +185,36 @@ def test_platt_recovers_a_curve():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * m - 1)))).astype(int)
     a, b = labelled.platt(m, y, np.ones(4000))
     assert abs(a - 2) < 0.25 and abs(b + 1) < 0.25
+
+
+def test_dual_descent_closes_the_gap_and_ratios_are_log_counts():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 6)) + (20 if i % 2 else 0) for i in range(200)]
+    y = np.arange(200) % 2
+    model = quality.Classifier(rows, y, {0: 100, 1: 100})
+    own = np.arange(200) % 5 > 0
+    p, q = np.ones(quality.DIM), np.ones(quality.DIM)
+    for r, c in zip(np.array(rows, object)[own], y[own]):
+        (p if c else q)[r] += 1
+    want = np.log((p / p.sum()) / (q / q.sum()))
+    want[p + q - 2 < quality.LEAST_TEXTS] = 0
+    assert np.allclose(model.scale, want)
+    value = [want[r] / np.sqrt(len(r)) for r in rows]
+    sign, cost = 2.0 * y - 1, np.full(200, 0.3)
+    w = quality.descend(rows, value, sign, cost, rounds=2000)
+    margin = np.array([w[r] @ v + w[-1] for r, v in zip(rows, value)])
+    primal = 0.5 * (w @ w) + (cost * np.maximum(0, 1 - sign * margin)).sum()
+
+    def plain(rounds=60_000):  # subgradient descent on the same objective, its best value
+        x = np.zeros((200, 62))
+        for i, (r, v) in enumerate(zip(rows, value)):
+            x[i, r] = v
+        x[:, -1] = 1
+        u, best = np.zeros(62), np.inf
+        for t in range(rounds):
+            m = sign * (x @ u)
+            best = min(best, 0.5 * u @ u + (cost * np.maximum(0, 1 - m)).sum())
+            u = u - (u - x.T @ (cost * sign * (m < 1))) / (t + 10)
+        return best
+
+    assert primal <= plain() * 1.001
