@@ -10,6 +10,7 @@ from loopscope.functions import text as T
 from loopscope.operators.perturb import _AVOID, _SLOTS, distractor_slots, ranked_substitutes, topics
 from loopscope.operators.qa import matches, targets
 from loopscope.plans import views as V
+from loopscope.plans.lineage import stored
 from loopscope.plans.registry import n, query
 
 CELL = ["question_id", "iteration_number"]
@@ -108,30 +109,61 @@ def equal_topics_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthesized(spark, sf_dir, s, F.expr("j div 2"))
 
 
-_REW, _RK = _sql_planted("text", "gold", "candidate")
+#: Substitutes that are proposed for a question, and that a judge knows.
+PROPOSED = 10
+
+
+def rewrite(text: Column, gold: Column, wrong: Column, seed: Column) -> Column:
+    """A deterministic stand-in for a model that rewrites a passage towards a wrong answer: a third of the passages state one, a third name the right answer after all, the rest come back as they are."""
+    kind = F.pmod(seed, F.lit(3))
+    return F.when((kind == 0) & wrong.isNotNull(), planted(text, gold, wrong)[0]).when(kind == 1, F.concat(text, F.lit(" Some hold that it is "), gold, F.lit("."))).otherwise(text)
+
+
+def asserted(docs: DataFrame, proposals: DataFrame, keys: list[str], text: str = "new") -> DataFrame:
+    """keys (question_id among them) and `asserted`: the first proposal (question_id, rank, candidate) of the question that stands in the text as whole words; a stand-in for the judge that discovers claims. Texts without one give no row."""
+    d = docs.select(*keys, F.concat(F.lit(" "), T.normalize(F.col(text)), F.lit(" ")).alias("_n"))
+    j = d.join(proposals, "question_id").where(F.contains("_n", F.concat(F.lit(" "), T.normalize(F.col("candidate")), F.lit(" "))) & (T.normalize(F.col("candidate")) != ""))
+    return j.groupBy(*keys).agg(F.min_by("candidate", "rank").alias("asserted"))
+
+
+_SEED = "CAST('0x' || substr(md5(concat_ws('|', 47, ch.row_id)), 1, 7) AS BIGINT)"
+_REW, _RK = _sql_planted("text", "gold", "wrong")
+_FALL, _FK = _sql_planted("new", "gold", "candidate")
 
 
 @query(
-    f"WITH {_BASE}, {_chosen(0.5)}, r AS (SELECT ch.*, g.gold, i.target, d.text, ch.row_id % 3 = 0 AND i.target IS NOT NULL AS good FROM ch JOIN gold g USING (question_id) JOIN docs d ON d.row_id = ch.row_id LEFT JOIN injected i ON i.question_id = ch.question_id WHERE g.gold <> ''), "
-    "p AS (SELECT *, max(CAST(good AS INT)) OVER (PARTITION BY question_id, iteration_number) AS used, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY question_id, iteration_number ORDER BY slot) AS place FROM r), "
-    f"x AS (SELECT p.*, candidate FROM p LEFT JOIN sub ON sub.question_id = p.question_id AND sub.rank = p.place + p.used) "
-    f"SELECT question_id, iteration_number, slot, CASE WHEN good THEN target ELSE coalesce(candidate, '') END AS injected, CASE WHEN good THEN 'ok' WHEN candidate IS NULL THEN 'no_error_produced' WHEN {_RK} = 0 THEN 'fallback_appended' ELSE 'fallback_substitution' END AS status, md5(CASE WHEN good OR candidate IS NULL THEN text ELSE {_REW} END) AS digest FROM x"
+    f"WITH {_BASE}, {_chosen(0.5)}, prop AS (SELECT question_id, candidate, rank FROM sub WHERE rank <= {PROPOSED}), many AS (SELECT question_id, count(*) AS m FROM prop GROUP BY 1), "
+    f"r0 AS (SELECT ch.*, g.gold, d.text, {_SEED} % 3 AS kind, {_SEED} // 3 % m + 1 AS at FROM ch JOIN gold g USING (question_id) JOIN docs d ON d.row_id = ch.row_id LEFT JOIN many ON many.question_id = ch.question_id WHERE g.gold <> ''), "
+    f"r1 AS (SELECT r0.*, p.candidate AS wrong FROM r0 LEFT JOIN prop p ON p.question_id = r0.question_id AND p.rank = r0.at), r AS (SELECT *, CASE WHEN kind = 0 AND wrong IS NOT NULL THEN {_REW} WHEN kind = 1 THEN text || ' Some hold that it is ' || gold || '.' ELSE text END AS new FROM r1), "
+    f"nm AS (SELECT question_id, iteration_number, slot, ' ' || {V.sql_norm('new')} || ' ' AS t FROM r), said AS (SELECT nm.question_id, iteration_number, slot, arg_min(candidate, rank) AS asserted FROM nm JOIN prop p ON p.question_id = nm.question_id AND contains(t, ' ' || {V.sql_norm('candidate')} || ' ') AND {V.sql_norm('candidate')} <> '' GROUP BY ALL), "
+    "z AS (SELECT r.*, asserted FROM r LEFT JOIN said USING (question_id, iteration_number, slot)), pend AS (SELECT question_id, iteration_number, slot, row_number() OVER (PARTITION BY question_id, iteration_number ORDER BY slot) AS place FROM z WHERE asserted IS NULL), "
+    "free AS (SELECT question_id, iteration_number, candidate, row_number() OVER (PARTITION BY question_id, iteration_number ORDER BY rank) AS place FROM (SELECT DISTINCT question_id, iteration_number FROM z) JOIN prop USING (question_id) ANTI JOIN (SELECT question_id, iteration_number, asserted AS candidate FROM z WHERE asserted IS NOT NULL) USING (question_id, iteration_number, candidate)), "
+    "x AS (SELECT z.*, candidate FROM z LEFT JOIN pend USING (question_id, iteration_number, slot) LEFT JOIN free USING (question_id, iteration_number, place)) "
+    f"SELECT question_id, iteration_number, slot, coalesce(asserted, candidate, '') AS injected, CASE WHEN asserted IS NOT NULL THEN 'ok' WHEN candidate IS NULL THEN 'no_error_produced' WHEN {_FK} = 0 THEN 'fallback_appended' ELSE 'fallback_substitution' END AS status, md5(CASE WHEN asserted IS NOT NULL OR candidate IS NULL THEN new ELSE {_FALL} END) AS digest FROM x"
 )
 def rewrite_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rewritten documents whose discovered claim is wrong are kept; the others (the right answer, or no claim) get a substitute that no kept one states, or stay as they are.
+    """Chosen documents are rewritten, and a judge looks for the wrong answer that each now states.
 
-    A rewrite leaves the text here, and the judge finds the question's first substitute in every third document.
+    Those that state one are kept with it. The others (the right answer, or none) get, slot by slot, a proposed substitute
+    that no kept one of the round states; where these run out, they stay as they were rewritten.
     """
-    s = chosen(distractor_slots(spark, sf_dir, 0.5)).join(targets(spark, sf_dir), "question_id").join(V.context_docs(spark, sf_dir).select("row_id", "text"), "row_id")
-    s = s.withColumn("good", (F.col("row_id") % 3 == 0) & F.col("target").isNotNull())
+    proposals = ranked_substitutes(spark, sf_dir).where(F.col("rank") <= PROPOSED).select("question_id", "rank", "candidate")
+    many = proposals.groupBy("question_id").agg(F.count(F.lit(1)).alias("m"))
+    s = chosen(distractor_slots(spark, sf_dir, 0.5)).join(targets(spark, sf_dir).select("question_id", "gold"), "question_id").join(V.context_docs(spark, sf_dir).select("row_id", "text"), "row_id").join(many, "question_id", "left")
+    s = s.withColumn("seed", F.conv(F.substring(stats.keyed_order(F.lit(47), F.col("row_id")), 1, 7), 16, 10).cast("long"))
+    s = s.withColumn("rank", (F.expr("seed div 3") % F.col("m") + 1).cast("int")).join(proposals.withColumnRenamed("candidate", "wrong"), ["question_id", "rank"], "left").drop("rank")
+    s = stored(s.select(*CELL, "slot", "gold", rewrite(F.col("text"), F.col("gold"), F.col("wrong"), F.col("seed")).alias("new")))
+    z = s.join(asserted(s, proposals, [*CELL, "slot"]), [*CELL, "slot"], "left")
+    kept = z.where("asserted is not null").select(*CELL, F.col("asserted").alias("candidate"))
+    free = z.select(*CELL).distinct().join(proposals, "question_id").join(kept, [*CELL, "candidate"], "left_anti")
     w = Window.partitionBy(*CELL)
-    place = F.sum(F.when(F.col("good"), 0).otherwise(1)).over(w.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    s = s.withColumn("rank", (place + F.max(F.col("good").cast("int")).over(w)).cast("int"))
-    s = s.join(ranked_substitutes(spark, sf_dir).select("question_id", "rank", F.col("candidate").alias("sub")), ["question_id", "rank"], "left")
-    new, k = planted(F.col("text"), F.col("gold"), F.col("sub"))
-    kept = F.col("good") | F.col("sub").isNull()
-    status = F.when(F.col("good"), "ok").when(F.col("sub").isNull(), "no_error_produced").when(k == 0, "fallback_appended").otherwise("fallback_substitution")
-    return s.select(*CELL, "slot", F.when(F.col("good"), F.col("target")).otherwise(F.coalesce("sub", F.lit(""))).alias("injected"), status.alias("status"), F.md5(F.when(kept, F.col("text")).otherwise(new)).alias("digest"))
+    free = free.withColumn("place", F.row_number().over(w.orderBy("rank"))).select(*CELL, "place", F.col("candidate").alias("sub"))
+    z = z.withColumn("place", F.when(F.col("asserted").isNull(), F.sum(F.col("asserted").isNull().cast("int")).over(w.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    z = z.join(free, [*CELL, "place"], "left")
+    fallback, k = planted(F.col("new"), F.col("gold"), F.col("sub"))
+    ok, none = F.col("asserted").isNotNull(), F.col("sub").isNull()
+    status = F.when(ok, "ok").when(none, "no_error_produced").when(k == 0, "fallback_appended").otherwise("fallback_substitution")
+    return z.select(*CELL, "slot", F.coalesce("asserted", "sub", F.lit("")).alias("injected"), status.alias("status"), F.md5(F.when(ok | none, F.col("new")).otherwise(fallback)).alias("digest"))
 
 
 @query(f"WITH {_BASE}, {_chosen(0.3)}, noise AS (SELECT question_id, row_id AS noise_id, row_number() OVER (PARTITION BY question_id ORDER BY md5(concat_ws('|', 23, question_id, row_id)), row_id) - 1 AS i, count(*) OVER (PARTITION BY question_id) AS m FROM docs WHERE iteration_number = 4 AND NOT is_ai) SELECT ch.question_id, ch.iteration_number, slot, noise_id, 'native' AS status FROM ch JOIN noise ON noise.question_id = ch.question_id AND i = j % m")
