@@ -101,16 +101,18 @@ def injection_summary(spark: SparkSession, sf_dir: str, inject_round: int = 1) -
 
 
 @query(
-    f"WITH {V.ENTS}, {V.GOLD}, s AS (SELECT question_id, list_distinct(list(e)) AS seeded FROM (SELECT question_id, unnest(ents) AS e FROM ents WHERE run_idx = 0) GROUP BY 1), m AS (SELECT question_id, iteration_number, {V.sql_norm('answer')} AS a, len(list_filter(seeded, lambda e: contains(' ' || {V.sql_norm('answer')} || ' ', ' ' || e || ' '))) > 0 AS adopts, {V.sql_contains('answer', 'gold')} AS is_gold FROM runs JOIN s USING (question_id) JOIN gold USING (question_id)) "
-    "SELECT question_id, iteration_number, round(avg(CAST(adopts AS DOUBLE)), 6) AS adoption, round(avg(CAST(is_gold AS DOUBLE)), 6) AS gold_match, count(DISTINCT CASE WHEN a <> '' THEN a END) AS distinct_answers, round(avg(CASE WHEN a <> '' AND NOT adopts AND NOT is_gold THEN 1.0 ELSE 0 END), 6) AS offtarget FROM m GROUP BY ALL"
+    f"WITH {V.ENTS}, {V.GOLD}, {V.DOCS}, cond AS (SELECT question_id, iteration_number, max(CAST(is_ai AS DOUBLE)) AS c FROM docs GROUP BY ALL), s AS (SELECT question_id, list_distinct(list(e)) AS seeded FROM (SELECT question_id, unnest(ents) AS e FROM ents WHERE run_idx = 0) GROUP BY 1), m AS (SELECT question_id, iteration_number, {V.sql_norm('answer')} AS a, len(list_filter(seeded, lambda e: contains(' ' || {V.sql_norm('answer')} || ' ', ' ' || e || ' '))) > 0 AS adopts, {V.sql_contains('answer', 'gold')} AS is_gold FROM runs JOIN s USING (question_id) JOIN gold USING (question_id)) "
+    "SELECT question_id, iteration_number, round(avg(CAST(adopts AS DOUBLE)), 6) AS adoption, round(avg(CAST(is_gold AS DOUBLE)), 6) AS gold_match, count(DISTINCT CASE WHEN a <> '' THEN a END) AS distinct_answers, round(avg(CASE WHEN a <> '' AND NOT adopts AND NOT is_gold THEN 1.0 ELSE 0 END), 6) AS offtarget, coalesce(any_value(c), 0) AS condition FROM m LEFT JOIN cond USING (question_id, iteration_number) GROUP BY ALL"
 )
 def distractor_round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of answers that adopt any seeded entity, that match gold, that do neither, and the number of distinct answers."""
+    """Share of answers that adopt any seeded entity, that match gold, that do neither, the number of distinct answers, and whether the round's context holds a seeded (here: generated) document."""
     seeded = V.entities(spark, sf_dir).where("run_idx = 0").select("question_id", F.explode("ents").alias("e")).groupBy("question_id").agg(F.collect_set("e").alias("seeded"))
     m = V.runs(spark, sf_dir).join(seeded, "question_id").join(V.gold(spark, sf_dir), "question_id").withColumn("a", T.normalize(F.col("answer")))
     m = m.withColumn("adopts", F.exists("seeded", lambda e: F.contains(F.concat(F.lit(" "), F.col("a"), F.lit(" ")), F.concat(F.lit(" "), e, F.lit(" "))))).withColumn("is_gold", T.contains_entity(F.col("answer"), F.col("gold")))
     off = ((F.col("a") != "") & ~F.col("adopts") & ~F.col("is_gold")).cast("double")
-    return m.groupBy(*CELL).agg(r6(F.avg(F.col("adopts").cast("double")), "adoption"), r6(F.avg(F.col("is_gold").cast("double")), "gold_match"), n(F.countDistinct(F.when(F.col("a") != "", F.col("a"))), "distinct_answers"), r6(F.avg(off), "offtarget"))
+    cond = V.context_docs(spark, sf_dir).groupBy(*CELL).agg(F.max(F.col("is_ai").cast("double")).alias("c"))
+    out = m.groupBy(*CELL).agg(r6(F.avg(F.col("adopts").cast("double")), "adoption"), r6(F.avg(F.col("is_gold").cast("double")), "gold_match"), n(F.countDistinct(F.when(F.col("a") != "", F.col("a"))), "distinct_answers"), r6(F.avg(off), "offtarget"))
+    return out.join(cond, CELL, "left").withColumn("condition", F.coalesce("c", F.lit(0.0))).drop("c")
 
 
 @query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
