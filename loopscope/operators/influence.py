@@ -9,7 +9,7 @@ from loopscope.functions import stats
 from loopscope.functions import text as T
 from loopscope.functions import vectors
 from loopscope.operators import reruns
-from loopscope.operators.attribution import citations
+from loopscope.operators.attribution import answered, citations
 from loopscope.plans import views as V
 from loopscope.plans.registry import n, query, r6
 
@@ -268,3 +268,24 @@ def mean_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = v.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(1000)))).withColumn("w", stats.poisson_weight(F.lit(21), F.col("question_id"), F.col("rep")))
     m = r.groupBy("rep").agg(F.try_divide(F.sum(F.col("y") * F.col("w")), F.sum("w")).alias("m")).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
     return v.agg(r6(F.avg("y"), "mean"), n(F.count(F.lit(1)), "n")).crossJoin(F.broadcast(m)).select("mean", r6("lo", "lo"), r6("hi", "hi"), "n")
+
+
+_OF = "CASE WHEN question_id % 2 = 0 THEN 'search' ELSE 'replace_one' END AS variant"
+_BY = "CASE WHEN run_idx % 2 = 0 THEN 'main' ELSE 'side' END AS model"
+
+
+@query(
+    f"WITH {_with_rates()}, ctx AS (SELECT {_OF}, iteration_number, avg(CAST(is_ai AS INT)) AS available FROM docs SEMI JOIN questions USING (question_id) GROUP BY ALL), cit AS (SELECT {_OF}, {_BY}, iteration_number, avg(CAST(is_ai AS INT)) AS share, count(*) AS n FROM cited GROUP BY ALL), "
+    f"ans AS (SELECT {_OF}, {_BY}, iteration_number, count(DISTINCT w) AS words FROM (SELECT question_id, run_idx, iteration_number, unnest({V.sql_words('answer')}) AS w FROM said WHERE removed IS NULL) GROUP BY ALL) "
+    "SELECT model, variant, iteration_number, round(available, 6) AS available, round(share, 6) AS cited, round(share / nullif(available, 0), 6) AS observed_to_expected, n AS n_citations, words AS unique_words FROM cit JOIN ctx USING (variant, iteration_number) LEFT JOIN ans USING (variant, model, iteration_number)"
+)
+def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed over expected citations of generated documents, and the answers' different words, by model, variant and round."""
+    of = F.when(F.col("question_id") % 2 == 0, "search").otherwise("replace_one").alias("variant")
+    by = F.when(F.col("run_idx") % 2 == 0, "main").otherwise("side").alias("model")
+    docs = V.context_docs(spark, sf_dir).join(V.questions(spark, sf_dir), "question_id", "left_semi")
+    ctx = docs.groupBy(of, "iteration_number").agg(F.avg(F.col("is_ai").cast("int")).alias("a"))
+    cit = citations(spark, sf_dir).groupBy(of, by, "iteration_number").agg(F.avg(F.col("is_ai").cast("int")).alias("s"), n(F.count(F.lit(1)), "n_citations"))
+    w = answered(spark, sf_dir).select(of, by, "iteration_number", F.explode(T.words(F.col("answer"))).alias("w")).groupBy("variant", "model", "iteration_number").agg(n(F.countDistinct("w"), "unique_words"))
+    out = cit.join(ctx, ["variant", "iteration_number"]).join(w, ["variant", "model", "iteration_number"], "left")
+    return out.select("model", "variant", "iteration_number", r6("a", "available"), r6("s", "cited"), r6(F.try_divide("s", "a"), "observed_to_expected"), "n_citations", "unique_words")

@@ -47,7 +47,7 @@ def classified(files: DataFrame, path: str = "path") -> DataFrame:
             out = F.when(F.contains(name, F.lit(v[0])), F.lit(v[at])).otherwise(out)
         return out
 
-    return files.withColumns({"variant": first(1, "misc"), "method": first(2, "misc"), "config": first(3, None), "benchmark": F.when(F.contains(low, F.lit("hotpot")), "hotpotqa").otherwise("graphite")})
+    return files.withColumns({"variant": first(1, "misc"), "method": first(2, "misc"), "config": first(3, None), "benchmark": F.when(F.contains(low, F.lit("hotpot")), "hotpotqa").otherwise("other")})
 
 
 def ends(files: DataFrame, head: int = HEAD, tail: int = TAIL) -> DataFrame:

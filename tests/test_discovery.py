@@ -48,4 +48,4 @@ def test_problems_of_files(spark, tmp_path):
 def test_classes_by_path(spark):
     rows = ["/x/HotpotQA/Replace_One_paraphrased.json", "/x/rerank/r.json", "/search/deep/er/z.json", "agentic_rag"]
     got = [tuple(r) for r in discovery.classified(spark.createDataFrame([(r,) for r in rows], "path string")).select("variant", "method", "config", "benchmark").collect()]
-    assert got == [("replace_one_paraphrase", "paraphrase", "replace_one", "hotpotqa"), ("rerank", "rerank", None, "graphite"), ("misc", "misc", None, "graphite"), ("agentic_rag", "agentic_rag", None, "graphite")]
+    assert got == [("replace_one_paraphrase", "paraphrase", "replace_one", "hotpotqa"), ("rerank", "rerank", None, "other"), ("misc", "misc", None, "other"), ("agentic_rag", "agentic_rag", None, "other")]
