@@ -47,7 +47,23 @@ def cluster_scores_cr0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("cluster").agg(r6(F.sum("e"), "score0"), r6(F.sum(F.col("x2") * F.col("e")), "score1"))
 
 
-@query()
+def _sandwich(*i: str) -> str:
+    """i M i' for a row of the inverse and the symmetric middle m00, m01, ..., m22."""
+    terms = [f"{i[j]} * {i[k]} * m{min(j, k)}{max(j, k)}" for j in range(3) for k in range(3)]
+    return f"sqrt(greatest({' + '.join(terms)}, 0))"
+
+
+_CR0 = (
+    f"{_X}, s AS (SELECT sum(x0 * x0) AS a, sum(x0 * x1) AS b, sum(x0 * x2) AS c, sum(x1 * x1) AS d, sum(x1 * x2) AS e, sum(x2 * x2) AS f, sum(x0 * y) AS p, sum(x1 * y) AS q, sum(x2 * y) AS r FROM x), "
+    "det AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS z FROM s), "
+    "inv AS (SELECT p, q, r, (d * f - e * e) / z AS i00, (c * e - b * f) / z AS i01, (b * e - c * d) / z AS i02, (a * f - c * c) / z AS i11, (b * c - a * e) / z AS i12, (a * d - b * b) / z AS i22 FROM det), "
+    "fit AS (SELECT *, i00 * p + i01 * q + i02 * r AS b0, i01 * p + i11 * q + i12 * r AS b1, i02 * p + i12 * q + i22 * r AS b2 FROM inv), "
+    "res AS (SELECT cluster, x0, x1, x2, y - b0 * x0 - b1 * x1 - b2 * x2 AS u FROM x, fit), g AS (SELECT sum(x0 * u) AS g0, sum(x1 * u) AS g1, sum(x2 * u) AS g2 FROM res GROUP BY cluster), "
+    "m AS (SELECT sum(g0 * g0) AS m00, sum(g0 * g1) AS m01, sum(g0 * g2) AS m02, sum(g1 * g1) AS m11, sum(g1 * g2) AS m12, sum(g2 * g2) AS m22 FROM g)"
+)
+
+
+@query(f"WITH {_CR0} " + " UNION ALL ".join(f"SELECT 'x{k}' AS term, round(b{k}, 6) AS coefficient, round({_sandwich(*(f'i{min(k, j)}{max(k, j)}' for j in range(3)))}, 6) AS cr0_error FROM fit, m" for k in range(3)))
 def cluster_robust_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients with cluster-robust (CR0) errors: two passes of sums, a 3 x 3 solve on the driver."""
     x = design(spark, sf_dir)
@@ -59,7 +75,7 @@ def cluster_robust_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = g.agg(*[F.sum(F.col(p) * F.col(q)).alias(f"{p}_{q}") for i, p in enumerate(COLS) for q in COLS[i:]]).first()
     meat = np.array([[m[f"{min(p, q)}_{max(p, q)}"] for q in COLS] for p in COLS], float)
     se = np.sqrt(np.maximum(np.diag(a @ meat @ a), 0))
-    return spark.createDataFrame([(c, float(b), float(s)) for c, b, s in zip(COLS, beta, se)], "term string, coefficient double, cr0_error double")
+    return spark.createDataFrame([(c, round(float(b), 6), round(float(s), 6)) for c, b, s in zip(COLS, beta, se)], "term string, coefficient double, cr0_error double")
 
 
 _BOOT = f"{_X}, per AS (SELECT cluster, sum(CASE WHEN x1 = 0 THEN y ELSE 0 END) AS s0, sum(CASE WHEN x1 = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN x1 = 1 THEN y ELSE 0 END) AS s1, sum(CASE WHEN x1 = 1 THEN 1 ELSE 0 END) AS n1 FROM x GROUP BY 1), r AS (SELECT *, unnest(range(1, 1001)) AS rep FROM per), u AS (SELECT *, (CAST('0x' || substr(md5(concat_ws('|', 9, cluster, rep)), 1, 7) AS BIGINT) + 0.5) / 268435456.0 AS u FROM r), w AS (SELECT *, list_sum([CASE WHEN u > c THEN 1 ELSE 0 END for c in [{', '.join(f'{c:.12f}' for c in stats.POISSON)}]]) AS w FROM u), d AS (SELECT sum(s1 * w) / nullif(sum(n1 * w), 0) - sum(s0 * w) / nullif(sum(n0 * w), 0) AS d FROM w GROUP BY rep), o AS (SELECT avg(d) AS m, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi, avg(CASE WHEN d IS NULL THEN NULL WHEN d > 0 THEN 1.0 ELSE 0 END) AS p FROM d)"

@@ -124,7 +124,7 @@ def test_cluster_robust_errors_against_numpy(spark):
         s = a[x["cluster"] == g].T @ e[x["cluster"] == g]
         meat += np.outer(s, s)
     got = inference.cluster_robust_ols(spark, sf).toPandas()
-    assert np.allclose(got["coefficient"], beta) and np.allclose(got["cr0_error"], np.sqrt(np.diag(inv @ meat @ inv)))
+    assert np.allclose(got["coefficient"], beta, atol=1e-6) and np.allclose(got["cr0_error"], np.sqrt(np.diag(inv @ meat @ inv)), atol=1e-6)
 
 
 def test_temporal_similarity_equals_plain(spark):
