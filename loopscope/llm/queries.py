@@ -104,7 +104,24 @@ LOWERED = f"translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOW
 #: Words of letters and digits, and letters alone, as the operators cut them.
 ALNUM, LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Words of the 5-word shingles: everything but white space.
+SPACED = r"[^\x20\x09-\x0D]+"
+
 ORACLE: dict[str, str] = {
+    "op5_ngram_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{SPACED}') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) >= 5 THEN list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i : i + 4], ' ')) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+one AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+link AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
+many AS (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a),
+sets AS (SELECT doc_id, list(g ORDER BY g) AS gs FROM s GROUP BY doc_id),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY gs) AS class_id FROM sets)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(class_id, d.doc_id) AS class_id, component_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN n USING (doc_id) JOIN least USING (doc_id) LEFT JOIN many USING (doc_id) LEFT JOIN class USING (doc_id)
+""",
     "op13_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS l FROM documents),
 i AS (SELECT item_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS l FROM benchmark),
