@@ -248,14 +248,14 @@ def attenuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(r6("a", "alone"), r6("b", "controlled"), F.round(100 * (1 - F.try_divide("b", "a")), 4).alias("attenuation"), n(F.col("n"), "n"))
 
 
-@query(f"WITH {_with_rates()}, m AS (SELECT avg(rate) AS mu, stddev_pop(rate) AS sd FROM rates), p AS (SELECT row_id, rate, row_number() OVER (PARTITION BY question_id, iteration_number ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY question_id, iteration_number) AS k FROM rates) SELECT row_id, round((rate - mu) / (sd + 1e-9), 5) AS z, round(1.0 * pos / greatest(k - 1, 1), 6) AS position FROM p, m")
+@query(f"WITH {_with_rates()}, m AS (SELECT avg(rate) AS mu, stddev_pop(rate) AS sd FROM rates), p AS (SELECT row_id, rate, row_number() OVER (PARTITION BY question_id, iteration_number ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY question_id, iteration_number) AS k FROM rates) SELECT row_id, round((rate - mu) / (sd + 1e-9), 5) + 0.0 AS z, round(1.0 * pos / greatest(k - 1, 1), 6) AS position FROM p, m")
 def standard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """z-scores by the population deviation, and a document's place in its context from 0 to 1."""
+    """z-scores by the population deviation (never a negative zero), and a document's place in its context from 0 to 1."""
     r = citation_rates(spark, sf_dir).select(*CELL, "row_id", "doc_id", "rate")
     m = F.broadcast(r.agg(F.avg("rate").alias("mu"), F.stddev_pop("rate").alias("sd")))  # one row
     w = Window.partitionBy(*CELL)
     p = r.withColumns({"pos": F.row_number().over(w.orderBy("doc_id")) - 1, "k": F.count(F.lit(1)).over(w)}).crossJoin(m)
-    return p.select("row_id", F.round((F.col("rate") - F.col("mu")) / (F.col("sd") + 1e-9), 5).alias("z"), r6(F.col("pos") / F.greatest(F.col("k") - 1, F.lit(1)), "position"))
+    return p.select("row_id", (F.round((F.col("rate") - F.col("mu")) / (F.col("sd") + 1e-9), 5) + 0.0).alias("z"), r6(F.col("pos") / F.greatest(F.col("k") - 1, F.lit(1)), "position"))
 
 
 _WEIGHT = "list_sum([CASE WHEN u > c THEN 1 ELSE 0 END for c in [{}]])".format(", ".join(f"{c:.12f}" for c in stats.POISSON))
