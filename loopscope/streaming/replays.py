@@ -38,7 +38,7 @@ def streamed_round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = V.runs(spark, sf_dir)
     for r in [x[0] for x in runs.select("iteration_number").distinct().orderBy("iteration_number").collect()]:  # a few rounds
         runs.where(F.col("iteration_number") == r).coalesce(1).write.mode("append").parquet(f"{base}/answers")
-    stream = rounds.answer_stream(spark, f"{base}/answers", runs.schema)
+    stream = rounds.answer_stream(spark, f"{base}/answers", runs.schema, 1)
     rounds.start_round_metrics(stream, f"{base}/out", f"{base}/state").awaitTermination()
     got = spark.read.schema("question_id long, iteration_number long, unique_words long, n_runs long, epoch int").parquet(f"{base}/out")
     return got.select("question_id", "iteration_number", "unique_words", "n_runs")

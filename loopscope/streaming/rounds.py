@@ -15,9 +15,10 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("w.start", "event_type", "n", "total")
 
 
-def answer_stream(spark: SparkSession, path: str, schema: str | StructType, files: int = 1) -> DataFrame:
-    """Answers as their files arrive, so many files a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def answer_stream(spark: SparkSession, path: str, schema: str | StructType, files: int | None = None) -> DataFrame:
+    """Answers as their files arrive, `files` a batch or all that are there."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def start_round_metrics(answers: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
