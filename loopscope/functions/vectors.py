@@ -22,8 +22,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def hashed_embedding(tokens: Column, dims: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed token counts by hash, L2-normalised."""
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int")
-    sign = lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(tokens, lambda t: slot(t) == i), F.lit(0.0), lambda s, t: s + sign(t)))
-    n = norm(raw)
-    return F.transform(raw, lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    code = lambda t: (F.pmod(F.xxhash64(t), F.lit(dims)) + 1) * F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1).otherwise(-1)
+    once = lambda c, f: F.transform(F.array(c), f)[0]  # noqa: E731  a lambda's variable is evaluated once, an expression in it each time
+    count = lambda cs, i: F.size(F.filter(cs, lambda c: c == i)).cast("double")
+    raw = once(F.transform(tokens, code), lambda cs: F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: count(cs, i) - count(cs, -i)))
+    both = once(raw, lambda r: F.struct(r.alias("r"), norm(r).alias("n")))
+    return once(both, lambda b: F.transform(b["r"], lambda x: x / F.when(b["n"] == 0, 1.0).otherwise(b["n"])))
