@@ -31,7 +31,7 @@ def given(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return c.groupBy(F.expr("conv_id div 10").alias("question_id")).agg(F.min_by("text", F.struct("conv_id", "turn")).alias("question_text"))
+    return c.groupBy(F.expr("conv_id div 10").alias("question_id")).agg(F.min_by("text", F.when(F.col("text").isNotNull(), F.struct("conv_id", F.col("turn").isNull(), "turn"))).alias("question_text"))
 
 
 def context_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
