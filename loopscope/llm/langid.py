@@ -17,8 +17,8 @@ from .shared import aside, named, staged
 
 #: Units of the longest gram; a gram is four UTF-16 units in one 64-bit key (letters beyond U+FFFF are two units).
 ORDER = 4
-#: Labelled documents of each language from which the rejection bounds and the score's scale are taken.
-CALIBRATION_DOCS = 2000
+#: Cross-entropies are counted in bins of so many nats for the rejection bounds; the scales that the score tries.
+BIN, SCALES = 1e-4, 2.0 ** np.arange(0, 9)
 SPACE = 32
 
 
@@ -178,19 +178,14 @@ class Identifier:
         """Cross-entropy beyond which a text of n characters is rejected: short texts vary more."""
         return self.most[lang] * (1 + 3 / np.sqrt(np.maximum(n, 1)))
 
-    def calibrate(self, entropy: np.ndarray, n: np.ndarray, truth: np.ndarray) -> None:
-        """Bounds for rejection, and the scale that gives the true languages of the sample the greatest likelihood."""
-        for i in range(len(self.langs)):
-            own = entropy[(truth == i) & (n > 0), i]
-            if len(own):
-                self.most[i] = 1.15 * np.quantile(own, 0.999)
-        gap = entropy - entropy.min(1, keepdims=True)
-        best = -math.inf
-        for scale in 2.0 ** np.arange(0, 9):
-            z = -scale * gap
-            fit = (z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(1)))[n > 0].sum()
-            if fit > best:
-                best, self.scale = fit, float(scale)
+    def calibrate(self, own: list[tuple[np.ndarray, np.ndarray]], fits: np.ndarray) -> None:
+        """Bounds for rejection from the counts of each language's own texts by cross-entropy (in BIN, ascending), and the scale with the greatest sum of log-likelihoods."""
+        for i, (e, n) in enumerate(own):
+            if len(e):
+                place, upto = 0.999 * (n.sum() - 1), np.cumsum(n)
+                lo, hi = (e[np.searchsorted(upto, k, "right")] * BIN for k in (math.floor(place), math.ceil(place)))
+                self.most[i] = 1.15 * (lo + (hi - lo) * (place - math.floor(place)))
+        self.scale = float(SCALES[np.argmax(fits)])
 
     def answer(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         e, n = self.entropies(texts)
@@ -202,15 +197,35 @@ class Identifier:
         return [None if z else self.langs[i] for i, z in zip(best, none)], np.where(none, 0.0, score), own, rejected
 
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> Identifier | None:
+def _measured(batches: Iterator[pa.RecordBatch], model: Identifier) -> Iterator[pa.RecordBatch]:
+    """at, bin, n of (lang, text): how many of the partition's texts of each language have which own cross-entropy; and fits, the sums of the true languages' log-likelihoods by scale, in one row with at -1."""
+    at_of = {x: i for i, x in enumerate(model.langs)}
+    held, fits = np.zeros((0, 3), "i8"), np.zeros(len(SCALES))
+    for part in _pieces(batches, 1):
+        e, n = model.entropies(part.column(1))
+        at = np.array([at_of.get(x, -1) for x in part.column(0).to_pylist()], "i8")
+        some = (at >= 0) & (n > 0)
+        e, at = e[some], at[some]
+        gap = e - e.min(1, keepdims=True)
+        true = np.arange(len(at))
+        fits += [(-x * gap[true, at] - np.log(np.exp(-x * gap).sum(1))).sum() for x in SCALES]
+        new = np.column_stack([at, np.rint(e[true, at] / BIN).astype("i8"), np.ones(len(at), "i8")])
+        kinds, back = np.unique(np.concatenate([held, new])[:, :2], axis=0, return_inverse=True)
+        held = np.column_stack([kinds, np.bincount(back.ravel(), np.concatenate([held, new])[:, 2], len(kinds)).astype("i8")])
+    rows = np.concatenate([held, [[-1, 0, 0]]])
+    yield pa.RecordBatch.from_arrays([*map(pa.array, rows.T.copy()), pa.array([None] * len(held) + [fits.tolist()], pa.list_(pa.float64()))], names=["at", "bin", "n", "fits"])
+
+
+def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> Identifier | None:
     """Counts over all rows with a language and a text; None where there is none.
 
     Grams are counted partition by partition and summed in a shuffle of one row a partition, language and gram.
     The summed table comes to the driver whole: it holds the kinds of four-letter sequences, not the corpus, but no
-    bound is set on it, as dropping rare grams would change discounts and continuation counts. Rejection bounds and the score's scale come from CALIBRATION_DOCS documents a language.
+    bound is set on it, as dropping rare grams would change discounts and continuation counts. Rejection bounds and the score's scale come from
+    all these rows as well: a second pass counts them by cross-entropy in bins of BIN nats, and counts and sums alone reach the driver.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
-    counts = rows.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = staged(counts, "grams")
     got = counts.toArrow()
     if not len(got):
@@ -218,22 +233,12 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     names = np.array(got["lang"].to_pylist(), object)
     keys, n = got["gram"].to_numpy().view("u8"), got["n"].to_numpy()
     out = Identifier({x: (keys[names == x], n[names == x]) for x in set(names)})
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    odds = F.create_map(*[F.lit(x) for k, c in sizes.items() for x in (k, min(1.0, CALIBRATION_DOCS / c))])[F.col("lang")]
-    some = rows.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1_000_000)) < odds * 1_000_000).select("lang", "text")
     sent = docs.sparkSession.sparkContext.broadcast(out)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for part in _pieces(batches, 1):
-            e, n = m.entropies(part.column(1))
-            at = [m.langs.index(x) if x in m.langs else -1 for x in part.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64()), pa.array(list(e), pa.list_(pa.float64()))], names=["at", "n", "e"])
-
-    got = some.mapInArrow(measure, "at int, n long, e array<double>").where("at >= 0 and n > 0").toArrow()
-    if len(got):
-        out.calibrate(np.array(got["e"].to_pylist()), got["n"].to_numpy(), got["at"].to_numpy())
-    del got, keys, n, names
+    sums = F.struct(*[F.sum(F.col("fits")[i]).alias(f"f{i}") for i in range(len(SCALES))])
+    got = rows.mapInArrow(lambda batches: _measured(batches, sent.value), "at long, bin long, n long, fits array<double>").groupBy("at", "bin").agg(F.sum("n").alias("n"), sums.alias("fits")).orderBy("at", "bin").toArrow()
+    at, bins, n = (got[c].to_numpy() for c in ("at", "bin", "n"))
+    out.calibrate([(bins[at == i], n[at == i]) for i in range(len(out.langs))], np.array(list(got["fits"][0].as_py().values())) if len(got) else np.zeros(1))
+    del got, keys, n, names, at, bins
     trim()
     return out
 

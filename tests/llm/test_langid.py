@@ -122,3 +122,17 @@ def test_no_gram_is_dropped(docs, monkeypatch):
     model = langid.train(docs([(i, t, "en", "s") for i, t in enumerate(texts)]))
     keys, _ = langid.grams(pa.array(texts))
     assert model.table.n == len(np.unique(keys)) > 50
+
+
+def test_bounds_and_scale_come_from_all_rows(docs):
+    rows = [(i, t, lang, "s") for lang, words in (("en", EN), ("de", DE)) for i, t in enumerate(sentences(words, 3000, len(lang + words[0])))]
+    rng = random.Random(5)
+    rows += [(9000 + i, " ".join("".join(rng.choices("qxzjvkw", k=5)) if rng.random() < i / 40 else rng.choice(EN) for _ in range(12)), "en", "s") for i in range(40)]
+    model = langid.train(docs(rows))
+    e, n = model.entropies(pa.array([r[1] for r in rows]))
+    truth = np.array([model.langs.index(r[2]) for r in rows])
+    for i in range(2):
+        assert model.most[i] == pytest.approx(1.15 * np.quantile(e[truth == i, i], 0.999), abs=1.2e-4)
+    gap = e - e.min(1, keepdims=True)
+    fits = [(-s * gap[np.arange(len(e)), truth] - np.log(np.exp(-s * gap).sum(1))).sum() for s in 2.0 ** np.arange(9)]
+    assert model.scale == 2.0 ** np.argmax(fits)
