@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -136,3 +137,12 @@ def test_sentencepiece_stage_against_the_library(spark):
     got = corpus_pipeline.encode_pieces(spark, _odd(spark), SF)
     assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == sorted(want)
     assert corpus_pipeline.encode_pieces(spark, _odd(spark).limit(0), SF).count() == 0
+
+
+def test_language_bounds_come_from_all_rows(spark, docs):
+    rng = random.Random(3)
+    plain = [(i, " ".join(rng.choices("the quick brown fox jumps over a lazy dog".split(), k=200)), "en", "s") for i in range(7500)]
+    learned = [i for i in range(100_000, 101_000) if zlib.crc32(str(i).encode()) % 5][:9]
+    odd = [(i, " ".join("".join(rng.choices("qxzjvkw", k=5)) for _ in range(200)), "en", "s") for i in learned]  # more than a thousandth of what is learned from
+    kept = corpus_pipeline.keep_known_languages(spark, docs(plain + odd), "")
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} >= set(learned)
