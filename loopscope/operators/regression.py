@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,16 +56,77 @@ def regression_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row_id", F.col("rate").cast("double").alias("y"), *[c.alias(k) for k, c in kinds.items()], *[F.col(c).cast("double").alias(c) for c in DIMENSIONS])
 
 
+#: MD5's additive constants and shifts; where rows of as many replicates are hashed at once.
+_ADD = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_TURN = [t for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in four * 4]
+ROWS_AT_ONCE = 32
+
+
+def _heads(text: np.ndarray) -> np.ndarray:
+    """The first four bytes, as a number, of the MD5 of each of many messages of one length (... x bytes, 55 at most)."""
+    size = text.shape[-1]
+    block = np.zeros((*text.shape[:-1], 64), "u1")
+    block[..., :size], block[..., size] = text, 128
+    block[..., 56:58] = size * 8 % 256, size * 8 // 256
+    word = [np.ascontiguousarray(block[..., 4 * i : 4 * i + 4]).view("<u4")[..., 0] for i in range(16)]
+    a, b, c, d = (np.full(text.shape[:-1], x, "u4") for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f = f + a + word[g] + _ADD[i]
+        a, d, c, b = d, c, b, b + ((f << np.uint32(_TURN[i])) | (f >> np.uint32(32 - _TURN[i])))
+    return (a + np.uint32(0x67452301)).byteswap()
+
+
+def drawn_weights(keys: list[str | None], replicates: int, seed: int) -> np.ndarray:
+    """Keys x (1 + replicates): stats.poisson_weight of (seed, key, replicate), and 1 in the first place."""
+    out = np.ones((len(keys), replicates + 1))
+    begins = [("|".join(str(x) for x in (seed, k) if x is not None) + "|").encode() for k in keys]
+    bounds = [round(c, 12) for c in stats.POISSON]
+    for size in set(map(len, begins)):
+        own = np.array([i for i, b in enumerate(begins) if len(b) == size])
+        for digits in range(1, len(str(replicates)) + 1):
+            reps = range(10 ** (digits - 1), min(replicates + 1, 10**digits))
+            ends = np.frombuffer("".join(map(str, reps)).encode(), "u1").reshape(len(reps), digits)
+            for at in np.split(own, range(ROWS_AT_ONCE, len(own), ROWS_AT_ONCE)) if len(reps) else []:
+                if size + digits > 55:
+                    head = np.array([[int(hashlib.md5(begins[i] + str(r).encode()).hexdigest()[:8], 16) for r in reps] for i in at], "u4")
+                else:
+                    first = np.frombuffer(b"".join(begins[i] for i in at), "u1").reshape(len(at), 1, size)
+                    head = _heads(np.concatenate([np.broadcast_to(first, (len(at), len(reps), size)), np.broadcast_to(ends, (len(at), len(reps), digits))], -1))
+                out[at, reps.start : reps.stop] = np.searchsorted(bounds, ((head >> np.uint32(4)) + 0.5) / (1 << 28), "left")
+    return out
+
+
 def cross_sums(rows: DataFrame, columns: list[str], replicates: int, seed: int = SEED, key: str = "row_id") -> DataFrame:
     """rep, n and the weighted sums of all products of two columns and of each with y; rep 0 is the rows as they are.
 
-    A replicate draws each row Poisson(1) times by a keyed hash of row and replicate. The sums are one aggregate that tasks begin on their
-    own, so replicates x columns squared numbers are shuffled, whatever the rows.
+    A replicate draws each row Poisson(1) times by a keyed hash of row and replicate (stats.poisson_weight). A task takes the product of its rows'
+    weights and products, so replicates x columns squared numbers a task are shuffled, whatever the rows. A null product counts as 0.
     """
     both = [(a, b) for i, a in enumerate(columns) for b in [*columns[i:], "y"]]
-    w = F.when(F.col("rep") == 0, 1).otherwise(stats.poisson_weight(F.lit(seed), F.col(key), F.col("rep")))
-    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("w", w).where("w > 0")
-    return drawn.groupBy("rep").agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"{a}_x_{b}") for a, b in both])
+    names = [f"{a}_x_{b}" for a, b in both]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros((replicates + 1, len(both) + 1)), False
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, len(batch), 1024)):
+                x = {c: part.column(i + 1).fill_null(0).to_numpy(zero_copy_only=False) for i, c in enumerate([*columns, "y"])}
+                products = np.column_stack([np.ones(len(part)), *[x[a] * x[b] for a, b in both]])
+                total, some = total + drawn_weights(part.column(0).to_pylist(), replicates, seed).T @ products, True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates + 1)), *map(pa.array, total.T.copy())], names=["rep", "n", *names])
+
+    numbers = rows.select(F.col(key).cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in [*columns, "y"]])
+    numbers = numbers.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)  # narrow rows, much work
+    parts = numbers.mapInArrow(sums, "rep long, n double, " + ", ".join(f"`{c}` double" for c in names))
+    return parts.groupBy("rep").agg(F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in names]).where("n > 0")
 
 
 def solved(sums: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:

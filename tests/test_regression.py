@@ -5,12 +5,30 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from loopscope.functions import stats
 from loopscope.operators import regression
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_weights_of_many_rows_at_once_equal_the_columns(spark):
+    keys = [0, 7, 123456789, -5, 2**62, None, *range(1000, 1040)]
+    text = [*(None if k is None else str(k) for k in keys), "x" * 60, "é"]
+    df = spark.createDataFrame([(k,) for k in text], "k string").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(1003))))
+    want = {(r["k"], r["r"]): r["w"] for r in df.withColumn("w", stats.poisson_weight(F.lit(43), F.col("k"), F.col("r"))).collect()}
+    got = regression.drawn_weights(text, 1003, 43)
+    assert (got[:, 0] == 1).all() and all(got[i, r] == want[k, r] for i, k in enumerate(text) for r in range(1, 1004))
+
+
+def test_replicates_are_no_rows(spark):
+    """A row is hashed where it lies: no plan makes rows x replicates rows."""
+    df = spark.createDataFrame([(i, 1.0, float(i)) for i in range(50)], "row_id long, y double, a double")
+    plan = regression.cross_sums(df, ["a"], 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
 def weight(seed, row, rep):
     u = (int(hashlib.md5(f"{seed}|{row}|{rep}".encode()).hexdigest()[:7], 16) + 0.5) / 2**28
     return sum(u > round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), 12) for k in range(8))
