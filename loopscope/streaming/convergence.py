@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loopscope.operators.loop import EQUAL_ROUNDS
 from loopscope.plans import views as V
-from loopscope.plans.lineage import folder
+from loopscope.plans.lineage import folder, stored
 from loopscope.plans.registry import query
 
 #: What a question's state holds: the last signatures (answer lengths, sorted), and whether it has been reported.
@@ -55,11 +55,11 @@ def replay(spark: SparkSession, rounds: str, out: str, checkpoint: str, files: i
 
 @query(f"WITH {V.RUNS}, s AS (SELECT question_id, iteration_number, list_sort(list(length(answer))) AS sig FROM runs GROUP BY ALL), f AS (SELECT question_id, iteration_number, sig = lag(sig, 1) OVER w AND sig = lag(sig, 2) OVER w AND sig = lag(sig, 3) OVER w AS stop FROM s WINDOW w AS (PARTITION BY question_id ORDER BY iteration_number)) SELECT question_id, min(iteration_number) FILTER (stop) AS converged_at FROM f GROUP BY 1")
 def converged_in_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When each question converges, from its rounds replayed as a stream of files, a round a batch; null where it does not."""
+    """When each question converges, from its rounds replayed as a stream of files in the order of the rounds, a file a batch; null where it does not."""
     base = f"{folder(spark)}/loopscope/stream-{uuid.uuid4().hex}"
-    s = signatures(V.runs(spark, sf_dir))
+    s = stored(signatures(V.runs(spark, sf_dir)))
     for r in [x[0] for x in s.select("iteration_number").distinct().orderBy("iteration_number").collect()]:  # a few rounds
-        s.where(F.col("iteration_number") == r).coalesce(1).write.mode("append").parquet(f"{base}/rounds")
+        s.where(F.col("iteration_number") == r).write.mode("append").parquet(f"{base}/rounds")
     replay(spark, f"{base}/rounds", f"{base}/out", f"{base}/state")
     got = spark.read.schema("question_id long, converged_at long").parquet(f"{base}/out")
     return s.select("question_id").distinct().join(got, "question_id", "left")

@@ -12,6 +12,10 @@ from loopscope.plans.lineage import folder
 from loopscope.plans.registry import n, query
 from loopscope.streaming import rounds
 
+CELL = ["question_id", "iteration_number"]
+#: Files of answers a batch.
+FILES = 8
+
 
 def _base(spark: SparkSession) -> str:
     return f"{folder(spark)}/loopscope/stream-{uuid.uuid4().hex}"
@@ -33,12 +37,11 @@ def streamed_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {V.RUNS}, w AS (SELECT question_id, iteration_number, unnest({V.sql_words('answer')}) AS w FROM runs), g AS (SELECT question_id, iteration_number, count(DISTINCT run_idx) AS n_runs FROM runs GROUP BY ALL) SELECT g.question_id, g.iteration_number, count(DISTINCT w) AS unique_words, any_value(n_runs) AS n_runs FROM g LEFT JOIN w USING (question_id, iteration_number) GROUP BY 1, 2")
 def streamed_round_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique words and runs of each round from a stream of answers, a round a batch."""
+    """Unique words and runs of each round from a stream of answers' files, some files a batch; a question's round lies in one file."""
     base = _base(spark)
     runs = V.runs(spark, sf_dir)
-    for r in [x[0] for x in runs.select("iteration_number").distinct().orderBy("iteration_number").collect()]:  # a few rounds
-        runs.where(F.col("iteration_number") == r).coalesce(1).write.mode("append").parquet(f"{base}/answers")
-    stream = rounds.answer_stream(spark, f"{base}/answers", runs.schema, 1)
+    runs.repartition(*CELL).write.parquet(f"{base}/answers")  # many tasks write, and none reads a round whole
+    stream = rounds.answer_stream(spark, f"{base}/answers", runs.schema, FILES)
     rounds.start_round_metrics(stream, f"{base}/out", f"{base}/state").awaitTermination()
     got = spark.read.schema("question_id long, iteration_number long, unique_words long, n_runs long, epoch int").parquet(f"{base}/out")
     return got.select("question_id", "iteration_number", "unique_words", "n_runs")

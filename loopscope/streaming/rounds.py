@@ -22,11 +22,18 @@ def answer_stream(spark: SparkSession, path: str, schema: str | StructType, file
 
 
 def start_round_metrics(answers: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append unique words and answers of every micro-batch's rounds; a batch that runs again overwrites its own folder."""
+    """Append unique words and answers of every micro-batch's rounds; a batch that runs again overwrites its own folder.
+
+    Answers meet by question and round with their own different words, so a task holds its share of the rounds and no more.
+    """
+    cell = ["question_id", "iteration_number"]
+    parts = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def metrics(batch: DataFrame, epoch: int) -> None:
-        w = batch.withColumn("w", F.explode_outer(T.words(F.col("answer"))))
-        m = w.groupBy("question_id", "iteration_number").agg(F.countDistinct("w").alias("unique_words"), F.countDistinct("run_idx").alias("n_runs"))
+        rows = batch.select(*cell, "run_idx", F.array_distinct(T.words(F.col("answer"))).alias("w")).repartition(parts, *cell)  # a number, else few tasks hold what words unfold to
+        words = rows.select(*cell, F.explode_outer("w").alias("w")).distinct().groupBy(*cell).agg(F.count("w").alias("unique_words"))
+        runs = rows.select(*cell, "run_idx").distinct().groupBy(*cell).agg(F.count("run_idx").alias("n_runs"))
+        m = words.withColumnsRenamed({c: f"_{c}" for c in cell}).join(runs, [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in cell]).select(*cell, "unique_words", "n_runs")
         m.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return answers.writeStream.foreachBatch(metrics).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
