@@ -20,6 +20,8 @@ from loopscope.plans.registry import n, query, r6
 LISTS_PER_ROOT, MOST_LISTS, TRAINED, ROUNDS = 4, 65_536, 256, 4
 #: Lists that a search looks into.
 PROBES = 64
+#: Inner products that a task holds at once, whatever the rows of a batch and the lists.
+AT_ONCE = 1_000_000
 
 
 def n_lists(rows: int) -> int:
@@ -32,11 +34,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(e: np.ndarray, centroids: np.ndarray, k: int = 1) -> np.ndarray:
-    """Rows x k: the centroids with the largest inner products (to nine places), equal ones in order."""
-    dots = np.round(e @ centroids.T, 9)
-    if k == 1:
-        return dots.argmax(1)[:, None]
-    return np.argsort(-dots, axis=1, kind="stable")[:, :k]
+    """Rows x k: the centroids with the largest inner products (to nine places), equal ones in order; AT_ONCE products at a time."""
+    out, rows = np.empty((len(e), min(k, len(centroids))), "i8"), max(1, AT_ONCE // max(1, len(centroids)))
+    for i in range(0, len(e), rows):
+        dots = e[i : i + rows] @ centroids.T
+        np.round(dots, 9, out=dots)
+        out[i : i + rows] = dots.argmax(1)[:, None] if k == 1 else np.argsort(np.negative(dots, out=dots), axis=1, kind="stable")[:, :k]
+    return out
 
 
 def train(rows: DataFrame, lists: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -60,10 +64,11 @@ def train(rows: DataFrame, lists: int, rounds: int = ROUNDS) -> np.ndarray:
             at = sent.value
             total, count = np.zeros(at.shape), np.zeros(len(at), "i8")
             for b in batches:
-                e = _matrix(b.column(0)) if len(b) else np.zeros((0, at.shape[1]))
-                near = nearest(e, at)[:, 0]
-                np.add.at(total, near, e)
-                count += np.bincount(near, minlength=len(at))
+                if len(b):
+                    e = _matrix(b.column(0))
+                    near = nearest(e, at)[:, 0]
+                    np.add.at(total, near, e)
+                    count += np.bincount(near, minlength=len(at))
             some = np.flatnonzero(count)
             place = np.tile(np.arange(at.shape[1], dtype="i4"), len(some))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, at.shape[1])), pa.array(place), pa.array(total[some].ravel())], names=["list", "place", "x"])

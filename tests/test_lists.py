@@ -1,6 +1,7 @@
 """Inverted lists: training against plain Python, recall against brute force, and what a search costs."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -68,3 +69,18 @@ def test_samples_nulls_ties_and_empty(spark, monkeypatch):
     index, c = lists.build(df)
     got = sorted((r["query_id"], r["vec_id"], r["rank"]) for r in lists.search(index, c, df, 1).collect())
     assert got == [(1, 2, 1), (2, 1, 1), (4, 1, 1)]
+
+
+def test_inner_products_are_held_a_block_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    e, c = rng.normal(size=(4000, 8)), np.round(rng.normal(size=(1000, 8)), 1)
+    c[500] = c[3]  # equal products go to the first
+    dots = np.round(e @ c.T, 9)
+    monkeypatch.setattr(lists, "AT_ONCE", 100_000, raising=False)
+    for k, want in ((1, dots.argmax(1)[:, None]), (7, np.argsort(-dots, axis=1, kind="stable")[:, :7]), (2000, np.argsort(-dots, axis=1, kind="stable"))):
+        tracemalloc.start()
+        got = lists.nearest(e, c, k)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (got == want).all() and most < got.nbytes + 16_000_000 < 2 * dots.nbytes
+    assert lists.nearest(e[:0], c, 3).shape == (0, 3)
