@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopscope.functions import stats, vectors
+from loopscope.functions import stats
 from loopscope.operators.retrieval import top_k
 from loopscope.plans import views as V
 from loopscope.plans.lineage import stored
@@ -22,6 +22,8 @@ LISTS_PER_ROOT, MOST_LISTS, TRAINED, ROUNDS = 4, 65_536, 256, 4
 PROBES = 64
 #: Inner products that a task holds at once, whatever the rows of a batch and the lists.
 AT_ONCE = 1_000_000
+#: Rows of a list, and queries that look into it, that meet in one group.
+BLOCK = 4096
 
 
 def n_lists(rows: int) -> int:
@@ -105,18 +107,67 @@ def build(rows: DataFrame, lists: int | None = None, rounds: int = ROUNDS) -> tu
     return stored(probes(rows, centroids, 1).repartitionByRange("list").sortWithinPartitions("list")), centroids
 
 
+def best_of(q: np.ndarray, e: np.ndarray, itself: np.ndarray, null: np.ndarray, vec_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of queries x rows, but for pairs that `itself` marks: query, row and inner product (summed in order; masked where null) of all pairs that can be among a query's k best once products are rounded to nine places.
+
+    Pairs that `null` marks have no product and come last.
+    A matrix product draws the line, with a margin for the rounding and for its own order of summing. Of pairs of one query with equal products only
+    the k first by vec_id are given, so copies do not add up.
+    """
+    with np.errstate(all="ignore"):
+        dots = np.where(itself | null, -np.inf, np.nan_to_num(q @ e.T, nan=np.inf, posinf=np.inf, neginf=-np.inf))  # NaN is the largest, as in Spark
+        size = lambda x: np.sqrt((np.where(np.isfinite(x), x, 0) ** 2).sum(1))
+        margin = 2e-9 + 4 * q.shape[1] * np.finfo("f8").eps * size(q) * size(e).max(initial=0)
+        least = np.partition(dots, -k, axis=1)[:, -k] if len(e) > k else np.full(len(q), -np.inf)
+        of, at = np.nonzero((dots >= np.where(np.isfinite(least), least - margin, least)[:, None]) & ~itself)
+        x = np.zeros(len(of))
+        for i in range(q.shape[1]):
+            x += q[of, i] * e[at, i]
+    none = null[of, at]
+    x[none] = 0
+    same = np.stack([of, none, x.view("i8")])
+    order = np.lexsort((vec_id[at], *same[::-1]))
+    fresh = np.flatnonzero(np.r_[True, (same[:, order[1:]] != same[:, order[:-1]]).any(0)][: len(of)])
+    order = order[np.arange(len(of)) - np.repeat(fresh, np.diff(np.r_[fresh, len(of)])) < k]
+    return of[order], at[order], np.ma.array(x, mask=none)[order]
+
+
 def search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, looked: int = PROBES) -> DataFrame:
     """query_id, vec_id, score (inner product), rank, n_scanned: each query's k best rows in its `looked` nearest lists, but itself.
 
-    An equi-join on the list; a query costs the rows of its lists, which n_scanned counts. Equal scores in order of
+    A list meets the queries that look into it as one matrix product, AT_ONCE products at a time; long lists, and those that many queries look into, are
+    dealt out in blocks of about BLOCK a side. A query costs the rows of its lists, which n_scanned counts. Equal scores in order of
     vec_id. Rows without a vector take no part; a query whose lists hold no other row has no result.
     """
     if not len(centroids):
         return index.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("n_scanned")).limit(0)
     q = probes(queries, centroids, looked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "list")
-    s = q.join(index, "list").where("query_id <> vec_id")
-    s = s.select("query_id", "vec_id", F.round(vectors.dot(F.col("q"), F.col("embedding")), 9).alias("score"))
-    cost = q.select("query_id", "list").join(index.groupBy("list").agg(F.count(F.lit(1)).alias("c")), "list").groupBy("query_id").agg(F.sum("c").alias("n_scanned"))
+    held = index.groupBy("list").agg(F.count(F.lit(1)).alias("c"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sizes = F.broadcast(held.join(q.groupBy("list").agg(F.count(F.lit(1)).alias("a")), "list").select("list", blocks("c").alias("held"), blocks("a").alias("asked")))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = q.where("query_id is not null").join(sizes, "list").select("list", block("query_id", "asked").alias("i"), every("held").alias("j"), "query_id", "q")
+    rows = index.where("vec_id is not null").join(sizes, "list").select("list", every("asked").alias("i"), block("vec_id", "held").alias("j"), "vec_id", "embedding")
+
+    def meet(asking: pa.Table, rows: pa.Table) -> pa.Table:
+        of, at, x = [np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.ma.array(np.zeros(0))]
+        query, vec = (t.column(c).to_numpy() for t, c in ((asking, "query_id"), (rows, "vec_id")))
+        if len(query) and len(vec):
+            left, right = (t.column(c).combine_chunks() for t, c in ((asking, "q"), (rows, "embedding")))
+            null = [v.flatten().is_null().to_numpy(False).reshape(len(v), -1).any(1) for v in (left, right)]
+            left, right = _matrix(left), _matrix(right)
+            step = max(1, AT_ONCE // len(vec))
+            for i in range(0, len(query), step):
+                a, b, s = best_of(left[i : i + step], right, query[i : i + step, None] == vec, null[0][i : i + step, None] | null[1], vec, k)
+                of.append(a + i)
+                at.append(b)
+                x.append(s)
+        return pa.table({"query_id": query[np.concatenate(of)], "vec_id": vec[np.concatenate(at)], "score": pa.array(np.ma.concatenate(x))})
+
+    keys = ["list", "i", "j"]
+    s = asking.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double").withColumn("score", F.round("score", 9))
+    cost = q.select("query_id", "list").join(F.broadcast(held), "list").groupBy("query_id").agg(F.sum("c").alias("n_scanned"))
     return top_k(s, ["query_id"], k).join(cost, "query_id").select("query_id", "vec_id", "score", "rank", "n_scanned")
 
 

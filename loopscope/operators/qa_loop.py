@@ -129,7 +129,7 @@ def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = V.vectors(spark, sf_dir)
     index, centroids = lists.build(v.select("vec_id", "embedding"))
     own = v.groupBy("question_id").agg(F.min("vec_id").alias("query_id"), F.min_by("embedding", "vec_id").alias("q"))
-    own = own.join(V.questions(spark, sf_dir), "question_id")
+    own = stored(own.join(V.questions(spark, sf_dir), "question_id"))
     got = lists.search(index, centroids, own.select(F.col("query_id").alias("vec_id"), F.col("q").alias("embedding")), FETCHED)
     texts = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     corpus = got.join(own.select("question_id", "query_id"), "query_id").join(texts, "vec_id").select("question_id", F.concat(F.lit("corpus_"), F.col("vec_id").cast("string")).alias("doc"), "text", "score")

@@ -5,7 +5,9 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from loopscope.functions import vectors
 from loopscope.operators import lists
 
 
@@ -84,3 +86,23 @@ def test_inner_products_are_held_a_block_at_a_time(monkeypatch):
         tracemalloc.stop()
         assert (got == want).all() and most < got.nbytes + 16_000_000 < 2 * dots.nbytes
     assert lists.nearest(e[:0], c, 3).shape == (0, 3)
+
+
+def test_a_search_makes_no_row_of_each_pair(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = [[float(c) for c in r] for r in np.round(np.concatenate([np.repeat(clustered(1, 1, 8), 600, 0), clustered(600, 9, 8)]), 3)]
+    x[50], x[700], x[701] = None, [None] + x[700][1:], [float("nan")] + x[701][1:]
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(rng.permutation(len(x)), x)], "vec_id long, embedding array<double>")
+    index, c = lists.build(df, 12)
+    queries = df.where("vec_id % 30 = 0")
+    pairs = lists.probes(queries, c, 4).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "list").join(index, "list").where("query_id <> vec_id")
+    scored = pairs.select("query_id", "vec_id", F.round(vectors.dot(F.col("q"), F.col("embedding")), 9).alias("score"))
+    want = sorted(map(str, lists.top_k(scored, ["query_id"], 5).select("query_id", "vec_id", "score", "rank").collect()))
+    made, real = [], lists.top_k
+    monkeypatch.setattr(lists, "top_k", lambda s, *a: (made.append(s.count()), real(s, *a))[1])
+    for block, at_once in ((4096, 1_000_000), (100, 1000)):
+        monkeypatch.setattr(lists, "BLOCK", block)
+        monkeypatch.setattr(lists, "AT_ONCE", at_once)
+        got = lists.search(index, c, queries, 5, 4).select("query_id", "vec_id", "score", "rank")
+        assert sorted(map(str, got.collect())) == want
+    assert made[0] < 0.2 * scored.count()
