@@ -43,11 +43,15 @@ def merged_topk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(best, ["question_id"], 10).select("question_id", "doc", "vec_id", r6("score", "score"), n(F.col("rank"), "rank"))
 
 
+def within(score: Column, lo: Column, hi: Column, p_ai: Column, strength: float) -> Column:
+    """Score between lo and hi as 0 to 1 (1 where these are equal) less its share for AI text."""
+    return F.when(hi - lo <= 1e-9, 1.0).otherwise((score - lo) / (hi - lo)) * (1 - strength * p_ai)
+
+
 def penalized(score: Column, p_ai: Column, by: list[str], strength: float) -> Column:
     """Min-max normalised score (1 where all are equal) less its share for AI text."""
     w = Window.partitionBy(*by)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return F.when(hi - lo <= 1e-9, 1.0).otherwise((score - lo) / (hi - lo)) * (1 - strength * p_ai)
+    return within(score, F.min(score).over(w), F.max(score).over(w), p_ai, strength)
 
 
 @query(f"WITH {_V}, f AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, vec_id) AS k FROM s), m AS (SELECT *, min(round(score, 9)) OVER (PARTITION BY question_id) AS lo, max(round(score, 9)) OVER (PARTITION BY question_id) AS hi FROM f WHERE k <= 20), p AS (SELECT question_id, vec_id, round(CASE WHEN hi - lo <= 1e-9 THEN 1 ELSE (round(score, 9) - lo) / (hi - lo) END * (1 - 0.7 * CASE WHEN label % 3 = 0 THEN 1 ELSE 0 END), 9) AS penalized FROM m) SELECT question_id, vec_id, round(penalized, 6) AS penalized, row_number() OVER (PARTITION BY question_id ORDER BY penalized DESC, vec_id) AS rank FROM p QUALIFY rank <= 10")

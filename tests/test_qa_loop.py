@@ -89,6 +89,22 @@ def test_generated_documents_come_into_contexts(data):
     assert max(r["ai_share"] for r in got) == 0.5 and {r["ai_share"] for r in got if r["round"] == 0} == {0.0}
 
 
+@pytest.mark.parametrize(("variant", "penalty"), [("search", None), ("search", 0.7), ("hybrid", None), ("replace_one", None)])
+def test_a_round_is_written_once(data, monkeypatch, variant, penalty):
+    _, _, c, q = data
+    written, real = [], qa_loop.stored
+    monkeypatch.setattr(qa_loop, "stored", lambda df: (written.append(df.columns), real(df))[1])
+    assert qa_loop.qa_rounds(c, q, 3, variant, k=4, penalty=penalty, runs=2, num_synth=2, num_db=1).count() == 9
+    assert len(written) == 4 and written[-1] == ["question_id", "past"]
+
+
+def test_candidates_keep_their_order(spark):
+    rows = [(1, "a", 0.5), (2, "b", None), (3, "c", float("nan")), (4, "d", 0.5), (5, "a", 0.9), (6, None, 0.1), (7, None, 0.2)]
+    items = spark.createDataFrame(rows, "seq long, doc string, score double").select(F.collect_list(F.struct("seq", "doc", F.lit(False).alias("is_ai"), F.lit("").alias("text"), "score", F.lit(0.0).alias("ai"))).alias("items"))
+    order = lambda k: [x["seq"] for x in items.select(qa_loop.ranked(F.col("items"), k, None).alias("x")).first()["x"]]
+    assert order(9) == [3, 5, 4, 7, 2] and order(2) == [3, 5]
+
+
 def test_registered_rounds(monkeypatch):
     seen = []
     monkeypatch.setattr(qa_loop, "_searched", lambda *_: (None, None))
