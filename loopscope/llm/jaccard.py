@@ -328,8 +328,34 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bytescan.trim()
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of the pairs (a, b), earlier ones preferred, that connect all that the pairs connect, and no circle: each tree takes its first pair that leads out, until none does."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root, left, kept = np.arange(len(names)), np.arange(len(a)), [np.zeros(0, "i8")]
+    while True:
+        left = left[root[x[left]] != root[y[left]]]
+        if not len(left):
+            return np.sort(np.concatenate(kept))
+        first = np.full((2, len(names)), len(a))
+        for f, z in zip(first, (x, y)):
+            f[root[z[left[::-1]]]] = left[::-1]  # the last to be written is the first pair
+        first = first.min(0)
+        tree = np.flatnonzero(first < len(a))
+        pick, up = first[tree], np.arange(len(names))
+        to = root[x[pick]] + root[y[pick]] - tree
+        up[tree] = to
+        both = (up[to] == tree) & (tree < to)  # two trees that take the same pair
+        up[tree[both]] = tree[both]
+        kept.append(np.unique(pick))
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+
+
 def _candidates(best: bool):
-    """Of (token, p, q, id, n, comp, bits, block) sorted by token, p, q: pairs of different components that the trees keep; with `best` the two most hopeful of each two components."""
+    """Of (token, p, q, id, n, comp, bits, block) sorted by token, p, q: of the pairs of different components that the trees keep, a forest,
+    the most hopeful first: with `best` one that connects the components, else one that connects the documents. Each group gives fewer pairs than it has rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(["token", "p", "q"], batches):
@@ -349,14 +375,10 @@ def _candidates(best: bool):
                         continue
                     a, b, most = similar(n[s:e], maps, one, two)
                 a, b = a + s, b + s
-                a, b = np.where(comp[a] < comp[b], a, b), np.where(comp[a] < comp[b], b, a)
                 keep = np.flatnonzero(comp[a] != comp[b])
-                if best and len(keep):
-                    keep = keep[np.lexsort((ids[b[keep]], ids[a[keep]], -most[keep], comp[b[keep]], comp[a[keep]]))]
-                    ca, cb = comp[a[keep]], comp[b[keep]]
-                    third = np.zeros(len(keep), bool)
-                    third[2:] = (ca[2:] == ca[:-2]) & (cb[2:] == cb[:-2])
-                    keep = keep[~third]
+                keep = keep[np.argsort(-most[keep], kind="stable")]
+                of = comp if best else ids
+                keep = keep[forest(of[a[keep]], of[b[keep]])]
                 found.append(np.stack([ids[a[keep]], ids[b[keep]]]))
             if found:
                 both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
@@ -384,14 +406,20 @@ def _whole_sets(flags: bytes, width: int):
     return run
 
 
-def links_between(sets: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of sets that reach the similarity, within all of them or between left and right (positions), counted exactly."""
+def links_between(sets: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None, comp: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets that reach the similarity, within all of them or between left and right (positions), counted exactly.
+
+    With components of the sets, only as many as join them: pairs that components so far hold together are not counted.
+    """
     n = np.array([len(s) for s in sets], "i8")
     if left is None and len(sets) <= 64:
         a, b = np.triu_indices(len(sets), 1)
     else:
         a, b, _ = similar(n, [bitmap(s) for s in sets], left, right)
     fit = (n[a] * DEN >= n[b] * NUM) & (n[b] * DEN >= n[a] * NUM)
+    if comp is not None:
+        comp = comp.copy()
+        fit &= comp[a] != comp[b]
     a, b = a[fit], b[fit]
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
@@ -402,24 +430,35 @@ def links_between(sets: list[np.ndarray], left: np.ndarray | None = None, right:
     mark, keep = np.zeros(len(kinds), bool), np.zeros(len(a), bool)
     at = np.r_[0, np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)]
     for s, e in zip(at[:-1], at[1:]):
+        pair = np.arange(s, e)
+        if comp is not None:
+            pair = pair[comp[b[s:e]] != comp[a[s]]]
+            if not len(pair):
+                continue
         own = token[off[a[s]] : off[a[s]] + n[a[s]]]
         mark[own] = True
-        size = n[b[s:e]]
+        size = n[b[pair]]
         begin = np.cumsum(size) - size
-        here = np.repeat(off[b[s:e]] - begin, size) + np.arange(size.sum())
+        here = np.repeat(off[b[pair]] - begin, size) + np.arange(size.sum())
         both = np.add.reduceat(mark[token[here]], begin, dtype="i8")
-        keep[s:e] = both * DEN >= (len(own) + size - both) * NUM
+        hit = pair[both * DEN >= (len(own) + size - both) * NUM]
         mark[own] = False
+        if comp is not None:
+            joined, once = np.unique(comp[b[hit]], return_index=True)
+            hit = hit[once]
+            comp[np.isin(comp, joined)] = comp[a[s]]
+        keep[hit] = True
     return a[keep], b[keep]
 
 
-def _within(pairs: bool):
-    """Of (comp, p, q, id, n, k1, size, block, tokens) sorted by comp, p, q: the links of two blocks of a component, as pairs or
-    as id, n, k1, links (documents that a set's links lead to)."""
+def _within(pairs: bool, joins: bool = False):
+    """Of (comp, p, q, id, n, k1, more, block, tokens) sorted by comp, p, q: the links of two blocks of a component, as pairs or
+    as id, n, k1, links (documents that a set's links lead to). `more` is a set's number of documents or, for `joins`, what it belongs to
+    so far; of the links then only as many are given as join these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(["comp", "p", "q"], batches):
-            comp, p, q, ids, n, k1, size, block = (t[k].to_numpy() for k in ("comp", "p", "q", "id", "n", "k1", "size", "block"))
+            comp, p, q, ids, n, k1, more, block = (t[k].to_numpy() for k in ("comp", "p", "q", "id", "n", "k1", "more", "block"))
             at = np.r_[0, np.flatnonzero((comp[1:] != comp[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1, len(t)]
             tokens = t["tokens"].combine_chunks() if t["tokens"].num_chunks != 1 else t["tokens"].chunk(0)
             found: list[list[np.ndarray]] = []
@@ -427,13 +466,14 @@ def _within(pairs: bool):
                 # rows that repeat a document with the same text are one
                 rows = s + np.unique(np.stack([ids[s:e], n[s:e], k1[s:e]], 1), axis=0, return_index=True)[1]
                 sets = [_unpack(tokens[int(r)].as_buffer()) >> np.uint64(24) for r in rows]
+                so_far = more[rows] if joins else None
                 if p[s] == q[s]:
-                    a, b = links_between(sets)
+                    a, b = links_between(sets, comp=so_far)
                 else:
                     one, two = np.flatnonzero(block[rows] == p[s]), np.flatnonzero(block[rows] == q[s])
                     if not len(one) or not len(two):
                         continue
-                    a, b = links_between(sets, one, two)
+                    a, b = links_between(sets, one, two, so_far)
                 a, b = rows[a], rows[b]
                 other = ids[a] != ids[b]  # two texts of one document are no link
                 a, b = a[other], b[other]
@@ -442,7 +482,7 @@ def _within(pairs: bool):
                 if pairs:
                     found.append([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])])
                 else:
-                    near = np.bincount(a - s, size[b], e - s) + np.bincount(b - s, size[a], e - s)
+                    near = np.bincount(a - s, more[b], e - s) + np.bincount(b - s, more[a], e - s)
                     some = np.flatnonzero(near)
                     found.append([ids[s + some], n[s + some], k1[s + some], near[some].astype("i8")])
             if found:
@@ -452,10 +492,9 @@ def _within(pairs: bool):
     return run
 
 
-def _component_blocks(docs: DataFrame, classes: DataFrame, comps: DataFrame, width: int) -> DataFrame:
-    """The classes of each component with their whole sets, dealt into pairs of blocks: comp, p, q, id, n, k1, size, block, tokens."""
+def _blocks(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The sets of nodes(comp, id, n, k1, more) whole, each comp dealt into pairs of blocks: comp, p, q, id, n, k1, more, block, tokens."""
     spark = docs.sparkSession
-    nodes = classes.join(comps, classes["rep"] == comps["id"]).select(F.col("rep").alias("id"), "n", "k1", "size", F.col("component").alias("comp"))
     blocks = nodes.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LINK_DOCS), F.ceil(F.sum("n") / LINK_TOKENS)).cast("int").alias("blocks"))
     nodes = nodes.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("id", "n", "k1"), F.col("blocks").cast("long")).cast("int"))
     nodes = staged(nodes, "component-classes")
@@ -466,11 +505,18 @@ def _component_blocks(docs: DataFrame, classes: DataFrame, comps: DataFrame, wid
         flags[(k - 1) * 4096 : k * 4096] = bytes(m)
     sets = docs.select("id", "text", spot.alias("h")).mapInArrow(_whole_sets(bytes(flags), width), "id long, n long, k1 long, tokens binary")
     rows = sets.join(nodes, ["id", "n", "k1"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("comp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "n", "k1", "size", "block", "tokens")
+    rows = rows.select("comp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "n", "k1", "more", "block", "tokens")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     return rows.repartition(parts, "comp", "p", "q").sortWithinPartitions("comp", "p", "q")
 
 
+def _joining(pairs: DataFrame, docs: DataFrame, classes: DataFrame, comps: DataFrame, width: int) -> DataFrame:
+    """(a, b): as many links as join the components of comps(id, component) that link, where pairs(a, b) connect all candidates."""
+    spans = staged(components(pairs), "spans").select("id", F.col("component").alias("comp"))
+    nodes = classes.select(F.col("rep").alias("id"), "n", "k1").join(spans, "id").join(comps, "id", "left").select("comp", "id", "n", "k1", F.coalesce("component", "id").alias("more"))
+    return staged(_blocks(docs, nodes, width).mapInArrow(_within(True, True), "a long, b long"), "joins")
+
+
 def jaccard_join(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, links): doc_id, n_shingles, class_id, component_id and n_links of every row; links(a, b) between class representatives.
 
@@ -481,7 +527,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text:
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     named, classes, comps = _components(docs, width)
-    blocks = _component_blocks(docs.where("id is not null"), classes, comps, width)
+    nodes = classes.join(comps, classes["rep"] == comps["id"]).select(F.col("component").alias("comp"), F.col("rep").alias("id"), "n", "k1", F.col("size").alias("more"))
+    blocks = _blocks(docs.where("id is not null"), nodes, width)
     near = blocks.mapInArrow(_within(False), "id long, n long, k1 long, links long").groupBy("id", "n", "k1").agg(F.sum("links").alias("links"))
     near = classes.join(near.withColumnRenamed("id", "rep"), ["rep", "n", "k1"], "left").select("n", "k1", "k2", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = named.join(near, ["n", "k1", "k2"], "left")
@@ -500,7 +547,11 @@ def near_components(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", tex
     3. meeting_keys() brings every two sets that link together under some token. Groups inside one component have
        nothing left to find and go; in each of the others documents form a signature tree (OR-combined bitmaps, size ranges) whose dual traversal drops node pairs by
        their greatest possible overlap. A group beyond GROUP_DOCS documents is dealt into pairs of blocks.
-    4. What remains is counted exactly from the whole texts; links join components.
+    4. Of what remains, a group first gives the most hopeful pairs that connect its components, fewer than it has
+       components; they are counted exactly from the whole texts, and links join components.
+    5. Groups that are still open give pairs that connect all documents with a candidate in another component. What
+       these connect is compared whole, in pairs of blocks of LINK_DOCS, where candidates are found again and counted
+       exactly; only links that join components leave a task, so rows grow with documents and not with their pairs.
 
     No cap is set on partners or candidates. Links inside a component that step 2 has already made are not counted
     here, as they change no component; jaccard_join() counts them all.
@@ -551,7 +602,7 @@ def _components(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, Data
         bits = signed.where("n > 0").join(rows.select("id").distinct(), "id", "left_semi").groupBy("id", "n", "k1").agg(F.first("bits").alias("bits")).drop("k1")
         rows = rows.join(bits, ["id", "n"]).select("token", "p", "q", "id", "n", "comp", "bits", "block")
         pairs = rows.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q").mapInArrow(_candidates(best), "a long, b long").distinct()
-        links = links.unionByName(verified(pairs, texts, width))
+        links = links.unionByName(verified(pairs, texts, width) if best else _joining(pairs, texts, classes, comps, width))
         comps = staged(components(links), "components")
     named = signed.select("id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left")
     named = named.withColumn("rep", F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("rep", "id")))

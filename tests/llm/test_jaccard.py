@@ -139,3 +139,72 @@ def test_texts_of_one_id_are_one_document(docs):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     got = jaccard.jaccard_join(docs([(1, a, None, None), (5, a, None, None), (5, b, None, None), (2, b, None, None), (9, "x y", None, None)]))[0].collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (5, 1), (5, 1), (9, 9)]
+
+
+def test_a_forest_connects_what_pairs_connect():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (5, 3), (40, 30), (40, 200), (300, 4000)):
+        a, b = rng.integers(0, n, (2, m)) * 7 if m else (np.zeros(0, "i8"),) * 2
+
+        def roots(at):
+            up = {i * 7: i * 7 for i in range(n)}
+            for i in at:
+                x, y = int(a[i]), int(b[i])
+                up = {k: up[y] if v == up[x] else v for k, v in up.items()} if up[x] != up[y] else up
+            return {frozenset(k for k in up if up[k] == v) for v in up.values()}
+
+        got, want, one = jaccard.forest(a, b), [], {i * 7: i * 7 for i in range(n)}
+        for i in range(m):  # pair by pair, earlier ones first
+            x, y = one[int(a[i])], one[int(b[i])]
+            if x != y:
+                want.append(i)
+                one = {k: y if v == x else v for k, v in one.items()}
+        assert got.tolist() == want and roots(got) == roots(range(m))
+
+
+def test_a_group_gives_fewer_pairs_than_rows():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 400).astype("u8")
+    sets = [np.unique(np.r_[base[rng.random(400) > 0.04], rng.integers(0, 2**63, 8).astype("u8")]) for _ in range(150)]  # each links with each
+    rows = {"token": [1] * 150, "p": [0] * 150, "q": [0] * 150, "id": range(150), "n": [len(x) for x in sets], "comp": range(150), "bits": [jaccard.bitmap(x).tobytes() for x in sets], "block": [0] * 150}
+    for best in (True, False):
+        got = [list(x) for x in jaccard._candidates(best)(iter([pa.RecordBatch.from_pydict(rows)]))]
+        assert sum(len(x[0]) for x in got) == 149
+
+
+def test_families_just_below_the_similarity(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "LINK_DOCS", 16)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    other = base[:251] + [f"v{i}" for i in range(49)]  # 247 of 345 shingles in common: no link, but a hopeful one
+    rows = [(rng.getrandbits(40), " ".join(x[:k] + [f"x{k}"] + x[k + 1 :])) for x in (base, other) for k in rng.sample(range(100, 240), 40)]
+    far = [(rng.getrandbits(40), " ".join([f"y{i}" for i in range(30)] + other[30:])), (rng.getrandbits(40), " ".join(base[:275] + other[275:]))]  # the second links both families
+    for more in (far[:1], far):
+        got = jaccard.near_components(docs([(i, t, None, None) for i, t in rows + more])).collect()
+        want = brute(rows + more)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+        assert len({c for _, c in want.values()}) == (2 if len(more) == 1 else 1)
+
+
+def test_links_that_join_are_enough_and_no_more():
+    rng = np.random.default_rng(3)
+    s = []
+    for n in (20, 60, 150):
+        base = rng.integers(0, 2**40, n).astype("u8")
+        s += [np.unique(np.r_[base[rng.random(n) > e], rng.integers(0, 2**40, int(n * e)).astype("u8")]) for e in rng.random(30) * 0.2]
+    comp = np.array([i % 4 if i < 8 else i for i in range(len(s))])  # some belong together already
+    for sides in ((None, None), (np.arange(0, len(s), 2), np.arange(1, len(s), 2))):
+
+        def merged(a, b):
+            got = comp.copy()
+            for x, y in zip(a, b):
+                got[got == got[y]] = got[x]
+            return got
+
+        every, some = jaccard.links_between(s, *sides), jaccard.links_between(s, *sides, comp)
+        want, got = merged(*every), merged(*some)
+        assert [set(np.flatnonzero(want == c)) for c in want] == [set(np.flatnonzero(got == c)) for c in got]
+        assert len(some[0]) == len(set(comp)) - len(set(got)) < len(every[0])
+        assert set(zip(*some)) <= set(zip(*every))
