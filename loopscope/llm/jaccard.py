@@ -23,6 +23,8 @@ LINK_DOCS, LINK_TOKENS = 1024, 1_000_000
 BINS, SMALL = 24, 48
 #: Entries of a tree node.
 FAN = 16
+#: Node pairs of a tree traversal that are opened at once (each gives FAN x FAN pairs at most), and candidates that a group holds before they are thinned.
+SLAB, HELD = 1024, 1 << 17
 #: Bits of the table of ids that take part in a verification.
 FLAG_BITS = 1 << 23
 
@@ -108,26 +110,38 @@ def hopeful(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray) -> tuple[np.ndarra
     return ok, most
 
 
-def dual(x: Tree, y: Tree | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document pairs that no node pair above them rules out, with their greatest possible overlap; of one tree with itself if y is None."""
+def dual(x: Tree, y: Tree | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Document pairs that no node pair above them rules out, with their greatest possible overlap; of one tree with itself if y is None.
+
+    Depth first, a slab of node pairs at a time: a level is never held whole, as few bits in common rule little out.
+    """
     own = y is None
     y = x if own else y
-    top_x, top_y = len(x.levels) - 1, len(y.levels) - 1
-    i, j = (z.ravel().astype("i8") for z in np.meshgrid(np.arange(len(x.levels[top_x][1])), np.arange(len(y.levels[top_y][1])), indexing="ij"))
-    while True:
+    i, j = (z.ravel().astype("i8") for z in np.meshgrid(np.arange(len(x.levels[-1][1])), np.arange(len(y.levels[-1][1])), indexing="ij"))
+    open_ = [(len(x.levels) - 1, len(y.levels) - 1, i, j)]
+    while open_:
+        top_x, top_y, i, j = open_.pop()
         if own:
             keep = i <= j if top_x or top_y else i < j
             i, j = i[keep], j[keep]
         keep, most = hopeful(x.levels[top_x], i, y.levels[top_y], j)
         i, j = i[keep], j[keep]
+        if not len(i):
+            continue
         if not top_x and not top_y:
-            return x.order[i], y.order[j], most
+            yield x.order[i], y.order[j], most
+            continue
+        if len(i) > SLAB:
+            cuts = range(0, len(i), SLAB)
+            open_ += [(top_x, top_y, i[c : c + SLAB], j[c : c + SLAB]) for c in reversed(cuts)]
+            continue
         if top_x >= top_y:
             top_x -= 1
             i, j = _children(i, j, len(x.levels[top_x][1]))
         if top_y > top_x or (own and top_y):
             top_y -= 1
             j, i = _children(j, i, len(y.levels[top_y][1]))
+        open_.append((top_x, top_y, i, j))
 
 
 def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +153,8 @@ def _children(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 #: Further orders of the tokens besides that of the hashes themselves.
 ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
 
-def similar(n: np.ndarray, maps: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs that trees do not rule out, within all documents or between left and right (positions).
+def similar_parts(n: np.ndarray, maps: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs that trees do not rule out, within all documents or between left and right (positions), a slab at a time.
 
     One tree a size class, as wide as its smallest bitmap; classes are a little wider than the similarity, so only
     a class and its neighbours meet. Neighbours meet at the width of the narrower one.
@@ -158,15 +172,19 @@ def similar(n: np.ndarray, maps: list[np.ndarray], left: np.ndarray | None = Non
             trees[side, c, w] = Tree(n[at], [maps[i] for i in at], w)
         return trees[side, c, w]
 
-    out = []
     for c, at in parts[0].items():
         for d in (c, c + 1) if own else (c - 1, c, c + 1):
             there = parts[-1].get(d)
             if there is None or (own and c == d and len(at) < 2):
                 continue
             w = min(width[c], width[d])
-            a, b, most = dual(tree(0, c, w), None if own and c == d else tree(len(parts) - 1, d, w))
-            out.append((at[a], there[b], most))
+            for a, b, most in dual(tree(0, c, w), None if own and c == d else tree(len(parts) - 1, d, w)):
+                yield at[a], there[b], most
+
+
+def similar(n: np.ndarray, maps: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of similar_parts() whole; for blocks of bounded size."""
+    out = list(similar_parts(n, maps, left, right))
     return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, "f8" if k == 2 else "i8") for k in range(3))
 
 
@@ -353,6 +371,28 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = up[root]
 
 
+def thinned(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], comp: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of slabs of pairs of positions with their hope, those of different comp: a forest over `of`, the most hopeful first.
+
+    The forest of what is kept so far and of what comes next is the forest of all, so no more than HELD pairs, a slab's and the forest are held.
+    """
+    held = [(np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))]
+    more = True
+    while more:
+        part = next(parts, None)
+        more = part is not None
+        if more:
+            a, b, most = part
+            keep = np.flatnonzero(comp[a] != comp[b])
+            held.append((a[keep], b[keep], most[keep]))
+        if not more or sum(len(h[0]) for h in held[1:]) > HELD:
+            a, b, most = (np.concatenate(c) for c in zip(*held))
+            order = np.argsort(-most, kind="stable")
+            keep = order[forest(of[a[order]], of[b[order]])]
+            held = [(a[keep], b[keep], most[keep])]
+    return held[0][:2]
+
+
 def _candidates(best: bool):
     """Of (token, p, q, id, n, comp, bits, block) sorted by token, p, q: of the pairs of different components that the trees keep, a forest,
     the most hopeful first: with `best` one that connects the components, else one that connects the documents. Each group gives fewer pairs than it has rows."""
@@ -368,18 +408,14 @@ def _candidates(best: bool):
                 maps = [np.frombuffer(bits[r].as_buffer(), "u8") for r in range(s, e)]
                 p, q = key[1][s], key[2][s]
                 if p == q:
-                    a, b, most = similar(n[s:e], maps)
+                    parts = similar_parts(n[s:e], maps)
                 else:
                     one, two = np.flatnonzero(block[s:e] == p), np.flatnonzero(block[s:e] == q)
                     if not len(one) or not len(two):
                         continue
-                    a, b, most = similar(n[s:e], maps, one, two)
-                a, b = a + s, b + s
-                keep = np.flatnonzero(comp[a] != comp[b])
-                keep = keep[np.argsort(-most[keep], kind="stable")]
-                of = comp if best else ids
-                keep = keep[forest(of[a[keep]], of[b[keep]])]
-                found.append(np.stack([ids[a[keep]], ids[b[keep]]]))
+                    parts = similar_parts(n[s:e], maps, one, two)
+                a, b = thinned(parts, comp[s:e], (comp if best else ids)[s:e])
+                found.append(np.stack([ids[s:e][a], ids[s:e][b]]))
             if found:
                 both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -208,3 +209,24 @@ def test_links_that_join_are_enough_and_no_more():
         assert [set(np.flatnonzero(want == c)) for c in want] == [set(np.flatnonzero(got == c)) for c in got]
         assert len(some[0]) == len(set(comp)) - len(set(got)) < len(every[0])
         assert set(zip(*some)) <= set(zip(*every))
+
+
+def test_a_large_group_is_searched_in_bounded_memory():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, 40, dtype="u8")) for _ in range(1500)]
+    base = rng.integers(0, 1 << 63, 30, dtype="u8")
+    sets += [np.unique(np.r_[base, rng.integers(0, 1 << 63, 6, dtype="u8")]) for _ in range(1500)]  # all alike: no node pair is ruled out
+    n = np.array([len(s) for s in sets])
+    rows = pa.table({"token": [1] * len(n), "p": [0] * len(n), "q": [0] * len(n), "id": range(len(n)), "n": n, "comp": range(len(n)), "bits": [jaccard.bitmap(s).tobytes() for s in sets], "block": [0] * len(n)})
+    tracemalloc.start()
+    got = pa.Table.from_batches(jaccard._candidates(True)(iter(rows.to_batches(2000))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 1.1 million pairs remain, 24 bytes each and several times that on the way
+    pairs = jaccard.similar(n, [jaccard.bitmap(s) for s in sets])
+    order = np.argsort(-pairs[2], kind="stable")
+    keep = order[jaccard.forest(pairs[0][order], pairs[1][order])]
+    want = np.unique(np.sort(np.stack([pairs[0][keep], pairs[1][keep]]), 0), axis=1)
+    assert len(got) >= 1499 and (np.stack([got["a"].to_numpy(), got["b"].to_numpy()]) == want).all()
