@@ -146,3 +146,14 @@ def test_language_bounds_come_from_all_rows(spark, docs):
     odd = [(i, " ".join("".join(rng.choices("qxzjvkw", k=5)) for _ in range(200)), "en", "s") for i in learned]  # more than a thousandth of what is learned from
     kept = corpus_pipeline.keep_known_languages(spark, docs(plain + odd), "")
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} >= set(learned)
+
+
+def test_language_stage_learns_from_every_row(spark, docs):
+    rng = random.Random(4)
+    made = lambda words: " ".join(rng.choices(words, k=60))
+    rest = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 0][:40]
+    rows = [(10_000 + i, made("the quick brown fox jumps over a lazy dog".split()), "en", "s") for i in range(60)]
+    rows += [(i, made("быстрая лиса прыгает через ленивую собаку".split()), "ru", "s") for i in rest]  # all of them in op3's held-out fold
+    rows += [(None, made("η γρήγορη αλεπού πηδάει πάνω από το σκυλί".split()), "el", "s") for _ in range(20)]
+    kept = corpus_pipeline.keep_known_languages(spark, docs(rows), "").groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in kept} == {"en": 60, "ru": 40, "el": 20}
